@@ -7,16 +7,29 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe
-from quillspark.llm.common import documents
+from quillspark.llm import bpe, ecoc, packing, warc
+from quillspark.llm.common import documents, tuned
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(tuned(spark).read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    return ecoc.identify(docs, ecoc.fit(ecoc.training_rows(docs)))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe}
+    return {"op1_bpe": op1_bpe, "op5_warc": op5_warc, "op6_language": op6_language, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
