@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, ecoc, packing, warc
+from quillspark.llm import bpe, ecoc, packing, setsketch, warc
 from quillspark.llm.common import documents, tuned
 
 
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(documents(spark, sf_dir))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(tuned(spark).read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
 
@@ -29,7 +33,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op5_warc": op5_warc, "op6_language": op6_language, "op7_packing": op7_packing}
+    return {"op1_bpe": op1_bpe, "op4_near_duplicates": op4_near_duplicates, "op5_warc": op5_warc, "op6_language": op6_language, "op7_packing": op7_packing}
 
 
 def oracle_sql() -> dict[str, str]:
