@@ -8,8 +8,11 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Arrow batches stay this small, so that very long texts don't add up in a Python worker.
 BATCH_BYTES, BATCH_ROWS = 8 << 20, 2000
@@ -79,7 +82,7 @@ def bucket(value: object, n: int) -> int:
     return zlib.crc32(b"" if value is None else str(value).encode()) % n
 
 
-def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
     """mapInArrow of a function on single batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,5 +97,23 @@ def arrow_map(df: DataFrame, rows: Callable[[pa.RecordBatch], Iterator[pa.Record
     return df.mapInArrow(run, schema)
 
 
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Splits a batch of texts at ASCII white space: its distinct words (the empty one among them at times),
+    every word's number among those in order, and where each text's words begin (one entry more than texts)."""
+    parts = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    if isinstance(parts, pa.ChunkedArray):
+        parts = parts.combine_chunks()
+    coded = parts.flatten().dictionary_encode()
+    offsets = parts.offsets.to_numpy()
+    return coded.dictionary, coded.indices.to_numpy(), offsets - offsets[0]
+
+
+def expand(codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Positions in a table of runs (run k has lengths[k] entries, runs behind each other) for a sequence of runs."""
+    n, starts = lengths[codes], np.cumsum(lengths) - lengths
+    ends = np.cumsum(n)
+    return np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return tuned(spark).read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))

@@ -18,16 +18,18 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, stage
+from quillspark.llm.common import arrow_map, expand, split_words, stage
 
 SEQUENCE, GRAIN, END = 4096, 8, 2
 #: Pricing rounds; stopping early keeps a valid, slightly looser packing.
 ROUNDS = 4000
 #: Words whose ids a worker remembers; ranked rows of one window group.
-REMEMBERED, GROUP_ROWS = 600_000, 1_000_000
+REMEMBERED, GROUP_ROWS = 800_000, 1_000_000
+APART = "\x00"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -36,8 +38,9 @@ class Words:
     """Ids of whole texts by remembered words.
 
     The normaliser and splitter of the vocabulary drop white space and never look across it, so a text's
-    ids are those of its white-space-separated words. Texts with the separators U+001C to U+001F, which
-    Python takes for white space and the tokenizer doesn't, are encoded whole.
+    ids are those of its words between ASCII white space; other white space stays inside a word, where the
+    tokenizer drops it. Only the distinct words of a batch are looked up, and only new ones are encoded,
+    many in one call: a control character that no word holds keeps them apart.
     """
 
     def __init__(self, path: str):
@@ -47,27 +50,50 @@ class Words:
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.apart = self._plain([APART])[0]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocab.values()), bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Each text's ids as little-endian 32-bit integers."""
+    def _learn(self, new: list[str]) -> None:
+        """Words of letters alone end with their only token that ends a word; the others are kept apart by a control character."""
+        letters, short, whole = [], [], []
+        for w in new:
+            (letters if w.isalpha() and w.isascii() else short if APART not in w and len(w) <= 64 else whole).append(w)
+        self.known.update(zip(whole, self._plain(whole)))
+        between = np.frombuffer(self.apart, "<u4")[0]
+        for words, glue in ((letters, " "), (short, f" {APART} ")):
+            for k in range(0, len(words), 2000):
+                some = words[k : k + 2000]
+                (joined,) = self._plain([glue.join(some)])
+                ids = np.frombuffer(joined, "<u4")
+                if words is letters:
+                    stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+                    starts = np.concatenate([[0], stops[:-1]])
+                else:
+                    cuts = 4 * np.flatnonzero(ids == between)
+                    starts, stops = np.concatenate([[0], cuts + 4]), np.concatenate([cuts, [len(joined)]])
+                if len(stops) == len(some):
+                    self.known.update(zip(some, [joined[a:b] for a, b in zip(starts.tolist(), stops.tolist())]))
+                else:
+                    self.known.update(zip(some, self._plain(some)))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts behind each other, and where each text's begin (one entry more)."""
+        low = pc.ascii_lower(texts)  # as the normaliser would, unless that made a special token
+        words, codes, offsets = split_words(texts if pc.any(pc.match_substring(low, "<|")).as_py() else low)
+        words = words.to_pylist()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        out = []
-        for text in texts:
-            if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-                out += self._ids([text])
-                continue
-            words = text.split()
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:
-                new = [w for w in dict.fromkeys(words) if w not in self.known]
-                self.known.update(zip(new, self._ids(new)))
-                out.append(b"".join(map(self.known.__getitem__, words)))
-        return out
+        if new := [w for w in words if w not in self.known]:
+            self._learn(new)
+        ids = [self.known[w] for w in words]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")[expand(codes, lengths)]
+        return flat, np.concatenate([[0], np.cumsum(lengths[codes])])[offsets]
 
 
 _loaded: dict[str, Words] = {}
@@ -84,11 +110,13 @@ def pieces(docs: DataFrame, path: str, sequence: int = SEQUENCE, end: int = END)
     tail = np.array([end], "<u4").tobytes()
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        out: list[tuple] = []
-        for doc_id, ids in zip(batch.column(0).to_pylist(), words(path).encode(texts)):
-            view, n = memoryview(ids + tail), len(ids) // 4 + 1
-            out += [(doc_id, s, min(sequence, n - s), zlib.crc32(view[4 * s : 4 * min(n, s + sequence)]), n) for s in range(0, n, sequence)]
+        ids, begin = words(path).encode(batch.column(1))
+        view, out = memoryview(ids).cast("B"), []
+        for doc_id, a, b in zip(batch.column(0).to_pylist(), begin[:-1].tolist(), begin[1:].tolist()):
+            n = b - a + 1
+            for s in range(0, n, sequence):
+                crc = zlib.crc32(view[4 * (a + s) : 4 * min(b, a + s + sequence)])
+                out.append((doc_id, s, min(sequence, n - s), zlib.crc32(tail, crc) if n <= s + sequence else crc, n))
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, PIECES)
