@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, ecoc, packing, setsketch, warc
+from quillspark.llm import anisoq, bpe, ecoc, mss, packing, pii, setsketch, warc, webp
 from quillspark.llm.common import documents, tuned
 
 
@@ -15,6 +15,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(documents(spark, sf_dir))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir))
 
@@ -32,8 +36,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mss.main_text(tuned(spark).read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.round_trip(documents(spark, sf_dir))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anisoq.nearest(tuned(spark).read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op4_near_duplicates": op4_near_duplicates, "op5_warc": op5_warc, "op6_language": op6_language, "op7_packing": op7_packing}
+    return {f.__name__: f for f in (op1_bpe, op2_pii, op4_near_duplicates, op5_warc, op6_language, op7_packing, op8_main_text, op9_webp, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
