@@ -2,14 +2,14 @@
 
 A text is its lower-cased (A-Z) words, each ended by a space, and an end mark. Bytes are coded as eight
 binary decisions. Every decision (node of the byte's binary tree) has a context tree over the DEPTH bytes
-before it, back to the space before the word; its nodes hold Krichevsky-Trofimov counts, and the
-prediction mixes the estimates of all depths with the weights that context-tree weighting gives them.
+before it; its nodes hold Krichevsky-Trofimov counts, and the prediction mixes the estimates of all
+depths with the weights that context-tree weighting gives them.
 
-Counting goes over distinct words: one scan makes word counts (partial per task, then summed), from them
-come the n-gram counts of every depth. The model that is sent to the executors has at most KEPT n-grams
-a depth; a rarer context's counts go, in full, to its parent's node and to that parent's branch for all
-other contexts, so probabilities still add up to one. Words of the base score that are frequent (at most
-HOT) are looked up in place; all others are joined with the counts by word.
+One scan counts the n-grams of every depth, another the words; each task adds up its own before the
+shuffle. The model that is sent to the executors has the most frequent contexts with at most KEPT n-grams
+a depth; all other contexts' counts go, in full, to their parent's node and to that parent's branch for
+all other contexts, so probabilities still add up to one. Words of the base score that are frequent (at
+most HOT) are looked up in place; all others are joined with the counts by word.
 
 Cases: a null text is empty and has the end token alone; a null doc_id has bucket crc32("") % 7 = 0 and
 is learnt from; rows that repeat count each; with nothing to learn from, N = V = 0 and the base score is 0.
@@ -22,15 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import arrow_map, bucket, split_words, stage
 
-DEPTH, KEPT, HOT = 6, 1 << 17, 1 << 19
+DEPTH, KEPT, HOT = 5, 1 << 18, 1 << 19
 #: Stands for the end token among words (no word holds white space); its byte never occurs in UTF-8.
-END, END_BYTE = " ", 0xFF
-_FLUSH = 6_000_000
+END = " "
+_CHUNK, _HELD, _TABLE_BITS = 1 << 21, 5_000_000, 22
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -60,49 +60,72 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "word string, c long").where("word <> ''").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _keys(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of every word and its ending space: the byte and up to DEPTH bytes before it, packed; and where words begin."""
-    data = b" " + b" ".join(w.encode() if w != END else b"\xff" for w in words) + b" "
-    b = np.frombuffer(data, np.uint8).astype(np.uint64)
-    at = np.arange(len(b))
-    space = np.maximum.accumulate(np.where(b == 32, at, 0))
-    before = np.concatenate([[0], space[:-1]])
-    key = b.copy()
+def _streams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts, DEPTH zeros before each, and where each text's zeros begin (one entry more)."""
+    parts = [b"\0" * DEPTH + b" ".join([*(t or "").encode().lower().split(), b"\xff"]) for t in texts]
+    return np.frombuffer(b"".join(parts), np.uint8), np.cumsum([0, *map(len, parts)])
+
+
+def _keys(data: np.ndarray, start: int, stop: int) -> np.ndarray:
+    """For each byte of data[start:stop]: the byte (lowest) and the DEPTH bytes before it."""
+    back = min(start, DEPTH)
+    b = data[start - back : stop].astype(np.uint64)
+    out = b.copy()
     for s in range(1, DEPTH + 1):
-        inside = at - s >= before
-        key[s:] |= np.where(inside[s:], b[:-s], 0).astype(np.uint64) << np.uint64(8 * s)
-    starts = np.flatnonzero(b == 32)[:-1]  # key k belongs to byte k + 1
-    return key[1:], starts
+        out[s:] |= b[:-s] << np.uint64(8 * s)
+    return out[back:]
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Keys of all texts, some at a time, with which of them are a text's own and each key's place."""
+    data, begin = _streams(texts)
+    own = np.ones(len(data), bool)
+    for k in range(DEPTH):
+        own[begin[:-1] + k] = False
+    for k in range(0, len(data), _CHUNK):
+        yield _keys(data, k, min(len(data), k + _CHUNK)), own[k : k + _CHUNK], begin
+
+
+def _added(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and the sums of their times."""
+    key, n = np.concatenate(keys), np.concatenate(times)
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first)
 
 
-def ngram_counts(counts: DataFrame) -> DataFrame:
-    """depth, key, n: n-grams inside words, over all learnt tokens."""
+def ngram_counts(docs: DataFrame) -> DataFrame:
+    """depth, key, n over the documents that are learnt from."""
+
+    def out(key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for depth in range(DEPTH, -1, -1):
+            key, n = _added([key & np.uint64((1 << (8 * depth + 8)) - 1)], [n])
+            for k in range(0, len(key), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array((key[k : k + 200_000] | np.uint64(depth << 56)).view(np.int64)), pa.array(n[k : k + 200_000])], ["key", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
         times: list[np.ndarray] = []
-
-        def out() -> Iterator[pa.RecordBatch]:
-            key, n = np.concatenate(keys), np.concatenate(times)
-            for depth in range(DEPTH, -1, -1):
-                key, where = np.unique(key & np.uint64((1 << (8 * depth + 8)) - 1), return_inverse=True)
-                n = np.bincount(where, weights=n).astype(np.int64)
-                for k in range(0, len(key), 100_000):
-                    part = key[k : k + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), depth, np.int32)), pa.array(part.view(np.int64)), pa.array(n[k : k + 100_000])], ["depth", "key", "n"])
-
         for batch in batches:
-            key, starts = _keys(batch.column(0).to_pylist())
-            keys.append(key)
-            times.append(np.repeat(batch.column(1).to_numpy(), np.diff(np.append(starts, len(key)))))
-            if sum(map(len, keys)) > _FLUSH:
-                yield from out()
-                keys.clear()
-                times.clear()
+            texts = [t for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if bucket(i, 7) != 2]
+            if not texts:
+                continue
+            for key, own, _ in _chunks(texts):
+                key, n = np.unique(key[own], return_counts=True)
+                keys.append(key)
+                times.append(n)
+                if sum(map(len, keys)) > _HELD:
+                    key, n = _added(keys, times)
+                    keys, times = [key], [n]
+                    if len(key) > _HELD // 2:
+                        yield from out(key, n)
+                        keys, times = [], []
         if keys:
-            yield from out()
+            yield from out(*_added(keys, times))
 
-    return counts.select("word", "c").mapInArrow(run, "depth int, key long, n long").groupBy("depth", "key").agg(F.sum("n").alias("n"))
+    summed = docs.select("doc_id", "text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return summed.select(F.shiftright("key", 56).cast("int").alias("depth"), F.col("key").bitwiseAND(F.lit((1 << 56) - 1)).alias("key"), "n")
 
 
 def _thresholds(sizes: list[tuple[int, int, int]], most: int, groups: int) -> list[int]:
@@ -138,9 +161,9 @@ class Model:
     """Per depth and bit: sorted nodes (context and bits so far), weight of stopping there, and the chances of a one here and in the branch of all other contexts."""
 
     def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
-        """tables: for each depth, sorted keys and counts."""
+        """tables: for each depth, sorted keys and counts; a context is there with all its bytes or not at all."""
         self.nodes: list[list[tuple[np.ndarray, ...]]] = [[() for _ in range(8)] for _ in range(len(tables))]
-        self.known: dict[int, float] = {}
+        self.cache: tuple[np.ndarray, np.ndarray] | None = None
         for bit in range(8):
             below = None
             for depth in range(len(tables) - 1, -1, -1):
@@ -192,29 +215,42 @@ class Model:
             out += np.log10(np.where(one, p, 1 - p))
         return out
 
-    def word_scores(self, words: list[str]) -> np.ndarray:
-        """log10 probability of each word and the space behind it."""
-        if not words:
-            return np.zeros(0)
-        key, starts = _keys(words)
-        distinct, where = np.unique(key, return_inverse=True)
-        if len(self.known) > 600_000:
-            self.known.clear()
-        value = np.array([self.known.get(k, np.nan) for k in distinct.tolist()])
-        new = np.isnan(value)
-        if new.any():
-            value[new] = self.log_chances(distinct[new])
-            self.known.update(zip(distinct[new].tolist(), value[new].tolist()))
-        return np.add.reduceat(value[where], starts)
-
-
-def train(counts: DataFrame, kept: int = KEPT) -> Model:
-    """The model of word counts (word, c); at most kept n-grams of each depth reach the driver."""
-    grams, _ = stage(ngram_counts(counts), "ngrams")
-    sizes = [tuple(r) for r in grams.groupBy("depth", _step("n").alias("s")).count().collect()]  # a few hundred rows
+    def remembered(self, key: np.ndarray) -> np.ndarray:
+        """log_chances by way of a table with one place for each hash; what isn't there is worked out and put there."""
+        if self.cache is None:
+            self.cache = np.full(1 << _TABLE_BITS, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << _TABLE_BITS)
+        there, value = self.cache
+        slot = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+        out, miss = value[slot], there[slot] != key
+        if miss.any():
+            new = np.unique(key[miss])
+            chance = self.log_chances(new)
+            out[miss] = chance[np.searchsorted(new, key[miss])]
+            slot = ((new * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
+            last = np.zeros(len(new), bool)
+            last[np.unique(slot, return_index=True)[1]] = True
+            there[slot[last]], value[slot[last]] = new[last], chance[last]
+        return out
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """log10 probability of each text."""
+        sums, at = np.zeros(len(texts)), 0
+        for key, own, begin in _chunks(texts):
+            value = np.where(own, self.remembered(key), 0.0)
+            first, last = np.searchsorted(begin, at, "right") - 1, np.searchsorted(begin, at + len(key), "left")
+            sums[first:last] += np.add.reduceat(value, np.maximum(begin[first:last] - at, 0))
+            at += len(key)
+        return sums
+
+
+def train(docs: DataFrame, kept: int = KEPT) -> Model:
+    """The model of the documents that are learnt from; at most kept n-grams of each depth reach the driver."""
+    whole = Window.partitionBy("depth", F.shiftright("key", 8))  # of a context: at most 256 rows
+    grams, _ = stage(ngram_counts(docs).withColumn("t", F.sum("n").over(whole)), "ngrams")
+    sizes = [tuple(r) for r in grams.groupBy("depth", _step("t").alias("s")).count().collect()]  # a few hundred rows
     least = _thresholds(sizes, kept, DEPTH + 1)
     limit = F.element_at(F.array(*(F.lit(x) for x in least)), F.col("depth") + 1)
-    table = grams.where(F.col("n") >= limit).toArrow()
+    table = grams.where(F.col("t") >= limit).select("depth", "key", "n").toArrow()
     depth, key, n = (table.column(c).to_numpy() for c in ("depth", "key", "n"))
     tables = []
     for d in range(DEPTH + 1):
@@ -236,29 +272,26 @@ def score(docs: DataFrame) -> DataFrame:
     (least,) = _thresholds(sizes, HOT, 1)
     hot = counts.where((F.col("c") >= least) & (F.col("word") != END)).toArrow()  # at most HOT rows
     words, times = hot.column("word").combine_chunks(), hot.column("c").to_numpy()
-    model = train(counts)
-    spread = spark.sparkContext.broadcast((model, words, np.append(times, 0), float(model.word_scores([END])[0])))
+    spread = spark.sparkContext.broadcast((train(docs), words, np.append(times, 0)))
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, hot_words, hot_times, end_score = spread.value
+        model, hot_words, hot_times = spread.value
         n = batch.num_rows
         own, codes, offsets = split_words(pc.ascii_lower(batch.column(1)))
-        listed = own.to_pylist()
-        real = np.array([w != "" for w in listed], bool)
+        real = pc.not_equal(own, "").to_numpy(zero_copy_only=False)
         at = pc.fill_null(pc.index_in(own, value_set=hot_words), len(hot_words)).to_numpy()
-        known, value = hot_times[at], np.zeros(len(listed))
-        value[real] = model.word_scores([w for w in listed if w])
+        known = hot_times[at]
         doc = np.repeat(np.arange(n), np.diff(offsets))
         keep = real[codes]
         doc, codes = doc[keep], codes[keep]
         tokens = np.bincount(doc, minlength=n) + 1
-        scores = np.bincount(doc, value[codes], n) + end_score
+        scores = model.scores(batch.column(1).to_pylist())
         base = np.bincount(doc, np.log10(known + 1.0)[codes], n) + np.log10(ends + 1.0)
         seen = np.bincount(doc, (known > 0)[codes], n).astype(np.int64) + (ends > 0)
         rare = at[codes] == len(hot_words)
-        pair, times = np.unique(doc[rare] * len(listed) + codes[rare], return_counts=True)
-        where = np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(listed)), minlength=n))]).astype(np.int32)
-        items = pa.StructArray.from_arrays([own.take(pa.array(pair % max(1, len(listed)))), pa.array(times.astype(np.int64))], ["word", "n"])
+        pair, times = np.unique(doc[rare] * len(own) + codes[rare], return_counts=True)
+        where = np.concatenate([[0], np.cumsum(np.bincount(pair // max(1, len(own)), minlength=n))]).astype(np.int32)
+        items = pa.StructArray.from_arrays([own.take(pa.array(pair % max(1, len(own)))), pa.array(times.astype(np.int64))], ["word", "n"])
         held = [bucket(i, 7) == 2 for i in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(held), pa.array(tokens), pa.array(seen), pa.array(base), pa.array(scores), pa.ListArray.from_arrays(pa.array(where), items)],

@@ -30,7 +30,7 @@ SAMPLE_ROWS = 4000
 #: A text's n-grams aren't independent: its evidence counts as that of so many at most.
 EVIDENCE = 12.0
 #: Ambiguous: the best codeword's share of the decoded weight is below this.
-SURE = 0.6
+SURE = 0.5
 _letter = regex.compile(r"\p{L}").search
 
 
@@ -151,3 +151,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(held), pa.array(lang), pa.array(score), pa.array(unsure)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs whose language is recognised: neither `und` nor ambiguous. All columns stay as they are."""
+    spread = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array([not spread.value.predict(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return arrow_map(docs, rows, docs.schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import anisoq, bpe, ecoc, mss, packing, pii, setsketch, warc, webp
+from quillspark.llm import anisoq, bpe, ctw, ecoc, mss, packing, pii, setsketch, warc, webp
 from quillspark.llm.common import documents, tuned
 
 
@@ -19,6 +19,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(documents(spark, sf_dir))
 
 
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(documents(spark, sf_dir))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(documents(spark, sf_dir))
 
@@ -49,7 +53,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe, op2_pii, op4_near_duplicates, op5_warc, op6_language, op7_packing, op8_main_text, op9_webp, op10_nearest)}
+    return {f.__name__: f for f in (op1_bpe, op2_pii, op3_language_model, op4_near_duplicates, op5_warc, op6_language, op7_packing, op8_main_text, op9_webp, op10_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:

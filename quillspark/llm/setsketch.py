@@ -253,3 +253,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     final = named.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce(F.col("component"), F.col("rep"))
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id isn't among ids (column doc_id): broadcast up to BROADCAST_IDS of them, else shuffled."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """One document of each group of near-duplicates: that with the smallest doc_id, once. Rows with a null doc_id stay."""
+    found, _ = stage(near_duplicates(docs).select("doc_id", "kept"), "near-duplicates")
+    left = without(docs, found.where(~F.col("kept")).select("doc_id").distinct())
+    again = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again, _ = stage(again, "repeated")
+    if again.isEmpty():
+        return left
+    return without(left, again).unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
