@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 import zlib
@@ -77,6 +79,27 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+_forget: dict[str, Callable[[], object]] = {}
+
+
+def claim(name: str, forget: Callable[[], object]) -> None:
+    """Says that operator `name` works in this Python worker now; what other operators remember is dropped.
+
+    Workers outlive stages, so the bounded memories of several operators would otherwise add up."""
+    if list(_forget) != [name]:
+        others = [f for n, f in _forget.items() if n != name]
+        _forget.clear()
+        _forget[name] = forget
+        for f in others:
+            f()
+        if others:
+            gc.collect()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # another C library: it keeps the freed pages
+                pass
+
+
 def bucket(value: object, n: int) -> int:
     """crc32 of an id as text, modulo n; a null id counts as the empty text."""
     return zlib.crc32(b"" if value is None else str(value).encode()) % n

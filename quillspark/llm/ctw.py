@@ -25,12 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, bucket, split_words, stage
+from quillspark.llm.common import arrow_map, bucket, claim, split_words, stage
 
 DEPTH, KEPT, HOT = 5, 1 << 18, 1 << 19
 #: Stands for the end token among words (no word holds white space); its byte never occurs in UTF-8.
 END = " "
-_CHUNK, _HELD, _TABLE_BITS = 1 << 21, 5_000_000, 22
+_CHUNK, _HELD, _TABLE_BITS = 1 << 19, 2_500_000, 21
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -49,9 +49,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 continue
             words, codes, _ = split_words(pc.ascii_lower(texts))
             held.append(pa.table({"word": pa.concat_arrays([words.cast(pa.string()), pa.array([END])]), "c": np.append(np.bincount(codes, minlength=len(words)), len(texts)).astype(np.int64)}))
-            if sum(t.num_rows for t in held) > 1_500_000:
+            if sum(t.num_rows for t in held) > 700_000:
                 held = [merged()]
-                if held[0].num_rows > 1_000_000:
+                if held[0].num_rows > 500_000:
                     yield from held[0].to_batches()
                     held = []
         if held:
@@ -232,6 +232,9 @@ class Model:
             there[slot[last]], value[slot[last]] = new[last], chance[last]
         return out
 
+    def forget(self) -> None:
+        self.cache = None
+
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """log10 probability of each text."""
         sums, at = np.zeros(len(texts)), 0
@@ -276,6 +279,7 @@ def score(docs: DataFrame) -> DataFrame:
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         model, hot_words, hot_times = spread.value
+        claim("ctw", model.forget)
         n = batch.num_rows
         own, codes, offsets = split_words(pc.ascii_lower(batch.column(1)))
         real = pc.not_equal(own, "").to_numpy(zero_copy_only=False)
