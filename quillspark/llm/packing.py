@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, expand, split_words, stage
+from quillspark.llm.common import arrow_map, claim, expand, split_words, stage
 
 SEQUENCE, GRAIN, END = 4096, 8, 2
 #: Pricing rounds; stopping early keeps a valid, slightly looser packing.
@@ -83,6 +83,7 @@ class Words:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts behind each other, and where each text's begin (one entry more)."""
+        claim("packing", _loaded.clear)
         low = pc.ascii_lower(texts)  # as the normaliser would, unless that made a special token
         words, codes, offsets = split_words(texts if pc.any(pc.match_substring(low, "<|")).as_py() else low)
         words = words.to_pylist()

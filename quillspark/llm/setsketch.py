@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, stage
+from quillspark.llm.common import arrow_map, claim, stage
 
 WORDS, PERCENT = 5, 85
 REGISTERS, BAND, BASE, TOP = 96, 4, 1.001, 65534
@@ -57,6 +57,10 @@ class _WordHash(dict):
 _hash_of = _WordHash()
 
 
+def _begin() -> None:
+    claim("setsketch", _hash_of.clear)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -124,6 +128,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, d1 and d2 (digest of the set), registers."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _begin()
         n, digest, sketch = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text)
