@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quillspark.llm.common import arrow_map
+from quillspark.llm.common import arrow_map, claim
 
 PIECE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SHIFT, _LOW, _NONE = 17, (1 << 17) - 1, 1 << 62
@@ -191,7 +191,7 @@ class StreamingEncoder:
             done = m.end()
         rest = text[done:]
         if len(rest) > self.longest:
-            skip = rest[:1] == " " and not rest[1:2].isspace()
+            skip = rest[:1] == " " and not self._runs[3].match(rest, 1)
             self.run = next(r for r in self._runs if r.match(rest, skip))
             self.stream = PieceStream(self.merges)
             if skip:
@@ -217,6 +217,7 @@ _loaded: dict[str, tuple[Merges, _Remembered, list[str]]] = {}
 
 def load(path: str) -> tuple[Merges, _Remembered, list[str]]:
     """A worker's model, what it remembers, and each id in decimal."""
+    claim("bpe", _loaded.clear)
     if path not in _loaded:
         merges = Merges(path)
         _loaded[path] = merges, _Remembered(merges), [str(i) for i in range(len(merges.bytes_of))]
