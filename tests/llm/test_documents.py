@@ -1,0 +1,273 @@
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from quillspark.llm import ctw, ecoc, pii, queries, setsketch
+
+
+def words(text):
+    return [w for w in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if w]
+
+
+# ---- personal data ----
+
+
+def naive(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[^0-9]", "", m.group())
+        if 13 <= len(d) <= 19 and pii.luhn(d):
+            out.append(("card", *m.span()))
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+
+
+def test_base_spans_agree_with_the_patterns():
+    r = random.Random(2)
+    parts = ["a", "b@", "@", "c.d", ".", "1", "22", "255", "1.2.3.4", "-", " ", "+", "(", ")", "4111111111111111", "é", "x.y@z.w", "+1 (555) 123-4567", "..", "@@", "%", "٣", "300.1.1.1"]
+    for _ in range(6000):
+        text = "".join(r.choice(parts) for _ in range(r.randrange(14)))
+        assert pii.base_spans(text) == naive(text)
+
+
+def test_field_adds_spans_and_leaves_numbers_alone():
+    weights = pii.fitted()
+    found = lambda s: [(k, s[a:b]) for k, a, b in pii.find(s, weights)[1]]
+    assert found("call (555) 123-4567 now") == [("phone", "(555) 123-4567")]
+    assert found("write to joe [at] mail [dot] com today") == [("email", "joe [at] mail [dot] com")]
+    for clean in ("order 123456789 shipped", "2024-10-11 and 473696257 heat", "see me at home. ok", "id 9807915762804491 x", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'):
+        assert found(clean) == []
+
+
+def test_decoding_is_the_best_of_all_segmentations():
+    weights = pii.fitted()
+    text = "tel (555) 123-4567 or 555-123-9999"
+
+    def brute(borders, by_end, j):
+        if j == 0:
+            return 0.0
+        options = [brute(borders, by_end, j - 1)]
+        options += [brute(borders, by_end, i) + pii._score(weights, k, f) for i, f in by_end.get(j, ()) for k in pii.KINDS]
+        return max(options)
+
+    borders, by_end = pii.segments(text, 4, 18)
+    got = pii.decode(text, 4, 18, weights)
+    total = sum(pii._score(weights, k, pii.features(text, a, b)) for k, a, b in got)
+    assert total == pytest.approx(brute(borders, by_end, len(borders) - 1))
+
+
+def test_detect_and_redact_odd_rows(odd, empty):
+    rows = pii.detect(odd).collect()
+    assert len(rows) == odd.count()
+    texts = collections.Counter(hashlib.sha256(pii.listed(naive(t or "")).encode()).hexdigest() for (t,) in odd.select("text").collect())
+    assert collections.Counter(r["base_sha256"] for r in rows) == texts
+    (r,) = [r for r in rows if r["doc_id"] == 8]
+    assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (1, 1, 1, 1)
+    clean = pii.redact(odd)
+    assert clean.columns == odd.columns and clean.count() == odd.count()
+    assert clean.where("doc_id = 8").first()["text"] == "mail me at [EMAIL] or [PHONE], [IP], [CARD]"
+    assert pii.detect(empty).count() == 0 and pii.redact(empty).count() == 0
+
+
+# ---- near-duplicates ----
+
+
+def brute_components(rows):
+    sets, parent = {}, {}
+    for i, t in rows:
+        if i is not None:
+            w = words(t)
+            sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+            parent[i] = i
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), root(i)) for i in sets}
+
+
+def near_copies(seed=4, groups=12, copies=30):
+    """Groups of documents that differ in a few words, some of them chains that drift apart."""
+    r, rows, i = random.Random(seed), [], 0
+    for g in range(groups):
+        base = [f"g{g}w{r.randrange(400)}" for _ in range(r.randrange(60, 200))]
+        now = list(base)
+        for _ in range(copies):
+            if g % 2:
+                now = list(base)
+            for _ in range(r.randrange(0, 3)):
+                now[r.randrange(len(now))] = f"x{r.randrange(10**6)}"
+            rows.append((i * 7 % 1000, " ".join(now)))
+            i += 1
+    return list({k: t for k, t in rows}.items())
+
+
+def test_components_agree_with_all_pairs(spark):
+    rows = near_copies()
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_components(rows)
+
+
+def test_components_of_the_table(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op4_near_duplicates(spark, sf).collect()}
+    assert got == brute_components(rows)
+
+
+def test_block_comparison_finds_what_stars_miss(spark):
+    """Members of a bucket that link with each other, but not with the bucket's smallest."""
+    shared = [f"s{k}" for k in range(300)]
+    texts = {1: shared[:220] + [f"a{k}" for k in range(80)], 2: shared + ["q"], 3: shared + ["r"]}
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], "doc_id long, text string")
+    reps = setsketch.sketches(docs)
+    members = reps.selectExpr("1L as bucket", "3L as n", "doc_id", "doc_id as component", "n_shingles", "registers")
+    assert [tuple(r) for r in setsketch._block_pairs(members).collect()] == [(2, 3)]
+
+
+def test_sketches_merge_and_estimate():
+    r = np.random.default_rng(1)
+    a, b = (r.integers(0, 1 << 63, n, dtype=np.uint64) for n in (400, 300))
+    union = setsketch.registers(np.unique(np.concatenate([a, b])))
+    assert (setsketch.merged(setsketch.registers(a), setsketch.registers(b)) == union).all()
+    far = setsketch.plausible(setsketch.registers(a)[None], setsketch.registers(b)[None], np.array([400]), np.array([300]))
+    near = np.concatenate([a[:380], b[:20]])
+    close = setsketch.plausible(setsketch.registers(a)[None], setsketch.registers(near)[None], np.array([400]), np.array([400]))
+    assert not far[0] and close[0]
+
+
+def test_near_duplicates_of_odd_rows(odd, empty):
+    rows = setsketch.near_duplicates(odd).collect()
+    assert len(rows) == odd.count()
+    want = brute_components([tuple(r) for r in odd.select("doc_id", "text").collect()])
+    for r in rows:
+        if r["doc_id"] is None:
+            assert r["component_id"] is None and r["kept"]
+        else:
+            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]] and r["kept"] == (r["doc_id"] == r["component_id"])
+    assert setsketch.near_duplicates(empty).count() == 0
+    left = setsketch.deduplicated(odd)
+    assert left.columns == odd.columns
+    assert sorted(r[0] for r in left.where("doc_id is not null").select("doc_id").collect()) == [0, 2, 3, 4, 5, 7, 8, 9, 10]
+
+
+def test_components_of_chains(spark):
+    links = spark.createDataFrame([(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (102, 101)], "a long, b long")
+    got = {r["node"]: r["component"] for r in setsketch.components(links).collect()}
+    assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+# ---- language model ----
+
+
+def test_base_scores_and_counts(odd, empty, spark, sf):
+    for docs in (odd, spark.read.parquet(f"{sf}/documents.parquet")):
+        rows = docs.select("doc_id", "text").collect()
+        learn = [words(t) + [None] for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
+        c = collections.Counter(w for x in learn for w in x)
+        n, v = sum(c.values()), len(c)
+        want = sorted((len(w := words(t) + [None]), sum(x in c for x in w), round(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), 6)) for _, t in rows)
+        got = ctw.score(docs).collect()
+        assert {r["train_tokens"] for r in got} == {n}
+
+        assert [x[:2] for x in sorted((r["n_tokens"], r["n_known"], r["base_score"]) for r in got)] == [x[:2] for x in want]
+        assert sum(r["base_score"] for r in got) == pytest.approx(sum(x[2] for x in want), rel=1e-6)
+        assert all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
+    assert ctw.score(empty).count() == 0
+
+
+def test_probabilities_add_up_and_beat_the_base(spark, sf):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for kept in (ctw.KEPT, 3000):
+        model = ctw.train(docs, kept)
+        for context in (b"", b" t", b" the", b"zq", b"n the"):
+            packed = sum(b << (8 * (k + 1)) for k, b in enumerate(reversed(context)))
+            keys = np.array([packed | b for b in range(256)], np.uint64)
+            assert (10 ** model.log_chances(keys)).sum() == pytest.approx(1)
+    assert model.scores(["", None]) == pytest.approx(model.scores([""])[0])
+
+
+def test_mixture_is_the_weighting_of_all_trees():
+    """For one decision the mixed prediction equals the ratio of brute-force weighted probabilities."""
+    text = b"abababababbab" * 3
+    tables = []
+    for depth in range(3):
+        c = collections.Counter()
+        for k in range(2, len(text)):
+            c[sum(text[k - s] << (8 * s) for s in range(depth + 1))] += 1
+        keys = np.array(sorted(c), np.uint64)
+        tables.append((keys, np.array([c[int(k)] for k in keys], np.int64)))
+    model = ctw.Model(tables)
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    def counts(context, extra=None):
+        n = [0, 0]
+        for k in range(2, len(text)):
+            if text[k - len(context) : k] == context:
+                n[text[k] == ord("b")] += 1
+        if extra is not None and extra[0].endswith(context):
+            n[extra[1]] += 1
+        return n
+
+    def weighted(context, extra=None):
+        own = kt(*counts(context, extra))
+        if len(context) == 2:
+            return own
+        below = sum(weighted(bytes([x]) + context, extra) for x in b"ab")
+        return math.log(0.5) + np.logaddexp(own, below)
+
+    # a and b differ in their last two bits; the sixth bit of 011000xx decides between 0110 0001 and 0110 0010
+    p = math.exp(weighted(b"", (b"ba", 1)) - weighted(b""))
+    key = np.array([ord("b") | ord("a") << 8 | ord("b") << 16], np.uint64)
+    six = [n for n in range(8) if (ord("a") >> (7 - n)) & 1 != (ord("b") >> (7 - n)) & 1][0]
+    got = 1.0
+    prefix = np.uint64(1 << six | ord("b") >> (8 - six))
+    q, there = 0.5, False
+    for depth in (2, 1, 0):
+        node, stop, here, rest = model.nodes[depth][six]
+        want = (int(key[0]) & ((1 << (8 * depth + 8)) - 1) & ~255) | int(prefix)
+        at = int(np.searchsorted(node, np.uint64(want)))
+        q = stop[at] * here[at] + (1 - stop[at]) * (q if there else rest[at])
+        there, got = True, q
+    assert got == pytest.approx(p, rel=1e-5)
+
+
+# ---- language ----
+
+
+def test_language_of_held_out_documents(spark, sf, odd, empty):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op6_language(spark, "/root/testdata/sf0.01").collect()}
+    held = [r for r in docs.collect() if got[r["doc_id"]]["held_out"]]
+    assert sum(got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held) > 0.98 * len(held)
+    assert all(g["held_out"] == (zlib.crc32(str(i).encode()) % 3 == 1) for i, g in got.items())
+    model = ecoc.fit(ecoc.training_rows(docs))
+    for text in (None, "", " 12 34 !", "\n"):
+        assert model.predict(text) == ("und", 0.0, True)
+    rows = ecoc.identify(odd, model).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 for r in rows)
+    left = ecoc.accepted(odd, model)
+    assert left.columns == odd.columns and {3, 2, 4}.isdisjoint({r[0] for r in left.select("doc_id").collect()})
+    nothing = ecoc.fit(ecoc.training_rows(empty))
+    assert {r["lang_pred"] for r in ecoc.identify(odd, nothing).collect()} == {"und"} and ecoc.identify(empty, model).count() == 0
+
+
+def test_codewords_are_far_apart():
+    for n in (2, 3, 4, 5, 8, 30):
+        book = ecoc.codebook(n)
+        apart = [(book[i] != book[j]).sum() for i in range(n) for j in range(i)]
+        assert min(apart) >= (1 if n == 2 else max(2, book.shape[1] // 5))
