@@ -275,7 +275,7 @@ class Searcher:
                 rows = rows.where(F.lower(F.col(q.field)).contains(t))
             count = approximate.slop_udf(terms, q.slop)
             hits = rows.select(F.col(self.id).alias("id"), count(self.analyzer(q.field).tokens(q.field)).alias("tf"), self.length(q.field).alias("dl"))
-            dfs = self.docs.agg(*(F.sum(self.leaf(ir.Term(q.field, t))[0].cast("long")).alias(f"d{k}") for k, t in enumerate(terms))).first()
+            dfs = self.docs.agg(*(F.sum(Searcher.leaf(self, ir.Term(q.field, t))[0].cast("long")).alias(f"d{k}") for k, t in enumerate(terms))).first()
             return self._scored(q.field, hits, dfs=[int(x or 0) for x in dfs])
         if isinstance(q, ir.Fuzzy):
             plan = approximate.FuzzyPlan(q.value, q.distance)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from quillspark.functions import text
+from quillspark.operators.search import Searcher
 from quillspark.plans import ir
 
 _WORD = re.compile(r"[^\W_]+")
@@ -70,7 +71,7 @@ def snippets(searcher, top: DataFrame, query, field: str, longest: int = 150, be
     words = sorted(query_terms(searcher.parsed(query)).get(field, ()))
     weights: dict[str, float] = {}
     if words:
-        row = searcher.docs.agg(*(F.sum(searcher.leaf(ir.Term(field, w))[0].cast("long")).alias(f"d{k}") for k, w in enumerate(words))).first()
+        row = searcher.docs.agg(*(F.sum(Searcher.leaf(searcher, ir.Term(field, w))[0].cast("long")).alias(f"d{k}") for k, w in enumerate(words))).first()
         weights = {w: 1 / (1 + int(row[k] or 0)) for k, w in enumerate(words)}
     rows = searcher.docs.select(searcher.id, field).join(F.broadcast(top), searcher.id)  # top is at most a page of results
     return rows.withColumn("snippet", snippet_udf(weights, longest, before, after)(F.col(field))).drop(field).orderBy(F.desc("score"), searcher.id)

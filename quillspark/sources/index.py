@@ -15,7 +15,7 @@ import zipfile
 from collections.abc import Iterable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -417,7 +417,7 @@ class Index:
 
 
 class IndexSearcher(Searcher):
-    """Expansions over tokens read the postings in place of the texts."""
+    """Terms and phrases read the postings (one token bucket each) in place of the texts; the rest scans documents."""
 
     index: Index | None = None
 
@@ -425,3 +425,60 @@ class IndexSearcher(Searcher):
         if self.index is None:
             return super()._tokens(field, keep)
         return self.index.postings(field).where(keep(F.col("token"))).select(F.col(ID).alias("id"), "token", F.col("tf").cast("long").alias("tf"), "dl")
+
+    def _indexed(self, q: ir.Query) -> tuple[str, ...] | None:
+        """The tokens that a query looks for in the postings, if those answer it."""
+        if self.index is None or self.quantize or getattr(q, "field", None) not in self.index.config.text_fields():
+            return None
+        if isinstance(q, ir.Term):
+            return (str(q.value).lower(),)
+        if isinstance(q, ir.Phrase) and not q.slop:
+            return tuple(t.lower() for t in q.terms)
+        if isinstance(q, ir.Contains) and q.anchor and q.exact and not q.strict and not self.analyzer(q.field).camel and self.analyzers.get(q.field) != "default":
+            words = tuple(text.query_tokens(q.value)[0])
+            return words if len(words) == 1 else None
+        return None
+
+    def leaf(self, q: ir.Query):
+        return None if self._indexed(q) and self.stats is None else super().leaf(q)
+
+    def table(self, q: ir.Query) -> DataFrame | None:
+        tokens = self._indexed(q)
+        if not tokens or self.stats is not None:
+            return super().table(q)
+        lists = [self.index.postings(q.field, t).select(F.col(ID).alias("id"), "dl", F.col("tf").cast("long").alias("tf"), F.col("positions").alias(f"p{k}")) for k, t in enumerate(tokens)]
+        if len(lists) == 1:
+            return self._scored(q.field, lists[0].select("id", "dl", "tf"))
+        hits = lists[0]
+        for k, other in enumerate(lists[1:], 1):
+            hits = hits.join(other.select("id", f"p{k}"), "id")
+
+        def starts(p: Column) -> Column:
+            """Whether the phrase starts at position p of its first token."""
+            out = F.array_contains(F.col("p1"), p + 1)
+            for k in range(2, len(tokens)):
+                out = out & F.array_contains(F.col(f"p{k}"), p + k)
+            return out
+
+        hits = hits.select("id", "dl", F.size(F.filter("p0", starts)).cast("long").alias("tf"))
+        dfs = None if isinstance(q, ir.Contains) else [x.count() for x in lists]
+        return self._scored(q.field, hits, dfs=dfs)
+
+    def run(self, query, need_score: bool = True) -> DataFrame:
+        """Unions of terms, as of more-like-this, add up in one aggregation without a join."""
+        q = ir.simplify(self.parsed(query))
+        if isinstance(q, ir.Bool) and q.should and not q.must and not q.must_not and q.needed() == 1 and self.stats is None:
+            terms = [(c.query, c.factor) if isinstance(c, ir.Boost) else (c, 1.0) for c in q.should]
+            if all(self._indexed(c) for c, _ in terms):
+                out = None
+                for c, factor in terms:
+                    one = self.table(c).withColumn("score", F.col("score") * float(factor))
+                    out = one if out is None else out.unionByName(one)
+                return out.groupBy(F.col("id").alias(self.id)).agg(F.sum("score").alias("score"))
+        return super().run(q, need_score)
+
+    def export_stats(self, query) -> Stats:
+        return Searcher(self.docs, self.id, self.analyzers, None, self.lengths, self.quantize).export_stats(query)
+
+    def explain(self, query) -> DataFrame:
+        return Searcher(self.docs, self.id, self.analyzers, self.stats, self.lengths, self.quantize).explain(query)

@@ -69,7 +69,9 @@ def test_postings_agree_with_scan(index):
     assert {r["token"]: r["df"] for r in index.term_dictionary("body").collect()}["python"] == 2
     plain = index.searcher()
     plain.index = None
-    for q in (ir.RegexTerm("body", "py.*"), ir.FuzzyTerm("body", "pythn", 1, False)):
+    several = ir.Bool(should=(ir.Term("body", "python"), ir.Boost(ir.Term("body", "rust"), 2.0)))
+    mixed = ir.Bool(must=(ir.Term("body", "python"),), should=(ir.Phrase("body", ("machine", "learning")),), must_not=(ir.Term("title", "rust"),))
+    for q in (ir.RegexTerm("body", "py.*"), ir.FuzzyTerm("body", "pythn", 1, False), ir.Term("body", "python"), ir.Phrase("body", ("memory", "safety", "with")), ir.Phrase("body", ("safety", "memory")), several, mixed):
         assert dict(map(tuple, index.searcher().run(q).collect())) == pytest.approx(dict(map(tuple, plain.run(q).collect())))
     assert index.inspect_term("body", "python").count() == 2
 
