@@ -35,6 +35,9 @@ _ASIDE = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select"
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "optgroup", "option", "p", "pre", "search", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 _CLOSES_P = _BLOCK - {"caption", "body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "option", "optgroup", "legend"}
 _MARK = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|banner|breadcrumbs?|captcha|comments?|commentlist|consent|cookies?|discussion|disqus|footer|gdpr|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|pagination|pager|paywall|popup|promos?|recommended|related|replies|respond|share|sharing|sidebar|signup|site-header|skip|social|sponsor|sponsored|subscribe|subscription|teaser|toolbar|topbar|widget)(?:$|[\s_-])", re.I)
+#: In front of such a word, these say that the page has it or not, not that this is it.
+_SAYS = {"no", "has", "with", "without", "hide", "show", "is", "have"}
+_NOT_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|comments?|commentlist|promo|recommended|related|repl(?:y|ies)|respond|sponsored|teaser)(?:$|[\s_-])", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
 #: What tokens are told apart by.
 KINDS = ["word", "link", "aside", "p", "/p", "heading", "inline", "block", "/block", "main", "/main", "item", "asidetag"]
@@ -42,23 +45,33 @@ _INDEX = {k: i for i, k in enumerate(KINDS)}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
-def _aside(tag: str, attributes: str, in_main: bool) -> bool:
+def _marked(value: str) -> bool:
+    for m in _MARK.finditer(value):
+        before = re.split(r"[\s_-]+", value[: m.start()].strip(" _-"))[-1].lower()
+        if before not in _SAYS or value[m.start() : m.start() + 1].isspace():
+            return True
+    return False
+
+
+def _aside(tag: str, attributes: str, in_main: bool, marks: bool) -> bool:
     """Whether an element holds something other than the article."""
     if tag in _ASIDE or (tag == "header" and not in_main):
         return True
-    if not attributes or tag in ("html", "body", "main", "article"):
+    if not attributes or not marks or tag in ("html", "body", "main"):
         return False
+    if tag == "article":
+        return any(n.lower() in ("class", "id") and _NOT_ARTICLE.search("".join(v)) for n, *v in _ATTRIBUTE.findall(attributes))
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), "".join(values)
-        if name in ("class", "id") and _MARK.search(value) or name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
+        if name in ("class", "id") and _marked(value) or name == "role" and value.lower() in _ROLES or name == "aria-hidden" and value.lower() == "true":
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return bool(re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes, re.I))
 
 
-def tokens(page: str) -> list[tuple[int, int, str | None, bool]]:
-    """(kind, words, text, starts a block) in page order; tags have no text."""
+def tokens(page: str, marks: bool = True) -> list[tuple[int, int, str | None, bool]]:
+    """(kind, words, text, starts a block) in page order; tags have no text. marks: heed class names and the like."""
     out: list[tuple[int, int, str | None, bool]] = []
     open_: list[tuple[str, bool, bool]] = []  # tag, aside or below one, hidden or below such
     aside = hidden = False
@@ -106,7 +119,7 @@ def tokens(page: str) -> list[tuple[int, int, str | None, bool]]:
         if tag == "body":  # a head that was never closed
             open_ = [o for o in open_ if o[0] == "html"]
             aside = hidden = False
-        below = aside or _aside(tag, attributes, mains > 0), hidden or tag in _HIDDEN
+        below = aside or _aside(tag, attributes, mains > 0, marks), hidden or tag in _HIDDEN
         out.append((_INDEX["asidetag" if below[0] else kind], 0, None, block))
         if tag in _RAW:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -181,8 +194,12 @@ def weights() -> tuple[float, ...]:
 
 
 def extract(page: str | None) -> str:
-    """The article's blocks, joined by line feeds."""
-    seq, w = tokens(page or ""), weights()
+    """The article's blocks, joined by line feeds. Where class names would rule out the whole page, only tags count."""
+    return _extract(tokens(page or "")) or _extract(tokens(page or "", False))
+
+
+def _extract(seq: list[tuple[int, int, str | None, bool]]) -> str:
+    w = weights()
     # an article that the page itself marks: between the first start and the last end tag, what lies outside counts against
     mains = [i for i, t in enumerate(seq) if t[0] == _INDEX["main"]]
     inside = None
@@ -195,9 +212,9 @@ def extract(page: str | None) -> str:
     scores = []
     for i, (kind, words, text, _) in enumerate(seq):
         if text is None:
-            scores.append(w[kind])
+            scores.append(w[kind] / 4 if kind == _INDEX["asidetag"] else w[kind])
         elif kind == _INDEX["aside"]:
-            scores.append(beside * min(words, 8))  # a long advert inside an article doesn't split it
+            scores.append(beside / 8 * min(words, 4))  # an advert inside an article is left out and doesn't split it
         elif inside and not inside[0] <= i < inside[1]:
             scores.append(beside * words)
         else:

@@ -89,6 +89,10 @@ def test_articles_of_the_table(spark, sf):
         ("<div><h1>Hi there</h1><p>a b c d e f g h i j</p><aside>zz</aside><p>k l m</p></div><div id='comments'><p>no no</p></div><footer>f</footer>", "Hi there\na b c d e f g h i j\nk l m"),
         ("<html><head><title>t</title></head><body><div class='cookie-notice'>We use cookies</div><header><a>Home</a></header><main><h2>Head</h2><p>Para <i>one</i>.</p><form>Sub<input></form><ul><li>x y<li>z</ul></main></body>", "Head\nPara one.\nx y\nz"),
         ("<article><p>a&nbsp;b &lt;c&gt; &#233;&#x41;</p><script>if (a < b) '</p>'</script><style>p{}</style><!-- <p>no</p> --><p>d</article><p>after", "a b <c> éA\nd"),
+        ("<div class='page no-sidebar has-comments'><p>body text here and more words</p></div>", "body text here and more words"),
+        ("<div class='sidebar'><p>only this text there is</p></div>", "only this text there is"),
+        ("<article><p>main text of some words</p></article><article class='comment'><p>a reader says so</p></article><ul class='comment-list'><li>another one</ul>", "main text of some words"),
+        ("<div><p>first part of the text</p><div class='ad'>buy now this thing</div><div role='alert'>notice here</div><p>second part of the text</p></div>", "first part of the text\nsecond part of the text"),
         ("<body><nav>m e n u</nav><p>word " * 1 + "and <b>bold</b> text</p><p>unclosed <b>tag", "word and bold text\nunclosed tag"),
     ],
 )
