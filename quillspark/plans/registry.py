@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +14,7 @@ from quillspark.operators import aggregations as aggs
 from quillspark.operators import collectors, snippets
 from quillspark.operators.search import Searcher, top_k
 from quillspark.plans import ir, querystring
+from quillspark.sources.index import Index
 from quillspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -473,6 +476,63 @@ def _sessions(spark, sf_dir):
     return ingest.session_counts(table(spark, sf_dir, "events"), "ts", ["user_id"], "30 minutes").select("user_id", "start", "n")
 
 
+@_add("stream_event_windows", _sql["event_windows"])
+def _streamed(spark, sf_dir):
+    """The same counts from a stream that reads the table to its end."""
+    schema = table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
+    name = f"windows_{uuid.uuid4().hex}"
+    counts = ingest.window_counts(stream, "ts", ["event_type"], "1 hour")
+    counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select("start", "event_type", "n")
+
+
+# ---- the index ----
+
+
+def _built(spark: SparkSession, sf_dir: str) -> Index:
+    """An index of the documents: two commits, deletes by id and by query, compacted."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-index-")
+    index = Index.create(spark, f"{root.rstrip('/')}/index-{uuid.uuid4().hex}", {"fields": [{"name": "body", "type": "text"}, {"name": "lang", "type": "string"}, {"name": "n_chars", "type": "i64"}], "tokenizer": "simple", "shards": 4})
+    docs = documents(spark, sf_dir).docs
+    for half in (0, 1):
+        index.add_many(docs.where(F.pmod("_node_id", F.lit(2)) == half))
+        index.commit()
+    index.delete(0)
+    index.delete_by_query({"type": "boolean", "must": [_C("schach")]})
+    index.commit()
+    index.merge()
+    return index
+
+
+_LIVE = _BASE.replace("FROM documents)", "FROM documents WHERE NOT contains(lower(text), 'schach') AND doc_id <> 0)", 1)
+
+
+@_add("index_term", _scored_sql([("term", "the")], "m0", "s0").replace(_BASE, _LIVE))
+def _index_term(spark, sf_dir):
+    return _rounded(_built(spark, sf_dir).searcher().run(ir.Term("body", "the")))
+
+
+@_add("index_phrase", _sql["phrase_query"].replace(_BASE, _LIVE))
+def _index_phrase(spark, sf_dir):
+    return _rounded(_built(spark, sf_dir).searcher().run(ir.Phrase("body", ("of", "the"))))
+
+
+@_add("index_boolean", _scored_sql([("term", "the"), ("term", "in"), ("contains", "heit")], "m0 AND NOT m2", "s0 + s1").replace(_BASE, _LIVE))
+def _index_boolean(spark, sf_dir):
+    return _rounded(_built(spark, sf_dir).searcher().run(ir.Bool(must=(ir.Term("body", "the"),), should=(ir.Term("body", "in"),), must_not=(ir.Contains("body", "heit"),))))
+
+
+@_add("index_dictionary", _LIVE + ", x AS (SELECT _node_id, unnest(ts) AS token FROM s) SELECT token, count(DISTINCT _node_id) AS df, count(*) AS cf FROM x GROUP BY token")
+def _index_dictionary(spark, sf_dir):
+    return _built(spark, sf_dir).term_dictionary("body").select("token", "df", "cf")
+
+
+@_add("index_documents", "SELECT doc_id AS _node_id, lang, n_chars FROM documents WHERE NOT contains(lower(text), 'schach') AND doc_id <> 0")
+def _index_documents(spark, sf_dir):
+    return _built(spark, sf_dir).documents().select("_node_id", "lang", "n_chars")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

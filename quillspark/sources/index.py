@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import io
 import json
+import math
 import uuid
 import zipfile
 from collections.abc import Iterable
@@ -203,18 +204,37 @@ class Index:
         self.rollback()
         return self.version
 
-    def merge(self, partitions: int | None = None) -> int:
-        """Compacts: live documents become one segment, tombstones go."""
-        docs = self.documents(internal=True)
+    def merge(self, names: Iterable[str] | None = None, partitions: int | None = None) -> int:
+        """Compacts the named segments, or all: live documents become one segment. Tombstones go when all were merged."""
+        every = [s["name"] for s in self.manifest["segments"]]
+        chosen = every if names is None else [n for n in every if n in set(names)]
+        if not chosen:
+            return self.version
+        docs = self._docs(self.manifest | {"segments": [{"name": n} for n in chosen]})
         name = uuid.uuid4().hex
         rows = docs.repartition(partitions or max(1, self.config.shards), "shard") if partitions or self.config.shards > 1 else docs
         rows.write.partitionBy("shard").parquet(self.store.at("segments", name))
         if self.config.postings and self.config.text_fields():
             self._write_postings(name)
-        new = self.manifest | {"version": self.manifest["version"] + 1, "segments": [{"name": name}], "tombstones": []}
-        self._prepared = new
+        kept = [s for s in self.manifest["segments"] if s["name"] not in chosen]
+        self._prepared = self.manifest | {"version": self.manifest["version"] + 1, "segments": [*kept, {"name": name}], "tombstones": self.manifest["tombstones"] if kept else []}
         return self.commit()
 
+    def merge_candidates(self, least: int = 8, level: float = 0.75, layer: int = 10_000, most: int = 10_000_000) -> list[list[str]]:
+        """Groups of at least `least` segments of like size (in documents, by logarithmic levels), as a merge policy."""
+        sizes = sorted(((s["rows"], s["name"]) for s in self.inspect_segments()), reverse=True)
+        groups: list[list[str]] = []
+        top = None
+        for rows, name in sizes:
+            if rows > most:
+                continue
+            at = math.log2(max(rows, layer))
+            if top is None or at < top - level:
+                groups.append([])
+                top = at
+            groups[-1].append(name)
+        return [g for g in groups if len(g) >= least]
+
     def vacuum(self) -> None:
         """Removes files that the current version doesn't use."""
         kept = {s["name"] for s in self.manifest["segments"]} | {t["name"] for t in self.manifest["tombstones"]}

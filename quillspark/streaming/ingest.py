@@ -18,7 +18,8 @@ def ingest(stream: DataFrame, index: Index, checkpoint: str, name: str = "ingest
             index.add_many(batch)
             index.commit((name, number))
         if len(index.manifest["segments"]) >= merge_every:
-            index.merge()
+            for group in index.merge_candidates():
+                index.merge(group)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).queryName(name).trigger(**(trigger or {"availableNow": True})).start()
 

@@ -76,6 +76,27 @@ def test_postings_agree_with_scan(index):
     assert index.inspect_term("body", "python").count() == 2
 
 
+def test_partial_merges(index):
+    index.add(6, body="python six")
+    index.commit()
+    index.add(7, body="python seven")
+    index.commit()
+    assert index.merge_candidates() == [] and sorted(map(len, index.merge_candidates(least=2))) == [3]
+    names = [s["name"] for s in index.inspect_segments()]
+    index.delete(6)
+    index.commit()
+    index.merge(names[1:])
+    assert len(index.inspect_segments()) == 2 and ids(index.search("python")) == [1, 4, 7] and index.manifest["tombstones"]
+    index.merge()
+    assert ids(index.search(ir.Term("body", "python"))) == [1, 4, 7] and not index.manifest["tombstones"]
+
+
+def test_quantized_lengths(index):
+    q = ir.Term("body", "python")
+    exact = {r[0]: r["score"] for r in index.searcher().run(q).collect()}
+    assert {r[0]: r["score"] for r in index.searcher(quantize_norm=True).run(q).collect()} == pytest.approx(exact)  # short texts are exact
+
+
 def test_snapshots_and_deltas(spark, index, tmp_path):
     copy = Index.import_snapshot(spark, index.export_snapshot(), f"{tmp_path}/copy")
     assert ids(copy.documents()) == [1, 2, 3, 4] and copy.version_hash() == index.version_hash()
