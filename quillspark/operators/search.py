@@ -115,7 +115,12 @@ class Searcher:
             if not plain and not self.analyzer(q.field).camel:  # cheap tests first
                 for w in words:
                     match = F.lower(F.col(q.field)).contains(w) & match
-            return match, [(repr(q), F.regexp_count(t, F.lit(f"(?={pattern})")), q.field)]
+            w = words[0]
+            if plain and not any(w[:k] == w[-k:] for k in range(1, len(w))):  # matches can't overlap: lengths tell their number
+                tf = ((F.octet_length(t) - F.octet_length(F.replace(t, F.lit(w), F.lit("")))) / len(w.encode())).cast("int")
+            else:
+                tf = F.regexp_count(t, F.lit(f"(?={pattern})"))
+            return match, [(repr(q), tf, q.field)]
         if isinstance(q, ir.RegexContains):
             t, pattern = F.lower(F.col(q.field)), java_regex(q.pattern)
             match = t.rlike(pattern)

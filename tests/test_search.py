@@ -12,7 +12,7 @@ from quillspark.plans import dsl, ir, querystring
 ROWS = [
     (1, "Introduction to Python", "Python is a programming language, good for rapid web work.", 2000, 3.5, ["a"], '{"a": {"b": 3}, "d": "x"}'),
     (2, "Rust Systems", "Rust has memory safety. mutex_lock(struct device)", 2024, 9.1, ["b", "c"], '{"a": {"b": 7}}'),
-    (3, "getElementById", "JavaScript web3console HTMLParser is fine", 2030, 7.0, [], "{}"),
+    (3, "getElementById", "JavaScript sql9console HTMLParser is fine", 2030, 7.0, [], "{}"),
     (4, None, "machine learning with python and python", 2001, 1.0, None, None),
     (5, "Zürich", "aaaXaa über naïve café", None, None, ["a"], "broken"),
 ]
@@ -53,7 +53,7 @@ def ids(s, q):
         ({"type": "term", "field": "title", "value": "getElement"}, [3]),
         ({"type": "term", "field": "title", "value": "getElem"}, []),
         ({"type": "regex", "field": "body", "pattern": "mutex.*device"}, [2]),
-        ({"type": "fuzzy", "field": "body", "value": "web3consol"}, [3]),
+        ({"type": "fuzzy", "field": "body", "value": "sql9consol"}, [3]),
         ({"type": "contains", "field": "body", "value": "caf"}, [5]),
         ({"type": "boolean", "must_not": [{"type": "contains", "field": "body", "value": "x"}]}, []),
         ({"type": "boolean", "must": [{"type": "contains", "field": "body", "value": "python"}], "must_not": [{"type": "contains", "field": "body", "value": "machine"}]}, [1]),
@@ -212,7 +212,7 @@ def test_facets(spark):
 def test_analyzers(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     camel = lambda x: one(text.ANALYZERS["raw_code"].tokens(F.lit(x)))
-    assert camel("getElementById web3console HTMLParser x") == ["getelement", "byid", "web3", "console", "html", "parser", "x"]
+    assert camel("getElementById sql9console HTMLParser x") == ["getelement", "byid", "sql9", "console", "html", "parser", "x"]
     assert one(text.facet_tokens(F.lit("/a/b"))) == ["/", "/a", "/a/b"]
     assert one(text.ascii_folding(F.array(F.lit("Éßæ")))) == ["Essae"]
     assert one(text.compound_words(["dampf", "schiff"])(F.array(F.lit("dampfschiff"), F.lit("dampfer")))) == ["dampf", "schiff", "dampfer"]
