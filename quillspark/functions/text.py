@@ -74,12 +74,11 @@ def stop_words(words: list[str]) -> Filter:
     return lambda tokens: F.filter(tokens, lambda t: ~t.isin(words)) if words else tokens
 
 
-ENGLISH_STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with"]
 STOP_WORDS = {
-    "en": ENGLISH_STOP_WORDS,
-    "fr": ["au", "aux", "avec", "ce", "ces", "dans", "de", "des", "du", "elle", "en", "et", "eux", "il", "je", "la", "le", "les", "leur", "lui", "ma", "mais", "me", "ne", "nous", "on", "ou", "par", "pas", "pour", "qu", "que", "qui", "sa", "se", "son", "sur", "ta", "te", "tu", "un", "une", "vous"],
-    "de": ["aber", "als", "am", "an", "auch", "auf", "aus", "bei", "bin", "bis", "das", "dem", "den", "der", "des", "die", "doch", "du", "ein", "eine", "einem", "einen", "einer", "er", "es", "für", "hat", "ich", "ihr", "im", "in", "ist", "mit", "nicht", "noch", "oder", "sich", "sie", "sind", "so", "und", "uns", "von", "war", "wie", "wir", "zu", "zum", "zur"],
-    "es": ["a", "al", "como", "con", "de", "del", "el", "ella", "en", "es", "esta", "este", "la", "las", "le", "lo", "los", "mas", "me", "mi", "no", "nos", "o", "para", "pero", "por", "que", "se", "si", "sin", "sobre", "su", "sus", "te", "tu", "un", "una", "y", "ya", "yo"],
+    "en": "a be if of an in on no to or as is at it by and the are for was not but such with will then into this that they there these their".split(),
+    "fr": "la ma sa ta ce de je le me ne se te il en on un et au du ou qu tu une que lui qui son par sur pas ces des les aux eux avec elle leur pour mais dans nous vous".split(),
+    "de": "am im an in so er es du zu und die sie wie auf ich bei dem zum den bin ein von war der ihr wir zur für das des bis als uns aus hat mit ist sind eine sich doch noch auch aber oder einem einen einer nicht".split(),
+    "es": "a o y la ya de le me se te mi si al el en un lo no yo es su tu una que del sin con por las mas los nos sus ella para esta este como pero sobre".split(),
 }
 
 _FOLD_MANY = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "TH", "ĳ": "ij", "Ĳ": "IJ", "ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}

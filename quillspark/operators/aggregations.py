@@ -20,7 +20,7 @@ from pyspark.sql.types import ArrayType, BooleanType, StringType
 BUCKETS = 65_000
 METRICS = {"avg", "value_count", "min", "max", "sum", "stats", "extended_stats", "percentiles", "cardinality"}
 BUCKET_KINDS = {"terms", "range", "histogram", "date_histogram", "filter"}
-DEFAULT_PERCENTS = [1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0]
+DEFAULT_PERCENTS = [float(p) for p in (1, 5, 25, 50, 75, 95, 99)]
 _UNITS = {"ms": 1, "s": 1000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
 
 

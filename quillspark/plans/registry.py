@@ -38,7 +38,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> Searcher:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("_node_id"), F.col("text").alias("body"), "lang", "source", "n_chars")
-    return Searcher(docs, analyzers={"lang": "raw", "source": "raw"})
+    return Searcher(docs, analyzers=dict(lang="raw", source="raw"))
 
 
 def _rounded(found: DataFrame) -> DataFrame:
@@ -93,33 +93,33 @@ def _text_query(name: str, query, leaves: list[tuple] | None = None, where: str
         return _rounded(documents(spark, sf_dir).run(query() if callable(query) else query))
 
 
-_C = lambda v, **k: {"type": "contains", "field": "body", "value": v, **k}
+_C = lambda v, **k: dict(type="contains", field="body", value=v, **k)
 _text_query("contains", _C("tion"), [("contains", "tion")])
-_text_query("starts_with", {"type": "startsWith", "field": "body", "value": "ver"}, [("starts", "ver")])
-_text_query("term", {"type": "term", "field": "body", "value": "the"}, [("term", "the")])
+_text_query("starts_with", dict(type="startsWith", field="body", value="ver"), [("starts", "ver")])
+_text_query("term", dict(type="term", field="body", value="the"), [("term", "the")])
 _text_query("term_query", ir.Term("body", "und"), [("term", "und")])
-_text_query("contains_split", {"type": "contains_split", "field": "body", "value": "tion heit"}, [("contains", "tion"), ("contains", "heit")], "m0 OR m1", "s0 + s1")
-_text_query("starts_with_split", {"type": "startsWith_split", "field": "body", "value": "ver une"}, [("starts", "ver"), ("starts", "une")], "m0 OR m1", "s0 + s1")
+_text_query("contains_split", dict(type="contains_split", field="body", value="tion heit"), [("contains", "tion"), ("contains", "heit")], "m0 OR m1", "s0 + s1")
+_text_query("starts_with_split", dict(type="startsWith_split", field="body", value="ver une"), [("starts", "ver"), ("starts", "une")], "m0 OR m1", "s0 + s1")
 _text_query("string_shortcut", "tion heit", [("contains", "tion"), ("contains", "heit")], "m0 OR m1", "s0 + s1")
-_text_query("contains_phrase", {"type": "phrase", "field": "body", "value": "of the"})
+_text_query("contains_phrase", dict(type="phrase", field="body", value="of the"))
 _text_query("contains_strict_separators", _C("of the", strict_separators=True), [("contains", "of the")])
 _text_query("term_set", ir.TermSet("body", ("und", "the", "avec")), [("term", "und"), ("term", "the"), ("term", "avec")], "m0 OR m1 OR m2", "s0 + s1 + s2")
-_text_query("regex_contains", {"type": "regex", "field": "body", "value": "token = .[0-9a-f]+"}, [("regex", "token = .[0-9a-f]+")])
-_text_query("regex_gap", {"type": "contains", "field": "body", "value": "tion[a-z]*ing", "regex": True}, [("regex", "tion[a-z]*ing")])
+_text_query("regex_contains", dict(type="regex", field="body", value="token = .[0-9a-f]+"), [("regex", "token = .[0-9a-f]+")])
+_text_query("regex_gap", dict(type="contains", field="body", value="tion[a-z]*ing", regex=True), [("regex", "tion[a-z]*ing")])
 _text_query("phrase_prefix_query", ir.PhrasePrefix("body", ("of", "th")), [("phrase_prefix", ("of", "th"))])
-_text_query("boolean", {"type": "boolean", "must": [_C("tion")], "should": [_C("ing")], "must_not": [_C("heit")]}, [("contains", "tion"), ("contains", "ing"), ("contains", "heit")], "m0 AND NOT m2", "s0 + s1")
-_text_query("boolean_should_only", {"type": "boolean", "should": [_C("tion"), _C("heit"), _C("que")]}, [("contains", "tion"), ("contains", "heit"), ("contains", "que")], "m0 OR m1 OR m2", "s0 + s1 + s2")
+_text_query("boolean", dict(type="boolean", must=[_C("tion")], should=[_C("ing")], must_not=[_C("heit")]), [("contains", "tion"), ("contains", "ing"), ("contains", "heit")], "m0 AND NOT m2", "s0 + s1")
+_text_query("boolean_should_only", dict(type="boolean", should=[_C("tion"), _C("heit"), _C("que")]), [("contains", "tion"), ("contains", "heit"), ("contains", "que")], "m0 OR m1 OR m2", "s0 + s1 + s2")
 _text_query("boolean_min_should", ir.Bool(should=(ir.Term("body", "the"), ir.Term("body", "de"), ir.Term("body", "in")), min_should=2), [("term", "the"), ("term", "de"), ("term", "in")], "m0::int + m1::int + m2::int >= 2", "s0 + s1 + s2")
 _text_query("boolean_all_should", ir.Bool(should=(ir.Term("body", "the"), ir.Term("body", "in")), min_should=2), [("term", "the"), ("term", "in")], "m0 AND m1", "s0 + s1")
-_text_query("dis_max", {"type": "disjunction_max", "queries": [_C("tion"), _C("heit")], "tie_breaker": 0.3}, [("contains", "tion"), ("contains", "heit")], "m0 OR m1", "greatest(s0, s1) + 0.3 * (s0 + s1 - greatest(s0, s1))")
+_text_query("dis_max", dict(type="disjunction_max", queries=[_C("tion"), _C("heit")], tie_breaker=0.3), [("contains", "tion"), ("contains", "heit")], "m0 OR m1", "greatest(s0, s1) + 0.3 * (s0 + s1 - greatest(s0, s1))")
 _text_query("boost", ir.Boost(ir.Term("body", "the"), 2.5), [("term", "the")], "m0", "2.5 * s0")
 _text_query("const_score", ir.Const(ir.Term("body", "the"), 3.0), [("term", "the")], "m0", "3.0::double")
-_text_query("filters", {**_C("tion"), "filters": [{"field": "n_chars", "op": "between", "value": [500, 5000]}, {"field": "lang", "op": "in", "value": ["en", "fr"]}, {"field": "source", "op": "ne", "value": "src0"}]}, [("contains", "tion")], "m0 AND n_chars BETWEEN 500 AND 5000 AND lang IN ('en', 'fr') AND source IS DISTINCT FROM 'src0'", "s0")
-_text_query("filters_nested", {**_C("tion"), "filters": [{"op": "should", "clauses": [{"field": "n_chars", "op": "lt", "value": 500}, {"field": "source", "op": "starts_with", "value": "src1"}]}, {"op": "must_not", "clauses": [{"field": "lang", "op": "eq", "value": "de"}]}]}, [("contains", "tion")], "m0 AND (n_chars < 500 OR starts_with(source, 'src1')) AND lang IS DISTINCT FROM 'de'", "s0")
-_text_query("filters_comparisons", {**_C("tion"), "filters": [{"field": "n_chars", "op": "gte", "value": 200}, {"field": "n_chars", "op": "lte", "value": 9000}, {"field": "n_chars", "op": "gt", "value": 100}, {"field": "lang", "op": "not_in", "value": ["es"]}, {"field": "lang", "op": "eq", "value": "en"}, {"field": "body", "op": "contains", "value": "the"}]}, [("contains", "tion"), ("contains", "the")], "m0 AND m1 AND n_chars >= 200 AND n_chars <= 9000 AND n_chars > 100 AND (lang NOT IN ('es') OR lang IS NULL) AND lang = 'en'", "s0")
-_text_query("fuzzy_contains", {"type": "fuzzy", "field": "body", "value": "mail example", "distance": 1})
+_text_query("filters", dict(**_C("tion"), filters=[dict(field="n_chars", op="between", value=[500, 5000]), dict(field="lang", op="in", value=["en", "fr"]), dict(field="source", op="ne", value="src0")]), [("contains", "tion")], "m0 AND n_chars BETWEEN 500 AND 5000 AND lang IN ('en', 'fr') AND source IS DISTINCT FROM 'src0'", "s0")
+_text_query("filters_nested", dict(**_C("tion"), filters=[dict(op="should", clauses=[dict(field="n_chars", op="lt", value=500), dict(field="source", op="starts_with", value="src1")]), dict(op="must_not", clauses=[dict(field="lang", op="eq", value="de")])]), [("contains", "tion")], "m0 AND (n_chars < 500 OR starts_with(source, 'src1')) AND lang IS DISTINCT FROM 'de'", "s0")
+_text_query("filters_comparisons", dict(**_C("tion"), filters=[dict(field="n_chars", op="gte", value=200), dict(field="n_chars", op="lte", value=9000), dict(field="n_chars", op="gt", value=100), dict(field="lang", op="not_in", value=["es"]), dict(field="lang", op="eq", value="en"), dict(field="body", op="contains", value="the")]), [("contains", "tion"), ("contains", "the")], "m0 AND m1 AND n_chars >= 200 AND n_chars <= 9000 AND n_chars > 100 AND (lang NOT IN ('es') OR lang IS NULL) AND lang = 'en'", "s0")
+_text_query("fuzzy_contains", dict(type="fuzzy", field="body", value="mail example", distance=1))
 _text_query("phrase_slop", ir.Phrase("body", ("of", "the"), 2))
-_text_query("more_like_this", {"type": "more_like_this", "fields": ["body"], "value": "the tion of the tion and of schach schach", "min_doc_frequency": 2})
+_text_query("more_like_this", dict(type="more_like_this", fields=["body"], value="the tion of the tion and of schach schach", min_doc_frequency=2))
 _text_query("regex_phrase", ir.RegexPhrase("body", ("th.*", "of")))
 _sql["regex_phrase"] = _scored_sql([("phrase", ("th", "of"))], "m0", "s0").replace("ts[i] = 'th'", "starts_with(ts[i], 'th')")
 
@@ -158,7 +158,7 @@ def _range(spark, sf_dir):
 @_add("exists_json", "SELECT event_id AS _node_id, 1.0::double AS score FROM events WHERE json_extract(props, '$.k') IS NOT NULL OR json_extract(props, '$.page') IS NOT NULL")
 def _exists(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumnRenamed("event_id", "_node_id")
-    return _rounded(Searcher(rows, analyzers={"props": "raw", "event_type": "raw"}).run(ir.Const(ir.Bool(should=(ir.Exists("props.k"), ir.Exists("props.page"))), 1.0)))
+    return _rounded(Searcher(rows, analyzers=dict(props="raw", event_type="raw")).run(ir.Const(ir.Bool(should=(ir.Exists("props.k"), ir.Exists("props.page"))), 1.0)))
 
 
 def _parsed(name: str, source: str, leaves: list[tuple], where: str, score: str) -> None:
@@ -310,7 +310,7 @@ def _regex(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.regex_tokens("[a-z]+ing")("text")).cast("long").alias("n"))
 
 
-@_add("filter_stop_words", _DICTIONARY + " SELECT _node_id AS doc_id, count(*) AS n FROM x WHERE token NOT IN ('the', 'of', 'and', 'a', 'in', 'to', 'is', 'it', 'for', 'on', 'with', 'as', 'at', 'by', 'an', 'are', 'be', 'but', 'if', 'into', 'no', 'not', 'or', 'such', 'that', 'their', 'then', 'there', 'these', 'they', 'this', 'was', 'will') GROUP BY _node_id")
+@_add("filter_stop_words", _DICTIONARY + " SELECT _node_id AS doc_id, count(*) AS n FROM x WHERE token NOT IN STOPPED GROUP BY _node_id".replace("STOPPED", str(tuple(text.STOP_WORDS["en"]))))
 def _stopped(spark, sf_dir):
     tokens = text.stop_words(text.STOP_WORDS["en"])(text.ANALYZERS["simple"].tokens("text"))
     return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n")).where("n > 0")
@@ -351,106 +351,106 @@ def _plain(df: DataFrame) -> DataFrame:
 
 @_add("agg_terms", "SELECT l_returnflag AS key, count(*) AS doc_count FROM lineitem GROUP BY 1")
 def _terms(spark, sf_dir):
-    return aggs.terms_frame(table(spark, sf_dir, "lineitem"), {"field": "l_returnflag"}).select("key", "doc_count")
+    return aggs.terms_frame(table(spark, sf_dir, "lineitem"), dict(field="l_returnflag")).select("key", "doc_count")
 
 
 @_add("agg_terms_size_other", "WITH g AS (SELECT l_suppkey AS key, count(*) AS doc_count FROM lineitem GROUP BY 1), t AS (SELECT * FROM g ORDER BY doc_count DESC, key LIMIT 10) SELECT key, doc_count, (SELECT sum(doc_count) FROM g)::bigint AS total FROM t")
 def _cut(spark, sf_dir):
-    return aggs.terms_frame(table(spark, sf_dir, "lineitem"), {"field": "l_suppkey", "size": 10}).select("key", "doc_count", "total")
+    return aggs.terms_frame(table(spark, sf_dir, "lineitem"), dict(field="l_suppkey", size=10)).select("key", "doc_count", "total")
 
 
 @_add("agg_terms_order_metric", "SELECT o_orderpriority AS key, count(*) AS doc_count, round(sum(o_totalprice) / count(o_totalprice), 4) AS price FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) / count(o_totalprice) DESC, key LIMIT 3")
 def _ordered(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    m = {"price": aggs.metric(orders, "price", "avg", {"field": "o_totalprice"}, True)}
-    out = _plain(aggs.terms_frame(orders, {"field": "o_orderpriority", "size": 3, "order": {"price": "desc"}}, m))
+    m = dict(price=aggs.metric(orders, "price", "avg", dict(field="o_totalprice"), True))
+    out = _plain(aggs.terms_frame(orders, dict(field="o_orderpriority", size=3, order=dict(price="desc")), m))
     return out.select("key", "doc_count", F.round(F.col("price_s") / F.col("price_n"), 4).alias("price"))
 
 
 @_add("agg_terms_include_exclude", "SELECT p_brand AS key, count(*) AS doc_count FROM part WHERE regexp_full_match(p_brand, 'Brand#[1-3].*') AND p_brand NOT IN ('Brand#11') GROUP BY 1")
 def _included(spark, sf_dir):
-    return aggs.terms_frame(table(spark, sf_dir, "part"), {"field": "p_brand", "size": 1000, "include": "Brand#[1-3].*", "exclude": ["Brand#11"]}).select("key", "doc_count")
+    return aggs.terms_frame(table(spark, sf_dir, "part"), dict(field="p_brand", size=1000, include="Brand#[1-3].*", exclude=["Brand#11"])).select("key", "doc_count")
 
 
 @_add("agg_terms_missing", "SELECT coalesce(lang, 'none') AS key, count(*) AS doc_count FROM documents GROUP BY 1")
 def _missing(spark, sf_dir):
-    return aggs.terms_frame(table(spark, sf_dir, "documents"), {"field": "lang", "missing": "none"}).select("key", "doc_count")
+    return aggs.terms_frame(table(spark, sf_dir, "documents"), dict(field="lang", missing="none")).select("key", "doc_count")
 
 
 @_add("agg_range", "SELECT CASE WHEN l_quantity < 10 THEN 0 WHEN l_quantity < 20 THEN 1 WHEN l_quantity < 30 THEN 2 ELSE 3 END::int AS key, count(*) AS doc_count FROM lineitem GROUP BY 1")
 def _ranged(spark, sf_dir):
-    rows = aggs.bucketed(table(spark, sf_dir, "lineitem"), "range", {"field": "l_quantity", "ranges": [{"from": 10, "to": 20}, {"from": 20, "to": 30}]}, "key", None)
+    rows = aggs.bucketed(table(spark, sf_dir, "lineitem"), "range", dict(field="l_quantity", ranges=[{"from": 10, "to": 20}, {"from": 20, "to": 30}]), "key", None)
     return aggs.level(rows, ["key"], {})
 
 
 @_add("agg_histogram", "SELECT floor((l_extendedprice - 500) / 1000.0) * 1000.0 + 500 AS key, count(*) AS doc_count FROM lineitem GROUP BY 1")
 def _histogram(spark, sf_dir):
-    return aggs.level(aggs.bucketed(table(spark, sf_dir, "lineitem"), "histogram", {"field": "l_extendedprice", "interval": 1000, "offset": 500}, "key", None), ["key"], {})
+    return aggs.level(aggs.bucketed(table(spark, sf_dir, "lineitem"), "histogram", dict(field="l_extendedprice", interval=1000, offset=500), "key", None), ["key"], {})
 
 
 @_add("agg_histogram_hard_bounds", "SELECT floor(l_quantity / 5.0) * 5.0 AS key, count(*) AS doc_count FROM lineitem WHERE l_quantity BETWEEN 10 AND 30 GROUP BY 1")
 def _bounded(spark, sf_dir):
-    return aggs.level(aggs.bucketed(table(spark, sf_dir, "lineitem"), "histogram", {"field": "l_quantity", "interval": 5, "hard_bounds": {"min": 10, "max": 30}}, "key", None), ["key"], {})
+    return aggs.level(aggs.bucketed(table(spark, sf_dir, "lineitem"), "histogram", dict(field="l_quantity", interval=5, hard_bounds=dict(min=10, max=30)), "key", None), ["key"], {})
 
 
 @_add("agg_date_histogram", "SELECT floor(epoch_us(ts) / 1000.0 / 3600000) * 3600000 AS key, count(*) AS doc_count FROM events GROUP BY 1")
 def _dates(spark, sf_dir):
-    return aggs.level(aggs.bucketed(table(spark, sf_dir, "events"), "date_histogram", {"field": "ts", "fixed_interval": "1h"}, "key", None), ["key"], {})
+    return aggs.level(aggs.bucketed(table(spark, sf_dir, "events"), "date_histogram", dict(field="ts", fixed_interval="1h"), "key", None), ["key"], {})
 
 
 @_add("agg_filter", "SELECT count(*) AS doc_count, round(avg(l_discount), 6) AS discount FROM lineitem WHERE l_quantity >= 10 AND l_quantity <= 20")
 def _filtered(spark, sf_dir):
-    rows = aggs.bucketed(table(spark, sf_dir, "lineitem"), "filter", {"query": "l_quantity:[10 TO 20]"}, "key", None)
-    out = _plain(aggs.level(rows, [], {"d": aggs.metric(rows, "d", "avg", {"field": "l_discount"}, True)}))
+    rows = aggs.bucketed(table(spark, sf_dir, "lineitem"), "filter", dict(query="l_quantity:[10 TO 20]"), "key", None)
+    out = _plain(aggs.level(rows, [], dict(d=aggs.metric(rows, "d", "avg", dict(field="l_discount"), True))))
     return out.select("doc_count", F.round(F.col("d_s") / F.col("d_n"), 6).alias("discount"))
 
 
 @_add("agg_stats", "SELECT l_linestatus AS key, count(*) AS doc_count, count(l_quantity) AS n, sum(l_quantity) AS s, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem GROUP BY 1")
 def _stat(spark, sf_dir):
-    rows = aggs.bucketed(table(spark, sf_dir, "lineitem"), "terms", {"field": "l_linestatus"}, "key", None)
-    out = _plain(aggs.level(rows, ["key"], {"q": aggs.metric(rows, "q", "stats", {"field": "l_quantity"}, True)}))
+    rows = aggs.bucketed(table(spark, sf_dir, "lineitem"), "terms", dict(field="l_linestatus"), "key", None)
+    out = _plain(aggs.level(rows, ["key"], dict(q=aggs.metric(rows, "q", "stats", dict(field="l_quantity"), True))))
     return out.select("key", "doc_count", F.col("q_n").alias("n"), F.col("q_s").alias("s"), F.col("q_lo").alias("lo"), F.col("q_hi").alias("hi"))
 
 
 @_add("agg_extended_stats", "SELECT l_linestatus AS key, round(sum(l_quantity * l_quantity), 2) AS squares, round(var_pop(l_quantity), 6) AS variance FROM lineitem GROUP BY 1")
 def _extended(spark, sf_dir):
-    rows = aggs.bucketed(table(spark, sf_dir, "lineitem"), "terms", {"field": "l_linestatus"}, "key", None)
-    out = _plain(aggs.level(rows, ["key"], {"q": aggs.metric(rows, "q", "extended_stats", {"field": "l_quantity"}, True)}))
+    rows = aggs.bucketed(table(spark, sf_dir, "lineitem"), "terms", dict(field="l_linestatus"), "key", None)
+    out = _plain(aggs.level(rows, ["key"], dict(q=aggs.metric(rows, "q", "extended_stats", dict(field="l_quantity"), True))))
     return out.select("key", F.round("q_q", 2).alias("squares"), F.round("q_v", 6).alias("variance"))
 
 
 @_add("agg_metrics", "SELECT count(o_totalprice) AS n, round(sum(o_totalprice), 2) AS s, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(avg(o_totalprice), 4) AS a FROM orders")
 def _metrics(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    kinds = {"c": "value_count", "s": "sum", "l": "min", "h": "max", "a": "avg"}
-    out = _plain(aggs.level(orders, [], {k: aggs.metric(orders, k, kind, {"field": "o_totalprice"}, True) for k, kind in kinds.items()}))
+    kinds = dict(c="value_count", s="sum", l="min", h="max", a="avg")
+    out = _plain(aggs.level(orders, [], {k: aggs.metric(orders, k, kind, dict(field="o_totalprice"), True) for k, kind in kinds.items()}))
     return out.select(F.col("c_n").alias("n"), F.round("s_s", 2).alias("s"), F.col("l_lo").alias("lo"), F.col("h_hi").alias("hi"), F.round(F.col("a_s") / F.col("a_n"), 4).alias("a"))
 
 
-@_add("agg_percentiles", "SELECT p AS percent, round(quantile_cont(o_totalprice, p / 100), 4) AS value FROM orders, (SELECT unnest([1.0, 5.0, 25.0, 50.0, 75.0, 95.0, 99.0])::double AS p) GROUP BY p".replace("quantile_cont(o_totalprice, p / 100)", "CASE p " + " ".join(f"WHEN {p} THEN quantile_cont(o_totalprice, {p / 100})" for p in aggs.DEFAULT_PERCENTS) + " END"))
+@_add("agg_percentiles", "SELECT p AS percent, round(quantile_cont(o_totalprice, p / 100), 4) AS value FROM orders, (SELECT unnest(PERCENTS)::double AS p) GROUP BY p".replace("quantile_cont(o_totalprice, p / 100)", "CASE p " + " ".join(f"WHEN {p} THEN quantile_cont(o_totalprice, {p / 100})" for p in aggs.DEFAULT_PERCENTS) + " END").replace("PERCENTS", str(aggs.DEFAULT_PERCENTS)))
 def _percentiles(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
-    out = _plain(aggs.level(orders, [], {"p": aggs.metric(orders, "p", "percentiles", {"field": "o_totalprice"}, True)}))
+    out = _plain(aggs.level(orders, [], dict(p=aggs.metric(orders, "p", "percentiles", dict(field="o_totalprice"), True))))
     return out.select(F.explode(F.arrays_zip(F.array(*map(F.lit, aggs.DEFAULT_PERCENTS)).alias("percent"), F.col("p").alias("value"))).alias("x")).select("x.percent", F.round("x.value", 4).alias("value"))
 
 
 @_add("agg_cardinality", "SELECT count(DISTINCT l_partkey) AS n FROM lineitem")
 def _cardinality(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem")
-    return _plain(aggs.level(lines, [], {"n": aggs.metric(lines, "n", "cardinality", {"field": "l_partkey"}, True)})).select("n")
+    return _plain(aggs.level(lines, [], dict(n=aggs.metric(lines, "n", "cardinality", dict(field="l_partkey"), True)))).select("n")
 
 
 @_add("agg_top_hits", "SELECT o_orderpriority AS key, rank::int AS rank, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS rank FROM orders) WHERE rank <= 3")
 def _hits(spark, sf_dir):
-    rows = aggs.bucketed(table(spark, sf_dir, "orders"), "terms", {"field": "o_orderpriority"}, "key", None)
-    spec = {"size": 3, "sort": [{"o_totalprice": "desc"}, {"o_orderkey": "asc"}], "docvalue_fields": ["o_order*"]}
+    rows = aggs.bucketed(table(spark, sf_dir, "orders"), "terms", dict(field="o_orderpriority"), "key", None)
+    spec = dict(size=3, sort=[dict(o_totalprice="desc"), dict(o_orderkey="asc")], docvalue_fields=["o_order*"])
     return aggs.top_hits_frame(rows, spec, ["key"]).select("key", "rank", "o_orderkey", "o_totalprice")
 
 
 @_add("agg_nested", "WITH g AS (SELECT l_returnflag AS k0, l_suppkey AS k1, count(*) AS doc_count, round(avg(l_quantity), 6) AS quantity FROM lineitem GROUP BY ALL) SELECT k0, k1, doc_count, quantity FROM (SELECT *, row_number() OVER (PARTITION BY k0 ORDER BY doc_count DESC, k1) AS r FROM g) WHERE r <= 5")
 def _nested(spark, sf_dir):
-    rows = aggs.bucketed(table(spark, sf_dir, "lineitem"), "terms", {"field": "l_returnflag"}, "k0", None)
-    out = _plain(aggs.terms_frame(rows, {"field": "l_suppkey", "size": 5}, {"q": aggs.metric(rows, "q", "avg", {"field": "l_quantity"}, True)}, ["k0"], "k1"))
+    rows = aggs.bucketed(table(spark, sf_dir, "lineitem"), "terms", dict(field="l_returnflag"), "k0", None)
+    out = _plain(aggs.terms_frame(rows, dict(field="l_suppkey", size=5), dict(q=aggs.metric(rows, "q", "avg", dict(field="l_quantity"), True)), ["k0"], "k1"))
     return out.select("k0", "k1", "doc_count", F.round(F.col("q_s") / F.col("q_n"), 6).alias("quantity"))
 
 
@@ -459,7 +459,7 @@ def _tree(spark, sf_dir):
     """The whole response of a nested request, as JSON."""
     import json
 
-    request = {"flags": {"terms": {"field": "l_returnflag"}, "aggs": {"quantity": {"stats": {"field": "l_quantity"}}, "price": {"histogram": {"field": "l_extendedprice", "interval": 20000}}}}}
+    request = dict(flags=dict(terms=dict(field="l_returnflag"), aggs=dict(quantity=dict(stats=dict(field="l_quantity")), price=dict(histogram=dict(field="l_extendedprice", interval=20000)))))
     return spark.createDataFrame([(json.dumps(aggs.aggregate(table(spark, sf_dir, "lineitem"), request), default=str),)], "response string")
 
 
@@ -493,13 +493,13 @@ def _streamed(spark, sf_dir):
 def _built(spark: SparkSession, sf_dir: str) -> Index:
     """An index of the documents: two commits, deletes by id and by query, compacted."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-index-")
-    index = Index.create(spark, f"{root.rstrip('/')}/index-{uuid.uuid4().hex}", {"fields": [{"name": "body", "type": "text"}, {"name": "lang", "type": "string"}, {"name": "n_chars", "type": "i64"}], "tokenizer": "simple", "shards": 4})
+    index = Index.create(spark, f"{root.rstrip('/')}/index-{uuid.uuid4().hex}", dict(fields=[dict(name="body", type="text"), dict(name="lang", type="string"), dict(name="n_chars", type="i64")], tokenizer="simple", shards=4))
     docs = documents(spark, sf_dir).docs
     for half in (0, 1):
         index.add_many(docs.where(F.pmod("_node_id", F.lit(2)) == half))
         index.commit()
     index.delete(0)
-    index.delete_by_query({"type": "boolean", "must": [_C("schach")]})
+    index.delete_by_query(dict(type="boolean", must=[_C("schach")]))
     index.commit()
     index.merge()
     return index

@@ -5,12 +5,12 @@ from quillspark.plans import ir
 from quillspark.sources.index import Index
 from quillspark.streaming import ingest
 
-CONFIG = {"fields": [{"name": "title", "type": "text"}, {"name": "body", "type": "text"}, {"name": "year", "type": "i64"}, {"name": "tag", "type": "string"}], "shards": 2}
+CONFIG = dict(fields=[dict(name="title", type="text"), dict(name="body", type="text"), dict(name="year", type="i64"), dict(name="tag", type="string")], shards=2)
 ROWS = [
-    {"_node_id": 1, "title": "Introduction to Python", "body": "Python is good for web work", "year": 2000, "tag": "lang"},
-    {"_node_id": 2, "title": "Rust", "body": "memory safety with rust and mutex_lock", "year": 2024, "tag": "lang"},
-    {"_node_id": 3, "title": "getElementById", "body": "browser script", "year": 2030, "tag": "web"},
-    {"_node_id": 4, "title": None, "body": "machine learning with python", "year": None, "tag": None},
+    dict(_node_id=1, title="Introduction to Python", body="Python is good for web work", year=2000, tag="lang"),
+    dict(_node_id=2, title="Rust", body="memory safety with rust and mutex_lock", year=2024, tag="lang"),
+    dict(_node_id=3, title="getElementById", body="browser script", year=2030, tag="web"),
+    dict(_node_id=4, title=None, body="machine learning with python", year=None, tag=None),
 ]
 
 
@@ -30,10 +30,10 @@ def test_create_open_search(spark, index):
     assert index.num_docs == 4 and index.num_shards == 2
     assert ids(index.search("python")) == [1, 4]
     again = Index.open(spark, index.path)
-    assert ids(again.search({"type": "startsWith", "field": "title", "value": "byid"})) == [3]
+    assert ids(again.search(dict(type="startsWith", field="title", value="byid"))) == [3]
     assert ids(again.search(ir.RegexTerm("body", "pyt.*"))) == [1, 4]
     assert ids(again.search(ir.FuzzyTerm("body", "pyhton", 1))) == [1, 4]
-    row = again.search({"type": "contains", "field": "body", "value": "mutex_lock"}, highlights=True).first()
+    row = again.search(dict(type="contains", field="body", value="mutex_lock"), highlights=True).first()
     assert [(h["from"], h["to"]) for h in row["highlights"]["body"]] == [(28, 38)]
     with pytest.raises(ValueError):
         Index.create(spark, index.path, CONFIG)
@@ -51,7 +51,7 @@ def test_delete_update_and_stamps(index):
     index.delete(8)
     index.commit()
     assert ids(index.search("python")) == [4, 7]
-    index.delete_by_query({"type": "contains", "field": "body", "value": "seven"})
+    index.delete_by_query(dict(type="contains", field="body", value="seven"))
     index.commit()
     assert ids(index.search("python")) == [4]
     index.merge()
@@ -120,7 +120,7 @@ def test_global_statistics(spark, tmp_path, index):
         p.add_many([r for r in ROWS if r["_node_id"] % 2 == k])
         p.commit()
         parts.append(p)
-    q = {"type": "contains", "field": "body", "value": "python"}
+    q = dict(type="contains", field="body", value="python")
     stats = Index.merge_stats(p.export_stats(q) for p in parts)
     got = {r[0]: r["score"] for p in parts for r in p.search_with_global_stats(q, stats).collect()}
     assert got == pytest.approx({r[0]: r["score"] for r in index.search(q).collect()})

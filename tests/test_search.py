@@ -25,7 +25,7 @@ def docs(spark):
 
 @pytest.fixture(scope="module")
 def s(docs):
-    return Searcher(docs, analyzers={"title": "raw_code", "props": "raw"})
+    return Searcher(docs, analyzers=dict(title="raw_code", props="raw"))
 
 
 def found(s, q):
@@ -41,22 +41,22 @@ def ids(s, q):
     [
         ("python web", [1, 4]),
         ("...", []),
-        ({"type": "contains", "field": "body", "value": "ROG"}, [1]),
-        ({"type": "contains", "field": "body", "value": "memory safe"}, [2]),
-        ({"type": "contains", "field": "body", "value": "mory safety mut"}, [2]),
-        ({"type": "contains", "field": "body", "value": "mutex lock", "strict_separators": True}, []),
-        ({"type": "contains", "field": "body", "value": "mutex_lock", "strict_separators": True}, [2]),
-        ({"type": "term", "field": "body", "value": "pyth"}, []),
-        ({"type": "startsWith", "field": "body", "value": "pyth"}, [1, 4]),
-        ({"type": "startsWith", "field": "title", "value": "byid"}, [3]),
-        ({"type": "contains", "field": "title", "value": "tById"}, [3]),
-        ({"type": "term", "field": "title", "value": "getElement"}, [3]),
-        ({"type": "term", "field": "title", "value": "getElem"}, []),
-        ({"type": "regex", "field": "body", "pattern": "mutex.*device"}, [2]),
-        ({"type": "fuzzy", "field": "body", "value": "sql9consol"}, [3]),
-        ({"type": "contains", "field": "body", "value": "caf"}, [5]),
-        ({"type": "boolean", "must_not": [{"type": "contains", "field": "body", "value": "x"}]}, []),
-        ({"type": "boolean", "must": [{"type": "contains", "field": "body", "value": "python"}], "must_not": [{"type": "contains", "field": "body", "value": "machine"}]}, [1]),
+        (dict(type="contains", field="body", value="ROG"), [1]),
+        (dict(type="contains", field="body", value="memory safe"), [2]),
+        (dict(type="contains", field="body", value="mory safety mut"), [2]),
+        (dict(type="contains", field="body", value="mutex lock", strict_separators=True), []),
+        (dict(type="contains", field="body", value="mutex_lock", strict_separators=True), [2]),
+        (dict(type="term", field="body", value="pyth"), []),
+        (dict(type="startsWith", field="body", value="pyth"), [1, 4]),
+        (dict(type="startsWith", field="title", value="byid"), [3]),
+        (dict(type="contains", field="title", value="tById"), [3]),
+        (dict(type="term", field="title", value="getElement"), [3]),
+        (dict(type="term", field="title", value="getElem"), []),
+        (dict(type="regex", field="body", pattern="mutex.*device"), [2]),
+        (dict(type="fuzzy", field="body", value="sql9consol"), [3]),
+        (dict(type="contains", field="body", value="caf"), [5]),
+        (dict(type="boolean", must_not=[dict(type="contains", field="body", value="x")]), []),
+        (dict(type="boolean", must=[dict(type="contains", field="body", value="python")], must_not=[dict(type="contains", field="body", value="machine")]), [1]),
         (ir.Exists("tags"), [1, 2, 5]),
         (ir.Exists("props.a.b"), [1, 2]),
         (ir.Range("props.a.b", 4, None), [2]),
@@ -80,22 +80,22 @@ def test_matches(s, query, want):
 
 def test_overlapping_matches_count(s):
     n, tokens = s.corpus("body")
-    (score,) = found(s, {"type": "contains", "field": "body", "value": "aa"}).values()
+    (score,) = found(s, dict(type="contains", field="body", value="aa")).values()
     length = 4
     assert score == pytest.approx(bm25.idf(n, 1) * 2.2 * 3 / (3 + 1.2 * (0.25 + 0.75 * length / (tokens["body"] / n))))
 
 
 def test_scores_combine(s):
-    a, b = {"type": "contains", "field": "title", "value": "python"}, {"type": "contains", "field": "body", "value": "python"}
+    a, b = dict(type="contains", field="title", value="python"), dict(type="contains", field="body", value="python")
     fa, fb = found(s, a), found(s, b)
-    both = found(s, {"type": "boolean", "should": [a, b]})
-    best = found(s, {"type": "disjunction_max", "queries": [a, b], "tie_breaker": 0.2})
+    both = found(s, dict(type="boolean", should=[a, b]))
+    best = found(s, dict(type="disjunction_max", queries=[a, b], tie_breaker=0.2))
     for i in both:
         x, y = fa.get(i, 0), fb.get(i, 0)
         assert both[i] == pytest.approx(x + y) and best[i] == pytest.approx(max(x, y) + 0.2 * min(x, y))
     assert found(s, ir.Boost(s.parsed(b), 3)) == pytest.approx({i: 3 * v for i, v in fb.items()})
     assert set(found(s, ir.Const(s.parsed(b), 2.0)).values()) == {2.0}
-    filtered = found(s, {**b, "filters": [{"field": "year", "op": "lt", "value": 2001}]})
+    filtered = found(s, dict(**b, filters=[dict(field="year", op="lt", value=2001)]))
     assert filtered == pytest.approx({1: fb[1]})
 
 
@@ -103,22 +103,22 @@ def test_filters(s):
     def keep(f):
         return ids(s, ir.Const(dsl.build_filter(f, s.docs.schema), 0.0))
 
-    assert keep({"field": "year", "op": "ne", "value": 2000}) == [2, 3, 4, 5]  # null isn't equal
-    assert keep({"field": "year", "op": "not_in", "value": [2000, 2001]}) == [2, 3, 5]
-    assert keep({"field": "year", "op": "between", "value": [2001, 2024]}) == [2, 4]
-    assert keep({"field": "tags", "op": "eq", "value": "a"}) == [1, 5]
-    assert keep({"field": "title", "op": "starts_with", "value": "Sys"}) == [2]
-    assert keep({"op": "must_not", "clauses": [{"field": "year", "op": "gte", "value": 2024}]}) == [1, 4, 5]
-    for bad in ({"field": "nope", "op": "eq", "value": 1}, {"field": "year", "op": "near", "value": 1}, {"field": "year", "op": "in", "value": []}, {"field": "year", "op": "between", "value": [1]}, {"field": "year", "op": "eq", "value": "x"}, {"op": "must", "clauses": []}, {"field": "year", "op": "eq"}):
+    assert keep(dict(field="year", op="ne", value=2000)) == [2, 3, 4, 5]  # null isn't equal
+    assert keep(dict(field="year", op="not_in", value=[2000, 2001])) == [2, 3, 5]
+    assert keep(dict(field="year", op="between", value=[2001, 2024])) == [2, 4]
+    assert keep(dict(field="tags", op="eq", value="a")) == [1, 5]
+    assert keep(dict(field="title", op="starts_with", value="Sys")) == [2]
+    assert keep(dict(op="must_not", clauses=[dict(field="year", op="gte", value=2024)])) == [1, 4, 5]
+    for bad in (dict(field="nope", op="eq", value=1), dict(field="year", op="near", value=1), dict(field="year", op="in", value=[]), dict(field="year", op="between", value=[1]), dict(field="year", op="eq", value="x"), dict(op="must", clauses=[]), dict(field="year", op="eq")):
         with pytest.raises(ValueError):
             dsl.build_filter(bad, s.docs.schema)
-    for bad in ({"type": "boolean"}, {"type": "nope"}, {"type": "contains", "field": "x", "value": "y"}, {"type": "contains", "field": "body"}, {"type": "disjunction_max"}, {"kind": 1}):
+    for bad in (dict(type="boolean"), dict(type="nope"), dict(type="contains", field="x", value="y"), dict(type="contains", field="body"), dict(type="disjunction_max"), dict(kind=1)):
         with pytest.raises(ValueError):
             dsl.build(bad, s.docs.schema)
 
 
 def test_partitions_do_not_matter(docs):
-    q = {"type": "boolean", "should": [{"type": "contains", "field": "body", "value": "python"}, {"type": "fuzzy", "field": "body", "value": "machine lerning"}]}
+    q = dict(type="boolean", should=[dict(type="contains", field="body", value="python"), dict(type="fuzzy", field="body", value="machine lerning")])
     assert found(Searcher(docs.coalesce(1)), q) == pytest.approx(found(Searcher(docs.repartition(5)), q))
 
 
@@ -170,8 +170,8 @@ def test_query_strings(s, source, want):
 def test_query_string_options(s):
     schema = s.docs.schema
     assert ids(s, querystring.parse("python web", schema, ["body"], conjunction=True)) == [1]
-    assert isinstance(querystring.parse("pyhton", schema, ["body"], fuzzy={"body": (1, True, False)}), ir.FuzzyTerm)
-    assert querystring.parse("x", schema, ["body"], boosts={"body": 2.0}) == ir.Boost(ir.Term("body", "x"), 2.0)
+    assert isinstance(querystring.parse("pyhton", schema, ["body"], fuzzy=dict(body=(1, True, False))), ir.FuzzyTerm)
+    assert querystring.parse("x", schema, ["body"], boosts=dict(body=2.0)) == ir.Boost(ir.Term("body", "x"), 2.0)
     for bad in ("nosuch:x", "(a", '"a', "year:x", "-a", "year:[1 2]", "body:/a"):
         with pytest.raises(querystring.ParseError):
             querystring.parse(bad, schema, ["body"])
@@ -182,7 +182,7 @@ def test_query_string_options(s):
 
 
 def test_highlights_and_snippets(s):
-    row = s.search({"type": "contains", "field": "body", "value": "caf"}, highlights=True, fields=["body"]).first()
+    row = s.search(dict(type="contains", field="body", value="caf"), highlights=True, fields=["body"]).first()
     raw = row["body"].encode()
     assert [raw[h["from"] : h["to"]].decode() for h in row["highlights"]["body"]] == ["caf"]
     assert approximate.highlight("aaa ba", ["aa", "aa"]) == [(0, 2)]
@@ -200,7 +200,7 @@ def test_allowed_ids_offset_and_order(s, docs):
     order = lambda way: [r[0] for r in collectors.order_by(docs, [("year", way)], 10).collect()]
     assert order("natural") == [3, 2, 4, 1, 5] and order("reverse") == [5, 1, 4, 2, 3]
     assert order("reverse_none_lower") == [1, 4, 2, 3, 5] and order("natural_none_higher") == [5, 3, 2, 4, 1]
-    assert collectors.multi(docs, {"n": collectors.count, "year": lambda d: d.agg(F.max("year")).first()[0]}) == {"n": 5, "year": 2030}
+    assert collectors.multi(docs, dict(n=collectors.count, year=lambda d: d.agg(F.max("year")).first()[0])) == dict(n=5, year=2030)
 
 
 def test_facets(spark):
@@ -223,7 +223,7 @@ def test_analyzers(spark):
 
 
 def test_statistics_merge(docs):
-    q = {"type": "contains", "field": "body", "value": "python"}
+    q = dict(type="contains", field="body", value="python")
     whole = Searcher(docs)
     parts = [Searcher(docs.where(F.col("_node_id") % 2 == k)) for k in (0, 1)]
     stats = parts[0].export_stats(q).merge(parts[1].export_stats(q))
