@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, bucket
+from quillspark.llm.common import arrow_map, bucket, claim
 
 TABLE, SMOOTH = 1 << 16, 0.5
 #: Labelled rows that measure how reliable each bit is for each language: at most so many.
@@ -62,6 +62,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
     """lang, gram, n over all rows with text and lang; a row per language and n-gram from each task, then their sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ecoc", int)
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -145,6 +146,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     spread = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("ecoc", int)
         found = [spread.value.predict(t) for t in batch.column(1).to_pylist()]
         held = [bucket(i, 3) == 1 for i in batch.column(0).to_pylist()]
         lang, score, unsure = zip(*found)
@@ -159,6 +161,7 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("ecoc", int)
         return batch.filter(pa.array([not spread.value.predict(t)[2] for t in batch.column(at).to_pylist()], pa.bool_()))
 
     return arrow_map(docs, rows, docs.schema)

@@ -28,7 +28,7 @@ SEQUENCE, GRAIN, END = 4096, 8, 2
 #: Pricing rounds; stopping early keeps a valid, slightly looser packing.
 ROUNDS = 4000
 #: Words whose ids a worker remembers; ranked rows of one window group.
-REMEMBERED, GROUP_ROWS = 800_000, 1_000_000
+REMEMBERED, GROUP_ROWS = 500_000, 1_000_000
 APART = "\x00"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -83,7 +83,6 @@ class Words:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts behind each other, and where each text's begin (one entry more)."""
-        claim("packing", _loaded.clear)
         low = pc.ascii_lower(texts)  # as the normaliser would, unless that made a special token
         words, codes, offsets = split_words(texts if pc.any(pc.match_substring(low, "<|")).as_py() else low)
         words = words.to_pylist()
@@ -101,6 +100,7 @@ _loaded: dict[str, Words] = {}
 
 
 def words(path: str) -> Words:
+    claim("packing", _loaded.clear)
     if path not in _loaded:
         _loaded[path] = Words(path)
     return _loaded[path]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map
+from quillspark.llm.common import arrow_map, claim
 
 KINDS = ("email", "ip", "card", "phone")
 LONGEST = 24
@@ -292,6 +292,7 @@ def detect(docs: DataFrame) -> DataFrame:
     spread = docs.sparkSession.sparkContext.broadcast(fitted())  # some hundred weights
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("pii", int)
         counts, digest, spans, added = [], [], [], []
         for text in batch.column(1).to_pylist():
             base, every = find(text, spread.value)
@@ -313,6 +314,7 @@ def redact(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        claim("pii", int)
         texts = [None if t is None else redacted(t, s) if (s := find(t, spread.value)[1]) else t for t in batch.column(names.index("text")).to_pylist()]
         columns = list(batch.columns)
         columns[names.index("text")] = pa.array(texts, pa.string())
