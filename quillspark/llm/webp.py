@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import arrow_map
 
 ROW, WIDTH, ROWS = 576, 192, 2048
-_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
+_ORDER = (17, 18, *range(6), 16, *range(6, 16))
 
 
 def _plane_offsets() -> list[tuple[int, int]]:
