@@ -27,8 +27,8 @@ from quillspark.llm.common import arrow_map, claim, expand, split_words, stage
 SEQUENCE, GRAIN, END = 4096, 8, 2
 #: Pricing rounds; stopping early keeps a valid, slightly looser packing.
 ROUNDS = 4000
-#: Words whose ids a worker remembers; ranked rows of one window group.
-REMEMBERED, GROUP_ROWS = 500_000, 1_000_000
+#: Words whose ids a worker remembers, twice so many at most; ranked rows of one window group.
+REMEMBERED, GROUP_ROWS = 450_000, 1_000_000
 APART = "\x00"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
@@ -47,7 +47,7 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.known, self.before = Tokenizer.from_file(path), {}, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.apart = self._plain([APART])[0]
@@ -86,9 +86,13 @@ class Words:
         low = pc.ascii_lower(texts)  # as the normaliser would, unless that made a special token
         words, codes, offsets = split_words(texts if pc.any(pc.match_substring(low, "<|")).as_py() else low)
         words = words.to_pylist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        if len(self.known) > REMEMBERED:  # two generations: what is used again moves on, the rest is forgotten
+            self.known, self.before = {}, self.known
         if new := [w for w in words if w not in self.known]:
+            if self.before:
+                get = self.before.get
+                self.known.update((w, ids) for w in new if (ids := get(w)) is not None)
+                new = [w for w in new if w not in self.known]
             self._learn(new)
         ids = [self.known[w] for w in words]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
