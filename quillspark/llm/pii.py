@@ -18,6 +18,7 @@ import hashlib
 import math
 import random
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from functools import lru_cache
 
@@ -79,7 +80,7 @@ def base_spans(text: str) -> list[Span]:
 
 # ---- the field ----
 
-_ZONE = re.compile(r"[(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,}+|[A-Za-z0-9._%+-]+ ?(?:@|[\[({<] ?(?:at|AT) ?[\])}>]| (?:at|AT) ) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({<] ?(?:dot|DOT) ?[\])}>]| (?:dot|DOT) ) ?[A-Za-z0-9-]+)+")
+_ZONE = re.compile(r"[(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,}+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[\[({<] ?(?:at|AT) ?[\])}>]| (?:at|AT) ) ?[A-Za-z0-9-]++(?: ?(?:\.|[\[({<] ?(?:dot|DOT) ?[\])}>]| (?:dot|DOT) ) ?[A-Za-z0-9-]++)+")
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 _WORDS = {"tel": "tel", "phone": "tel", "call": "tel", "telefon": "tel", "mobile": "tel", "fax": "tel", "cell": "tel", "dial": "tel", "whatsapp": "tel", "ring": "tel", "card": "card", "visa": "card", "mastercard": "card", "credit": "card", "debit": "card", "ip": "ip", "server": "ip", "host": "ip", "addr": "ip", "mail": "mail", "email": "mail", "contact": "mail", "write": "mail", "date": "no", "order": "no", "invoice": "no", "isbn": "no", "id": "no", "ref": "no", "account": "no", "number": "no", "version": "no", "population": "no", "from": "no"}
 
@@ -248,18 +249,25 @@ def _log_sum(values: list[float]) -> float:
 def added_spans(text: str, base: list[Span], weights: dict[tuple[str, str], float]) -> list[Span]:
     """What the field finds beside the base spans."""
     out: list[Span] = []
-    taken = sorted((a, b) for _, a, b in base)
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, b in sorted((a, b) for _, a, b in base):  # as stretches that don't overlap
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for zone in _ZONE.finditer(text):
         start, end = zone.span()
-        if end - start > 400 or any(a < end and start < b for a, b in taken):
-            # an entity is bounded; of a longer stretch, or one that a base span cuts, what lies between is tried piece by piece
-            edges = [start, *(x for a, b in taken if a < end and start < b for x in (max(start, a), min(end, b))), end]
-            pieces = [(edges[k], edges[k + 1]) for k in range(0, len(edges), 2)]
-        else:
-            pieces = [(start, end)]
+        # of a stretch that base spans cut, what lies between them is tried piece by piece
+        edges = [start]
+        for k in range(bisect_right(ends, start), bisect_left(starts, end)):
+            edges += [max(start, starts[k]), min(end, ends[k])]
+        edges.append(end)
+        pieces = [(edges[k], edges[k + 1]) for k in range(0, len(edges), 2)]
         for a, b in pieces:
             if b - a >= 7:
-                for k in range(a, b, 400):
+                for k in range(a, b, 400):  # an entity is bounded
                     out += decode(text, k, min(b, k + 400), weights)
     return out
 

@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -45,6 +46,14 @@ def test_field_adds_spans_and_leaves_numbers_alone():
         assert found(clean) == []
 
 
+def test_long_runs_and_many_spans_take_linear_time():
+    weights, began = pii.fitted(), time.perf_counter()
+    for text in ("a1" * 300_000, "1" * 400_000, "x@" * 200_000, "1.2.3.4 555-123-4567 a@b.cd " * 4000, "+1" + " " * 200_000, "1.2." * 100_000):
+        base, every = pii.find(text, weights)
+        assert len(every) >= len(base)
+    assert time.perf_counter() - began < 60
+
+
 def test_decoding_is_the_best_of_all_segmentations():
     weights = pii.fitted()
     text = "tel (555) 123-4567 or 555-123-9999"
