@@ -268,8 +268,8 @@ def terms_frame(df: DataFrame, spec: dict, metrics: dict[str, Metric] | None = N
         kept = ranked.where(F.col("rank") <= size)
         return kept.withColumn("other", F.col("total") - F.sum("doc_count").over(window))
     kept = groups.orderBy(*sort).limit(size)
-    whole = groups.agg(F.sum("doc_count").alias("total"))
-    return kept.crossJoin(F.broadcast(whole)).withColumn("rank", F.row_number().over(Window.orderBy(*sort)))  # one row against at most size rows
+    total = groups.agg(F.sum("doc_count")).first()[0] or 0
+    return kept.withColumns({"total": F.lit(int(total)).cast("long"), "rank": F.row_number().over(Window.orderBy(*sort))})  # at most size rows
 
 
 def aggregate(df: DataFrame, request: dict, exact: bool = False, matcher: Callable | None = None) -> dict:

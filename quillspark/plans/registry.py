@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -15,6 +16,7 @@ from quillspark.operators import collectors, snippets
 from quillspark.operators.search import Searcher, top_k
 from quillspark.plans import ir, querystring
 from quillspark.sources.index import Index
+from quillspark.sources.storage import Storage
 from quillspark.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -490,10 +492,19 @@ def _streamed(spark, sf_dir):
 # ---- the index ----
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        Storage(spark, path).delete()
+    except Exception:  # the session has ended before us: its owner cleans the shared folder
+        pass
+
+
 def _built(spark: SparkSession, sf_dir: str) -> Index:
     """An index of the documents: two commits, deletes by id and by query, compacted."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quillspark-index-")
-    index = Index.create(spark, f"{root.rstrip('/')}/index-{uuid.uuid4().hex}", dict(fields=[dict(name="body", type="text"), dict(name="lang", type="string"), dict(name="n_chars", type="i64")], tokenizer="simple", shards=4))
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-index-")
+    path = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, path)
+    index = Index.create(spark, path, dict(fields=[dict(name="body", type="text"), dict(name="lang", type="string"), dict(name="n_chars", type="i64")], tokenizer="simple", shards=4))
     docs = documents(spark, sf_dir).docs
     for half in (0, 1):
         index.add_many(docs.where(F.pmod("_node_id", F.lit(2)) == half))
