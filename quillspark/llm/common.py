@@ -37,7 +37,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    # with its file system, as tasks that write files themselves need to know it too
+    at = spark._jvm.org.apache.hadoop.fs.Path(found)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString().rstrip("/")
+    return "file://" + whole[len("file:") :] if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 _kept: set[str] = set()
