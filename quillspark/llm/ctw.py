@@ -5,11 +5,15 @@ binary decisions. Every decision (node of the byte's binary tree) has a context
 before it; its nodes hold Krichevsky-Trofimov counts, and the prediction mixes the estimates of all
 depths with the weights that context-tree weighting gives them.
 
-One scan counts the n-grams of every depth, another the words; each task adds up its own before the
-shuffle. The model that is sent to the executors has the most frequent contexts with at most KEPT n-grams
-a depth; all other contexts' counts go, in full, to their parent's node and to that parent's branch for
-all other contexts, so probabilities still add up to one. Words of the base score that are frequent (at
-most HOT) are looked up in place; all others are joined with the counts by word.
+Every n-gram counts, however rare; no table of them is sent around. One scan cuts the documents into
+blocks and lists each block's distinct n-grams with how often it teaches them, in parts by a hash of the two
+bytes before. Each part adds up what all blocks list and works out its contexts of depth 2 to DEPTH; only
+sums by context of depth 1 (at most 256 of them) reach the driver. Each part then answers every block's list,
+and a block's texts look their bytes up in the answers. Another scan counts the words: those of the base
+score that are frequent (at most HOT) are looked up in place; all others are joined with the counts by word.
+
+`train` makes a model in one process, of the most frequent contexts with at most `kept` n-grams a depth (the
+counts of others go, in full, to their parent's branch for all other contexts). Scores don't use it.
 
 Cases: a null text is empty and has the end token alone; a null doc_id has bucket crc32("") % 7 = 0 and
 is learnt from; rows that repeat count each; with nothing to learn from, N = V = 0 and the base score is 0.
@@ -17,20 +21,25 @@ is learnt from; rows that repeat count each; with nothing to learn from, N = V =
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import arrow_map, bucket, claim, split_words, stage
+from quillspark.llm.common import bucket, claim, split_words, stage
 
 DEPTH, KEPT, HOT = 5, 1 << 18, 1 << 19
 #: Stands for the end token among words (no word holds white space); its byte never occurs in UTF-8.
 END = " "
 _CHUNK, _HELD, _TABLE_BITS = 1 << 19, 2_500_000, 21
+#: A block of texts ends at so many bytes or distinct n-grams.
+BLOCK_BYTES, BLOCK_KEYS = 32 << 20, 1 << 20
+#: Contexts up to this depth are in several parts, so they are added up over all.
+UPPER = 1
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -160,11 +169,14 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
 class Model:
     """Per depth and bit: sorted nodes (context and bits so far), weight of stopping there, and the chances of a one here and in the branch of all other contexts."""
 
-    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]]):
-        """tables: for each depth, sorted keys and counts; a context is there with all its bytes or not at all."""
+    def __init__(self, tables: list[tuple[np.ndarray, np.ndarray]], bits: Iterable[int] = range(8)):
+        """tables: for each depth, sorted keys and counts; a context is there with all its bytes or not at all.
+
+        Tables of the first depths may be empty; then the model ends at the least depth that isn't."""
         self.nodes: list[list[tuple[np.ndarray, ...]]] = [[() for _ in range(8)] for _ in range(len(tables))]
         self.cache: tuple[np.ndarray, np.ndarray] | None = None
-        for bit in range(8):
+        self.top: list[tuple[np.ndarray, ...] | None] = [None] * 8
+        for bit in bits:
             below = None
             for depth in range(len(tables) - 1, -1, -1):
                 key, n = tables[depth]
@@ -194,26 +206,29 @@ class Model:
                     stop = 1 / (1 + np.exp(np.clip(split - estimate, -700, 700)))
                 self.nodes[depth][bit] = node, stop.astype(np.float32), ((b + 0.5) / (total + 1)).astype(np.float32), ((rest_b + 0.5) / (rest_a + rest_b + 1)).astype(np.float32)
                 below = node, whole, a, b
+            self.top[bit] = below
+
+    def chances(self, key: np.ndarray, bit: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probability of each key's own bit after its context and the bits before, and whether the least depth has that node."""
+        byte = key & np.uint64(255)
+        prefix = np.uint64(1 << bit) | byte >> np.uint64(8 - bit)
+        one = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+        p, there = np.full(len(key), 0.5), np.zeros(len(key), bool)
+        for depth in range(len(self.nodes) - 1, -1, -1):
+            node, stop, here, rest = self.nodes[depth][bit]
+            if not len(node):
+                continue
+            want = (key & np.uint64(((1 << (8 * depth + 8)) - 1) & ~255)) | prefix
+            at = np.minimum(np.searchsorted(node, want), len(node) - 1)
+            found = node[at] == want
+            w = stop[at].astype(np.float64)
+            p = np.where(found, w * here[at] + (1 - w) * np.where(there, p, rest[at]), 0.5)
+            there = found
+        return np.where(one, p, 1 - p), there
 
     def log_chances(self, key: np.ndarray) -> np.ndarray:
         """log10 probability of each key's byte after its context."""
-        out, byte = np.zeros(len(key)), key & np.uint64(255)
-        for bit in range(8):
-            prefix = np.uint64(1 << bit) | byte >> np.uint64(8 - bit)
-            p, there = np.full(len(key), 0.5), np.zeros(len(key), bool)
-            for depth in range(len(self.nodes) - 1, -1, -1):
-                node, stop, here, rest = self.nodes[depth][bit]
-                if not len(node):
-                    continue
-                want = (key & np.uint64(((1 << (8 * depth + 8)) - 1) & ~255)) | prefix
-                at = np.minimum(np.searchsorted(node, want), len(node) - 1)
-                found = node[at] == want
-                w = stop[at].astype(np.float64)
-                p = np.where(found, w * here[at] + (1 - w) * np.where(there, p, rest[at]), 0.5)
-                there = found
-            one = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
-            out += np.log10(np.where(one, p, 1 - p))
-        return out
+        return sum(np.log10(self.chances(key, bit)[0]) for bit in range(8))
 
     def remembered(self, key: np.ndarray) -> np.ndarray:
         """log_chances by way of a table with one place for each hash; what isn't there is worked out and put there."""
@@ -237,13 +252,18 @@ class Model:
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         """log10 probability of each text."""
-        sums, at = np.zeros(len(texts)), 0
-        for key, own, begin in _chunks(texts):
-            value = np.where(own, self.remembered(key), 0.0)
-            first, last = np.searchsorted(begin, at, "right") - 1, np.searchsorted(begin, at + len(key), "left")
-            sums[first:last] += np.add.reduceat(value, np.maximum(begin[first:last] - at, 0))
-            at += len(key)
-        return sums
+        return _sums(texts, self.remembered)
+
+
+def _sums(texts: list[str | None], look_up: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """For each text: the sum of what its keys look up."""
+    sums, at = np.zeros(len(texts)), 0
+    for key, own, begin in _chunks(texts):
+        value = np.where(own, look_up(key), 0.0)
+        first, last = np.searchsorted(begin, at, "right") - 1, np.searchsorted(begin, at + len(key), "left")
+        sums[first:last] += np.add.reduceat(value, np.maximum(begin[first:last] - at, 0))
+        at += len(key)
+    return sums
 
 
 def train(docs: DataFrame, kept: int = KEPT) -> Model:
@@ -263,6 +283,202 @@ def train(docs: DataFrame, kept: int = KEPT) -> Model:
     return Model(tables)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers, compressed with the bytes of equal rank together."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: type) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), np.dtype(kind).itemsize
+    raw = pa.decompress(data[8:], decompressed_size=n * width, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).ravel()
+
+
+def _packed_keys(key: np.ndarray) -> bytes:
+    return _packed(np.diff(key, prepend=np.uint64(0)))
+
+
+def _unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data, np.uint64), dtype=np.uint64)
+
+
+def _blocks(docs: DataFrame, parts: int) -> DataFrame:
+    """Rows of documents (part -1), and for each block and part the block's distinct keys with how often they are learnt from."""
+
+    def lists(block: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        context = (key >> np.uint64(8)) & np.uint64(65535)
+        part = (((context * np.uint64(0x9E3779B1)) & np.uint64(0xFFFFFFFF)) >> np.uint64(16)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        key, n, part = key[order], n[order], part[order].astype(np.int32)
+        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        last = [*first[1:], len(key)]
+        columns = [pa.array(part[first]), pa.array([_packed_keys(key[a:b]) for a, b in zip(first, last)], pa.binary()), pa.array([_packed(n[a:b]) for a, b in zip(first, last)], pa.binary())]
+        k = len(first)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), *columns, pa.nulls(k, pa.int64()), pa.nulls(k, pa.string())], names)
+
+    names = ["block", "part", "keys", "n", "doc_id", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ctw", int)
+        block, size = TaskContext.get().partitionId() << 32, 0
+        keys: list[np.ndarray] = []
+        times: list[np.ndarray] = []
+        for batch in batches:
+            k, texts = batch.num_rows, batch.column(1).to_pylist()
+            if not k:
+                continue
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, block)), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), *batch.columns], names)
+            held = [bucket(i, 7) == 2 for i in batch.column(0).to_pylist()]
+            for out in (False, True):
+                for key, own, _ in _chunks([t for t, h in zip(texts, held) if h == out]):
+                    key, n = np.unique(key[own], return_counts=True)
+                    keys.append(key)
+                    times.append(n * (not out))
+                    if sum(map(len, keys)) > _HELD:
+                        key, n = _added(keys, times)
+                        keys, times = [key], [n]
+            size += batch.nbytes
+            if size > BLOCK_BYTES or len(keys[0]) > BLOCK_KEYS:
+                yield lists(block, *_added(keys, times))
+                block, size, keys, times = block + 1, 0, [], []
+        if keys:
+            yield lists(block, *_added(keys, times))
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "block long, part int, keys binary, n binary, doc_id long, text string")
+
+
+def _nodes(blocks: DataFrame) -> DataFrame:
+    """For each part: its keys, for each the chances of its bits by the contexts deeper than UPPER (not a number where there
+    is none), and the sums of those contexts for the nodes of depth UPPER."""
+    sums_type = pa.struct([("node", pa.int64()), ("whole", pa.float64()), ("a", pa.float64()), ("b", pa.float64())])
+
+    def worked_out(part: int, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        none = np.empty(0, np.uint64), np.empty(0, np.int64)
+        deeper = [(key[n > 0], n[n > 0])]
+        for depth in range(DEPTH - 1, UPPER, -1):
+            deeper.insert(0, _added([deeper[0][0] & np.uint64((1 << (8 * depth + 8)) - 1)], [deeper[0][1]]) if len(deeper[0][0]) else none)
+        chances, sums = np.empty((8, len(key)), np.float32), []
+        for bit in range(8):
+            model = Model([none] * (UPPER + 1) + deeper, (bit,))
+            p, there = model.chances(key, bit)
+            chances[bit] = np.where(there, p, np.nan)
+            if model.top[bit]:
+                node, *values = model.top[bit]
+                parent, at = np.unique(node & np.uint64((1 << (8 * UPPER + 8)) - 1), return_inverse=True)
+                sums.append((parent.view(np.int64), *(np.bincount(at, v, len(parent)) for v in values)))
+        columns = [np.concatenate(c) for c in zip(*sums)] if sums else [np.empty(0, np.int64), *(np.empty(0),) * 3]
+        listed = pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(sums_type))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32()), pa.array([_packed_keys(key)], pa.binary()), pa.array([_packed(chances.ravel())], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(listed)], pa.int32()), listed)],
+            ["part", "keys", "chances", "sums"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ctw", int)
+        now, keys, times = -1, [], []
+        for batch in batches:
+            for part, key, n in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != now and keys:
+                    yield worked_out(now, *_added(keys, times))
+                    keys, times = [], []
+                now = part
+                keys.append(_unpacked_keys(key))
+                times.append(_unpacked(n, np.int64))
+                if sum(map(len, keys)) > max(_HELD, 2 * len(keys[0])):
+                    key, n = _added(keys, times)
+                    keys, times = [key], [n]
+        if keys:
+            yield worked_out(now, *_added(keys, times))
+
+    lists = blocks.where("part >= 0").select("part", "keys", "n").repartition("part").sortWithinPartitions("part")
+    return lists.mapInArrow(run, "part int, keys binary, chances binary, sums array<struct<node: long, whole: double, a: double, b: double>>")
+
+
+def _upper(nodes: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For depths 0 to UPPER, by node: weight of stopping there (not a number where there is none) and chance of a one."""
+    sums = nodes.select(F.explode("sums").alias("s")).groupBy("s.node").agg(F.sum("s.whole"), F.sum("s.a"), F.sum("s.b")).toArrow()
+    at, split, a, b = (c.to_numpy() for c in sums.columns)
+    out = []
+    for depth in range(UPPER, -1, -1):
+        estimate = _log_gamma(a + 0.5) + _log_gamma(b + 0.5) - _log_gamma(a + b + 1) - np.log(np.pi)
+        size = 1 << (8 * depth + 8)
+        stop, here = np.full(size, np.nan), np.full(size, 0.5)
+        stop[at], here[at] = 1 / (1 + np.exp(np.clip(split - estimate, -700, 700))), (b + 0.5) / (a + b + 1)
+        out.insert(0, (stop, here))
+        whole = np.logaddexp(estimate, split) - np.log(2)
+        at, back = np.unique(at & ((size >> 8) - 1), return_inverse=True)
+        split, a, b = (np.bincount(back, x, len(at)) for x in (whole, a, b))
+    return out
+
+
+def _log_chances(key: np.ndarray, chances: np.ndarray, upper: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """log10 probability of each key's byte: the deeper contexts' chances of its bits (8, keys), mixed with the upper nodes."""
+    out, byte = np.zeros(len(key)), key & np.uint64(255)
+    for bit in range(8):
+        prefix = np.uint64(1 << bit) | byte >> np.uint64(8 - bit)
+        one = ((byte >> np.uint64(7 - bit)) & np.uint64(1)).astype(bool)
+        p = np.where(np.isnan(chances[bit]), 0.5, chances[bit].astype(np.float64))
+        for depth in range(UPPER, -1, -1):
+            stop, here = (x[(key & np.uint64(((1 << (8 * depth + 8)) - 1) & ~255)) | prefix] for x in upper[depth])
+            p = np.where(np.isnan(stop), 0.5, stop * np.where(one, here, 1 - here) + (1 - stop) * p)
+        out += np.log10(p)
+    return out
+
+
+def _answers(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """block, part, keys, value: log10 probabilities of each block's keys."""
+    upper = blocks.sparkSession.sparkContext.broadcast(_upper(nodes))  # at most 256 contexts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ctw", int)
+        key = value = None
+        for batch in batches:
+            out = []
+            for part, block, keys, chances in zip(*(c.to_pylist() for c in batch.columns)):
+                if block < 0:  # a part's own row comes first
+                    key = _unpacked_keys(keys)
+                    value = _log_chances(key, _unpacked(chances, np.float32).reshape(8, -1), upper.value).astype(np.float32)
+                else:
+                    out.append((block, part, keys, _packed(value[np.searchsorted(key, _unpacked_keys(keys))])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "part", "keys", "value"])
+
+    asked = blocks.where("part >= 0").select("part", "block", "keys", F.lit(None).cast("binary").alias("chances"))
+    both = nodes.select("part", F.lit(-1).cast("long").alias("block"), "keys", "chances").union(asked)
+    return both.repartition("part").sortWithinPartitions("part", "block").mapInArrow(run, "block long, part int, keys binary, value binary")
+
+
+class Answers:
+    """The values of a block's keys, most of them found in one of two tables with one place for each hash."""
+
+    def __init__(self, keys: list[np.ndarray], values: list[np.ndarray]):
+        key, value = np.concatenate(keys), np.concatenate(values)
+        order = np.argsort(key)
+        self.key, self.value, self.tables = key[order], value[order], []
+        for factor in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            slot = self._slot(key, factor)
+            there, held = np.full(1 << _TABLE_BITS, np.iinfo(np.uint64).max, np.uint64), np.zeros(1 << _TABLE_BITS, np.float32)
+            there[slot], held[slot] = key, value  # of keys with one place the last stays, in both
+            self.tables.append((factor, there, held))
+            other = there[slot] != key
+            key, value = key[other], value[other]
+
+    @staticmethod
+    def _slot(key: np.ndarray, factor: int) -> np.ndarray:
+        return ((key * np.uint64(factor)) >> np.uint64(64 - _TABLE_BITS)).view(np.int64)
+
+    def look_up(self, key: np.ndarray) -> np.ndarray:
+        """What no text of the block has as its own (the zeros before it) may have any value."""
+        out, left = np.empty(len(key)), np.arange(len(key))
+        for factor, there, held in self.tables:
+            want = key[left]
+            slot = self._slot(want, factor)
+            out[left] = held[slot]
+            left = left[there[slot] != want]
+        out[left] = self.value[np.minimum(np.searchsorted(self.key, key[left]), len(self.key) - 1)]
+        return out
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
     spark = docs.sparkSession
@@ -275,11 +491,12 @@ def score(docs: DataFrame) -> DataFrame:
     (least,) = _thresholds(sizes, HOT, 1)
     hot = counts.where((F.col("c") >= least) & (F.col("word") != END)).toArrow()  # at most HOT rows
     words, times = hot.column("word").combine_chunks(), hot.column("c").to_numpy()
-    spread = spark.sparkContext.broadcast((train(docs), words, np.append(times, 0)))
+    spread = spark.sparkContext.broadcast((words, np.append(times, 0)))
+    blocks, _ = stage(_blocks(docs, min(65536, int(spark.conf.get("spark.sql.shuffle.partitions")))), "blocks")
+    nodes, _ = stage(_nodes(blocks), "nodes")
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model, hot_words, hot_times = spread.value
-        claim("ctw", model.forget)
+    def rows(batch: pa.RecordBatch, answers: Answers) -> pa.RecordBatch:
+        hot_words, hot_times = spread.value
         n = batch.num_rows
         own, codes, offsets = split_words(pc.ascii_lower(batch.column(1)))
         real = pc.not_equal(own, "").to_numpy(zero_copy_only=False)
@@ -289,7 +506,7 @@ def score(docs: DataFrame) -> DataFrame:
         keep = real[codes]
         doc, codes = doc[keep], codes[keep]
         tokens = np.bincount(doc, minlength=n) + 1
-        scores = model.scores(batch.column(1).to_pylist())
+        scores = _sums(batch.column(1).to_pylist(), answers.look_up)
         base = np.bincount(doc, np.log10(known + 1.0)[codes], n) + np.log10(ends + 1.0)
         seen = np.bincount(doc, (known > 0)[codes], n).astype(np.int64) + (ends > 0)
         rare = at[codes] == len(hot_words)
@@ -302,7 +519,27 @@ def score(docs: DataFrame) -> DataFrame:
             ["doc_id", "held_out", "n_tokens", "seen", "base", "score", "rare"],
         )
 
-    parts = arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rows, "doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, rare array<struct<word string, n long>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ctw", int)
+        now, keys, values, answers = None, [], [], None
+        for batch in batches:
+            block, text = batch.column(0).to_numpy(), ~batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (text[1:] != text[:-1]), [True]])) if len(block) else []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                some = batch.slice(a, b - a)
+                if block[a] != now:
+                    now, keys, values, answers = block[a], [], [], None
+                if not text[a]:  # a block's answers come before its texts
+                    keys += map(_unpacked_keys, some.column(1).to_pylist())
+                    values += (_unpacked(v, np.float32) for v in some.column(2).to_pylist())
+                else:
+                    answers = answers or Answers(keys, values)
+                    yield rows(some.select(["doc_id", "text"]), answers)
+
+    texts = blocks.where("part < 0").selectExpr("block", "2147483647 as part", "cast(null as binary) as keys", "cast(null as binary) as value", "doc_id", "text")
+    both = _answers(blocks, nodes).selectExpr("block", "part", "keys", "value", "cast(null as long) as doc_id", "cast(null as string) as text").union(texts)
+    both = both.repartition("block").sortWithinPartitions("block", "part").select("block", "keys", "value", "doc_id", "text")
+    parts = both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, rare array<struct<word string, n long>>")
     parts, _ = stage(parts.withColumn("row", F.monotonically_increasing_id()), "scores")
     cold = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts.where(F.col("c") < least), "word")
     cold = cold.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("add"))

@@ -208,6 +208,20 @@ def test_probabilities_add_up_and_beat_the_base(spark, sf):
     assert model.scores(["", None]) == pytest.approx(model.scores([""])[0])
 
 
+def test_scores_use_every_ngram_however_rare(spark, monkeypatch):
+    """Scores are those of the model of all n-grams, in several parts and blocks, whatever KEPT is."""
+    monkeypatch.setattr(ctw.train, "__defaults__", (200,))
+    monkeypatch.setattr(ctw, "KEPT", 200)
+    monkeypatch.setattr(ctw, "BLOCK_KEYS", 3000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").where("doc_id % 3 = 0").repartition(3)
+    whole = ctw.train(docs, 1 << 40)
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r["score"] for r in ctw.score(docs).collect()}
+    assert got.keys() == rows.keys()
+    for k, text in rows.items():
+        assert got[k] == pytest.approx(whole.scores([text])[0], rel=1e-5)
+
+
 def test_mixture_is_the_weighting_of_all_trees():
     """For one decision the mixed prediction equals the ratio of brute-force weighted probabilities."""
     text = b"abababababbab" * 3
