@@ -218,6 +218,23 @@ def test_odd_vectors(spark):
     assert anisoq.nearest(df.limit(0)).count() == 0
 
 
+def test_nearest_among_many_copies_have_the_smallest_ids(spark):
+    """A third of a block are copies of one vector and a third near copies: more than are reranked first."""
+    r = np.random.default_rng(4)
+    x = r.normal(size=(1500, 16))
+    x[:500] = x[0]
+    x[500:1000] = x[0] + r.normal(size=(500, 16)) * 1e-3
+    ids = r.permutation(1500)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in sorted(anisoq.nearest(df).collect(), key=lambda row: row["rank"]):
+        got.setdefault(row["query_id"], []).append(row["vec_id"])
+    norms = np.sqrt((x * x).sum(axis=1))
+    for q in np.flatnonzero(ids % 50 == 0):
+        exact = anisoq.cosines(x[q], x, norms)
+        assert got[ids[q]] == [ids[t] for t in np.lexsort((ids, -exact)) if t != q][:5]
+
+
 def test_anisotropic_loss_falls_along_the_vector():
     r = np.random.default_rng(5)
     x = r.normal(size=(2000, 16))
