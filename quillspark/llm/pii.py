@@ -92,23 +92,23 @@ def features(text: str, start: int, end: int) -> list[str] | None:
         return None
     if not span[-1].isalnum() or (start and text[start - 1].isalnum() and span[0].isalnum()) or (end < len(text) and text[end].isalnum()):
         return None
-    digits = "".join(c for c in span if c in "0123456789")
-    letters = any(c.isalpha() for c in span)
+    digits = "".join(re.findall(r"[0-9]+", span))
+    letters = bool(re.search(r"[^\W\d_]", span))
     lower = span.lower()
     at = "@" if "@" in span else "[at]" if re.search(r"[\[({<] ?at ?[\])}>]", lower) else "at" if " at " in lower else ""
     if not at and (letters or len(digits) < 7):
         return None
     out = ["bias", f"at={at}"]
     if at:
-        dot = "[dot]" if re.search(r"[\[({<] ?dot ?[\])}>]", lower) else "dot" if " dot " in lower else "." if re.search(r"(?:@|at\W?).*\.", lower, re.S) else ""
-        last = re.search(r"([a-z]+)$", lower)
-        out += [f"dot={dot}", f"at={at},dot={dot}", f"end={last.group(1) if last and last.group(1) in ('com', 'org', 'net', 'edu', 'de', 'fr', 'es', 'uk', 'io', 'gov') else 'other'}"]
+        dot = "[dot]" if re.search(r"[\[({<] ?dot ?[\])}>]", lower) else "dot" if " dot " in lower else "." if (m := re.search(r"@|at", lower)) and "." in lower[m.end() :] else ""
+        last = lower[len(lower.rstrip("abcdefghijklmnopqrstuvwxyz")) :]
+        out += [f"dot={dot}", f"at={at},dot={dot}", f"end={last if last in ('com', 'org', 'net', 'edu', 'de', 'fr', 'es', 'uk', 'io', 'gov') else 'other'}"]
     else:
         groups = [len(g) for g in re.findall(r"[0-9]+", span)]
         n = len(digits)
         out.append("n=" + ("7" if n == 7 else "8-9" if n < 10 else "10" if n == 10 else "11-12" if n < 13 else "13-15" if n < 16 else "16" if n == 16 else "17-19" if n < 20 else ">19"))
         out.append("shape=" + "-".join(map(str, groups)) if len(groups) < 6 else "shape=many")
-        out.append("separators=" + "".join(sorted({c for c in span if not c.isalnum()})))
+        out.append("separators=" + "".join(sorted({c for c in set(span) if not c.isalnum()})))
         out.append(f"groups={min(len(groups), 6)}")
         if 13 <= n <= 19:
             out.append(f"luhn={luhn(digits)}")
@@ -143,14 +143,13 @@ def _score(weights: dict[tuple[str, str], float], kind: str, f: list[str]) -> fl
 
 def decode(text: str, start: int, end: int, weights: dict[tuple[str, str], float]) -> list[Span]:
     """The best segmentation of a stretch: outside tokens score zero, segments their weights."""
-    borders, found = segments(text, start, end)
-    if not found:
-        return []
+    borders = [start, *(start + m.end() for m in _TOKEN.finditer(text[start:end]))]
     best: list[tuple[float, int, str | None]] = [(0.0, 0, None)]
     for j in range(1, len(borders)):
         top = (best[j - 1][0], j - 1, None)
-        for i, f in found.get(j, ()):
-            for kind in KINDS:
+        for i in range(max(0, j - LONGEST), j):  # features of one border's segments at a time
+            f = features(text, borders[i], borders[j])
+            for kind in KINDS if f else ():
                 s = best[i][0] + _score(weights, kind, f)
                 if s > top[0] + 1e-9:
                     top = (s, i, kind)
@@ -267,8 +266,7 @@ def added_spans(text: str, base: list[Span], weights: dict[tuple[str, str], floa
         pieces = [(edges[k], edges[k + 1]) for k in range(0, len(edges), 2)]
         for a, b in pieces:
             if b - a >= 7:
-                for k in range(a, b, 400):  # an entity is bounded
-                    out += decode(text, k, min(b, k + 400), weights)
+                out += decode(text, a, b, weights)
     return out
 
 

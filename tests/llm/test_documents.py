@@ -46,6 +46,18 @@ def test_field_adds_spans_and_leaves_numbers_alone():
         assert found(clean) == []
 
 
+def test_numbers_of_a_long_stretch_are_found_at_every_offset():
+    """A stretch is decoded as a whole: where a number starts in it doesn't matter."""
+    weights = pii.fitted()
+    number = "212-555-0123"
+    for shift in range(370, 410):
+        lead = ("1/" * 300)[:shift].rstrip("/")
+        text = f"{lead}  {number} end"
+        want = ("phone", len(lead) + 2, len(lead) + 2 + len(number))
+        assert pii._ZONE.search(text).end() == want[2]
+        assert pii.find(text, weights)[1] == [want]
+
+
 def test_long_runs_and_many_spans_take_linear_time():
     weights, began = pii.fitted(), time.perf_counter()
     for text in ("a1" * 300_000, "1" * 400_000, "x@" * 200_000, "1.2.3.4 555-123-4567 a@b.cd " * 4000, "+1" + " " * 200_000, "1.2." * 100_000):
