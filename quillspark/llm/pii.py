@@ -2,8 +2,8 @@
 
 The base patterns (e-mail, IP, card, phone) are found in linear time and always stay. The field looks at
 the stretches of text that could hold an entity of another form (long digit groups without the base's
-marks, spelt-out addresses). There, candidate segments of up to LONGEST tokens are scored as wholes:
-digit-group shape, separators, checksum, context word, borders. A dynamic program over segment ends
+marks, spelt-out addresses, and secrets: long runs of letters and digits mixed, as in access tokens). There, candidate segments of up to LONGEST tokens are scored as wholes:
+digit-group shape, separators, checksum, alphabet, context word, borders. A dynamic program over segment ends
 picks the best joint choice of borders and types; everywhere else the only label is "outside", which
 scores zero, so leaving those stretches out of the program changes nothing. The weights are fitted by
 conditional likelihood (forward sums over all segmentations) on sentences built in `labelled_sentences`.
@@ -20,6 +20,7 @@ import random
 import re
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import arrow_map, claim
 
 KINDS = ("email", "ip", "card", "phone")
+#: The field's own kinds: those of the base, and what the base has no pattern for.
+FIELD_KINDS = (*KINDS, "secret")
 LONGEST = 24
 Span = tuple[str, int, int]
 
@@ -67,7 +70,7 @@ def base_spans(text: str) -> list[Span]:
         lo, hi = region.span()
         if hi - lo >= 7:
             if text.count(".", lo, hi) >= 3:
-                ips += [("ip", m.start(), m.end()) for m in _IP.finditer(text, lo, hi) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+                ips += [("ip", m.start(), m.end()) for m in _IP.finditer(text, lo, hi) if all(len(p := q.lstrip("0")) <= 3 and int(p or "0") <= 255 for q in m.group().split("."))]
             if hi - lo >= 13:
                 for m in _CARD.finditer(text, lo, hi):
                     digits = m.group().replace(" ", "").replace("-", "")
@@ -81,8 +84,13 @@ def base_spans(text: str) -> list[Span]:
 # ---- the field ----
 
 _ZONE = re.compile(r"[(]?[0-9](?:[ ().\-/]{0,2}[0-9]){6,}+|(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|[\[({<] ?(?:at|AT) ?[\])}>]| (?:at|AT) ) ?[A-Za-z0-9-]++(?: ?(?:\.|[\[({<] ?(?:dot|DOT) ?[\])}>]| (?:dot|DOT) ) ?[A-Za-z0-9-]++)+")
-_TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
-_WORDS = {"tel": "tel", "phone": "tel", "call": "tel", "telefon": "tel", "mobile": "tel", "fax": "tel", "cell": "tel", "dial": "tel", "whatsapp": "tel", "ring": "tel", "card": "card", "visa": "card", "mastercard": "card", "credit": "card", "debit": "card", "ip": "ip", "server": "ip", "host": "ip", "addr": "ip", "mail": "mail", "email": "mail", "contact": "mail", "write": "mail", "date": "no", "order": "no", "invoice": "no", "isbn": "no", "id": "no", "ref": "no", "account": "no", "number": "no", "version": "no", "population": "no", "from": "no"}
+#: Runs of letters and digits that could be a secret, and what shows that both are in it.
+_RUN = re.compile(r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+")
+_MIXED = re.compile(r"(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])")
+_TOKEN = re.compile(r"(?=[A-Za-z]*+[0-9])(?=[0-9]*+[A-Za-z])[A-Za-z0-9]{20,}+|[A-Za-z]+|[0-9]+|.", re.S)
+_NUMBER, _LETTER, _NAME = re.compile(r"[0-9]+"), re.compile(r"[^\W\d_]"), re.compile(r"[a-z]+")
+_DATE = re.compile(r"(?:19|20)\d\d[-/.]\d\d?[-/.]\d\d?(?: .*)?|\d\d?[-/.]\d\d?[-/.](?:19|20)\d\d")
+_WORDS = {"tel": "tel", "phone": "tel", "call": "tel", "telefon": "tel", "mobile": "tel", "fax": "tel", "cell": "tel", "dial": "tel", "whatsapp": "tel", "ring": "tel", "card": "card", "visa": "card", "mastercard": "card", "credit": "card", "debit": "card", "ip": "ip", "server": "ip", "host": "ip", "addr": "ip", "mail": "mail", "email": "mail", "contact": "mail", "write": "mail", "date": "no", "order": "no", "invoice": "no", "isbn": "no", "id": "no", "ref": "no", "account": "no", "number": "no", "version": "no", "population": "no", "from": "no", "token": "key", "secret": "key", "key": "key", "apikey": "key", "password": "key", "passwd": "key", "pwd": "key", "bearer": "key", "auth": "key", "credential": "key", "sha": "sum", "md": "sum", "commit": "sum", "hash": "sum", "checksum": "sum", "etag": "sum", "digest": "sum", "revision": "sum", "blob": "sum", "uuid": "sum"}
 
 
 def features(text: str, start: int, end: int) -> list[str] | None:
@@ -92,8 +100,10 @@ def features(text: str, start: int, end: int) -> list[str] | None:
         return None
     if not span[-1].isalnum() or (start and text[start - 1].isalnum() and span[0].isalnum()) or (end < len(text) and text[end].isalnum()):
         return None
-    digits = "".join(re.findall(r"[0-9]+", span))
-    letters = bool(re.search(r"[^\W\d_]", span))
+    found = _NUMBER.findall(span)
+    digits, letters = "".join(found), bool(_LETTER.search(span))
+    if letters and len(span) >= 20 and span.isalnum():
+        return _secret_features(text, start, span)
     lower = span.lower()
     at = "@" if "@" in span else "[at]" if re.search(r"[\[({<] ?at ?[\])}>]", lower) else "at" if " at " in lower else ""
     if not at and (letters or len(digits) < 7):
@@ -104,7 +114,7 @@ def features(text: str, start: int, end: int) -> list[str] | None:
         last = lower[len(lower.rstrip("abcdefghijklmnopqrstuvwxyz")) :]
         out += [f"dot={dot}", f"at={at},dot={dot}", f"end={last if last in ('com', 'org', 'net', 'edu', 'de', 'fr', 'es', 'uk', 'io', 'gov') else 'other'}"]
     else:
-        groups = [len(g) for g in re.findall(r"[0-9]+", span)]
+        groups = [len(g) for g in found]
         n = len(digits)
         out.append("n=" + ("7" if n == 7 else "8-9" if n < 10 else "10" if n == 10 else "11-12" if n < 13 else "13-15" if n < 16 else "16" if n == 16 else "17-19" if n < 20 else ">19"))
         out.append("shape=" + "-".join(map(str, groups)) if len(groups) < 6 else "shape=many")
@@ -113,46 +123,90 @@ def features(text: str, start: int, end: int) -> list[str] | None:
         if 13 <= n <= 19:
             out.append(f"luhn={luhn(digits)}")
         if len(groups) == 4 and span.count(".") == 3:
-            out.append("four parts" if all(int(g) <= 255 for g in re.findall(r"[0-9]+", span)) else "four, too large")
-        if re.fullmatch(r"(?:19|20)\d\d[-/.]\d\d?[-/.]\d\d?(?: .*)?|\d\d?[-/.]\d\d?[-/.](?:19|20)\d\d", span):
+            out.append("four parts" if all(int(g) <= 255 for g in found) else "four, too large")
+        if _DATE.fullmatch(span):
             out.append("date")
     if span[0] == "(":
         out.append("bracket")
-    near = [_WORDS[w] for w in re.findall(r"[a-z]+", text[max(0, start - 24) : start].lower())[-2:] if w in _WORDS]
+    near = [_WORDS[w] for w in _NAME.findall(text[max(0, start - 24) : start].lower())[-2:] if w in _WORDS]
     out.append(f"near={near[-1] if near else ''}")
     if not at:
         out.append(f"near={near[-1] if near else ''},groups={min(len(groups), 4)}")
     return out
 
 
+def _secret_features(text: str, start: int, run: str) -> list[str] | None:
+    """Features of a run of letters and digits; None where only one of both is in it."""
+    if not run.isascii() or not _MIXED.match(run):
+        return None
+    n = len(run)
+    before = text[max(0, start - 24) : start].lower()
+    near = [_WORDS[w] for w in re.findall(r"[a-z]+", before) if _WORDS.get(w) in ("key", "sum")]
+    lead = before.rstrip("\"' ")[-1:]
+    alphabet = "hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", run) else "one case" if run == run.lower() or run == run.upper() else "two cases"
+    changes = len(re.findall(r"[A-Za-z]+|[0-9]+", run)) / n  # words with a number behind change once
+    return [
+        "bias", "run", f"run near={near[-1] if near else ''}", f"run alphabet={alphabet}", f"run lead={lead if lead in ('=', ':') else ''}",
+        f"run n={'20-31' if n < 32 else '32' if n == 32 else '33-39' if n < 40 else '40' if n == 40 else '41-63' if n < 64 else '64' if n == 64 else '>64'}",
+        f"run changes={min(3, int(changes * 10))}", f"run near={near[-1] if near else ''},lead={lead if lead in ('=', ':') else ''}",
+    ]
+
+
 def segments(text: str, start: int, end: int) -> tuple[list[int], dict[int, list[tuple[int, list[str]]]]]:
     """Token borders of a stretch, and by end border the candidate segments: (start border, features)."""
-    borders = [start, *(start + m.end() for m in _TOKEN.finditer(text[start:end]))]
+    borders, possible = _candidates(text, start, end)
     found: dict[int, list[tuple[int, list[str]]]] = defaultdict(list)
     for j in range(1, len(borders)):
-        for i in range(max(0, j - LONGEST), j):
+        for i in possible(j):
             f = features(text, borders[i], borders[j])
             if f:
                 found[j].append((i, f))
     return borders, found
 
 
+def _candidates(text: str, start: int, end: int) -> tuple[list[int], Callable[[int], list[int]]]:
+    """Token borders of a stretch, and which borders a segment that ends at one could start from.
+
+    Left out are those only that `features` refuses anyhow: a segment without a sign for "at" has digits
+    alone, seven at least, and starts with one or a bracket; a secret is one token."""
+    borders, digits, words, firsts = [start], [0], [-1], []
+    for m in _TOKEN.finditer(text, start, end):
+        c = m.group()
+        borders.append(m.end())
+        digits.append(digits[-1] + (len(c) if c.isdecimal() else 0))
+        words.append(len(borders) - 1 if c[0].isalpha() or not c.isascii() or not (c.isdecimal() or len(c) == 1) else words[-1])
+        firsts.append(c[0].isdigit() or c[0] in "(+")
+    spelt = bool(re.search(r"@|at", text[start:end], re.I))
+
+    def possible(j: int) -> list[int]:
+        low = max(0, j - LONGEST)
+        if spelt:
+            return list(range(low, j))
+        out = [i for i in range(max(low, words[j]), j) if firsts[i] and digits[j] - digits[i] >= 7]
+        return [*out, j - 1] if words[j] == j and borders[j] - borders[j - 1] >= 20 else out
+
+    return borders, possible
+
+
 def _score(weights: dict[tuple[str, str], float], kind: str, f: list[str]) -> float:
     return sum(weights.get((kind, x), 0.0) for x in f)
 
 
 def decode(text: str, start: int, end: int, weights: dict[tuple[str, str], float]) -> list[Span]:
     """The best segmentation of a stretch: outside tokens score zero, segments their weights."""
-    borders = [start, *(start + m.end() for m in _TOKEN.finditer(text[start:end]))]
+    borders, possible = _candidates(text, start, end)
     best: list[tuple[float, int, str | None]] = [(0.0, 0, None)]
+    known: dict[tuple[str, ...], tuple[float, str]] = {}  # the best kind of equal features
     for j in range(1, len(borders)):
         top = (best[j - 1][0], j - 1, None)
-        for i in range(max(0, j - LONGEST), j):  # features of one border's segments at a time
+        for i in possible(j):  # features of one border's segments at a time
             f = features(text, borders[i], borders[j])
-            for kind in KINDS if f else ():
-                s = best[i][0] + _score(weights, kind, f)
-                if s > top[0] + 1e-9:
-                    top = (s, i, kind)
+            if f:
+                if (key := tuple(f)) not in known:
+                    known[key] = max(((_score(weights, k, f), k) for k in FIELD_KINDS), key=lambda x: x[0])
+                s, kind = known[key]
+                if best[i][0] + s > top[0] + 1e-9:
+                    top = (best[i][0] + s, i, kind)
         best.append(top)
     out, j = [], len(borders) - 1
     while j:
@@ -163,7 +217,7 @@ def decode(text: str, start: int, end: int, weights: dict[tuple[str, str], float
     return out[::-1]
 
 
-def labelled_sentences(n: int = 260, seed: int = 9) -> list[tuple[str, list[Span]]]:
+def labelled_sentences(n: int = 420, seed: int = 9) -> list[tuple[str, list[Span]]]:
     """Sentences with entities in forms that the base patterns miss, and with numbers that are none."""
     r, out = random.Random(seed), []
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
@@ -174,6 +228,11 @@ def labelled_sentences(n: int = 260, seed: int = 9) -> list[tuple[str, list[Span
         body += next(c for c in "0123456789" if luhn(body + c))
         return sep.join(body[k : k + 4] for k in range(0, 16, 4))
 
+    def secret() -> tuple[str, str]:
+        alphabet = r.choice(("0123456789abcdef", "0123456789abcdef", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+        name = r.choice(("token", "token", "secret", "api_key", "password", "access_token", "auth_token", "secret_key", "apikey"))
+        return f"{name}{r.choice((' = ', '=', ': ', ':'))}{r.choice(('', '', chr(34), chr(39)))}", "".join(r.choice(alphabet) for _ in range(r.choice((24, 32, 32, 40, 40, 40, 48, 64))))
+
     for _ in range(n):
         make = [
             lambda: ("phone", r.choice(("tel ", "phone: ", "call ", "mobile ", "")), f"({d(3)}) {d(3)}-{d(4)}"),
@@ -186,6 +245,9 @@ def labelled_sentences(n: int = 260, seed: int = 9) -> list[tuple[str, list[Span
             *[lambda: ("", r.choice(("order ", "id ", "", "", "", "account ", "ref ")), d(r.choice((7, 8, 9, 9, 10, 10, 11, 12, 13, 16, 16, 20))))] * 5,
             *[lambda: ("", r.choice(("", "date ", "from ")), r.choice((f"20{d(2)}-{d(2)}-{d(2)}", f"{d(2)}.{d(2)}.20{d(2)}", f"{d(2)}/{d(2)}/19{d(2)}", f"20{d(2)}-{d(2)}-{d(2)} 1{d(1)}.{d(2)}")))] * 2,
             lambda: ("", r.choice(("", "isbn ", "number ")), r.choice((f"978-{d(1)}-{d(4)}-{d(4)}-{d(1)}", f"{d(1)}.{d(2)}.{d(3)}.{d(4)}", f"{d(3)} {d(3)} {d(3)}", f"{d(4)} {d(4)}", f"{d(4)}-{d(4)}", f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(1)}.{d(7)}"))),
+            *[lambda: ("secret", *secret())] * 4,
+            *[lambda: ("", r.choice(("sha256 ", "commit ", "md5: ", "hash = ", "etag: ", "checksum ", "revision ", "", "")), "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 64)))))] * 2,
+            lambda: ("", r.choice(("", "id ", "file ")), "".join(word() for _ in range(12))[:24] + d(r.choice((1, 2, 4)))),
             lambda: ("", "", f"{word()} at {word()}. {word()}"),
             lambda: ("", "", f"{word()} @ {word()} {word()}"),
         ]
@@ -196,18 +258,33 @@ def labelled_sentences(n: int = 260, seed: int = 9) -> list[tuple[str, list[Span
     return out
 
 
+def zones(text: str) -> list[tuple[int, int]]:
+    """Stretches that could hold an entity; those that overlap are one."""
+    runs = [m.span() for m in _RUN.finditer(text) if _MIXED.match(m.group())]
+    out = [m.span() for m in _ZONE.finditer(text)]
+    if not runs:
+        return out
+    merged: list[tuple[int, int]] = []
+    for a, b in sorted(out + runs):
+        if merged and a < merged[-1][1]:
+            merged[-1] = merged[-1][0], max(b, merged[-1][1])
+        else:
+            merged.append((a, b))
+    return merged
+
+
 @lru_cache(1)
 def fitted(rounds: int = 12) -> dict[tuple[str, str], float]:
     """Weights of the largest conditional likelihood of the labelled sentences, by adaptive gradient steps with a ridge."""
     examples = []
     for text, spans in labelled_sentences():
-        for zone in _ZONE.finditer(text):
-            borders, found = segments(text, *zone.span())
-            inside = [s for s in spans if s[1] >= zone.start() and s[2] <= zone.end()]
+        for zone in zones(text):
+            borders, found = segments(text, *zone)
+            inside = [s for s in spans if s[1] >= zone[0] and s[2] <= zone[1]]
             if found:
                 examples.append((borders, found, {(borders.index(a), borders.index(b)): k for k, a, b in inside if a in borders and b in borders}))
     weights: dict[tuple[str, str], float] = defaultdict(float)
-    for kind in KINDS:
+    for kind in FIELD_KINDS:
         weights[kind, "bias"] = -1.0
     moved: dict[tuple[str, str], float] = defaultdict(lambda: 1e-2)
     order = random.Random(1)
@@ -215,7 +292,7 @@ def fitted(rounds: int = 12) -> dict[tuple[str, str], float]:
         order.shuffle(examples)
         for borders, found, gold in examples:
             n = len(borders)
-            scored = {j: [(i, f, {k: _score(weights, k, f) for k in KINDS}) for i, f in found[j]] for j in found}
+            scored = {j: [(i, f, {k: _score(weights, k, f) for k in FIELD_KINDS}) for i, f in found[j]] for j in found}
             ahead = [0.0] * n
             for j in range(1, n):
                 ahead[j] = _log_sum([ahead[j - 1], *(ahead[i] + s for i, _, by in scored.get(j, ()) for s in by.values())])
@@ -256,8 +333,7 @@ def added_spans(text: str, base: list[Span], weights: dict[tuple[str, str], floa
         else:
             starts.append(a)
             ends.append(b)
-    for zone in _ZONE.finditer(text):
-        start, end = zone.span()
+    for start, end in zones(text):
         # of a stretch that base spans cut, what lies between them is tried piece by piece
         edges = [start]
         for k in range(bisect_right(ends, start), bisect_left(starts, end)):
@@ -274,7 +350,7 @@ def find(text: str | None, weights: dict[tuple[str, str], float]) -> tuple[list[
     """Base spans, and all spans, both by kind as listed and then start."""
     base = base_spans(text or "")
     more = added_spans(text or "", base, weights)
-    return base, sorted(base + more, key=lambda s: (KINDS.index(s[0]), s[1])) if more else base
+    return base, sorted(base + more, key=lambda s: (FIELD_KINDS.index(s[0]), s[1])) if more else base
 
 
 def redacted(text: str, spans: list[Span]) -> str:
