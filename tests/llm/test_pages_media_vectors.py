@@ -1,6 +1,7 @@
 import hashlib
 import html
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -101,8 +102,10 @@ def test_pages(page, text):
 
 
 def test_weights_and_regions():
-    w = dict(zip(mss.KINDS, mss.weights()))
-    assert w["word"] > 0 and all(w[k] <= 0 for k in mss.KINDS if k not in ("word", "main"))
+    n = len(mss.KINDS)
+    w = [dict(zip(mss.KINDS, mss.weights()[k * n : k * n + n])) for k in range(3)]
+    assert w[0]["word"] > 0 and w[1]["word"] > 0 > w[2]["word"]
+    assert all(x[k] < 0 for x in w for k in mss.KINDS if k not in ("word", "link"))
     r = np.random.default_rng(2)
     for _ in range(200):
         s = r.normal(size=12).tolist()
@@ -110,6 +113,41 @@ def test_weights_and_regions():
         assert sum(s[a:b]) == pytest.approx(max([0.0, *(sum(s[i:j]) for i in range(12) for j in range(i + 1, 13))]))
 
 
+def test_text_is_that_of_the_best_of_all_regions():
+    for page in mss.labelled_pages(30, seed=41):
+        seq = mss.tokens(page)
+        total = np.concatenate([[0], np.cumsum(np.array(mss.weights())[mss.kinds(seq)] * mss.amounts(seq))])
+        gain = np.where(np.triu(np.ones((len(total), len(total)), bool), 1), total[None, :] - total[:, None], -np.inf)
+        a, b = np.unravel_index(gain.argmax(), gain.shape)
+        words = " ".join(t[2] for t, k in zip(seq[a:b], mss.kinds(seq)[a:b]) if t[2] and t[0] != mss.KINDS.index("aside") and k < 2 * len(mss.KINDS)).split()
+        found = mss.extract(page).split()
+        assert " ".join(words) in " ".join(found)  # whole blocks may add to the ends
+        assert found == re.findall(r"\bg\d+", page)
+
+
+def test_the_scan_decides(monkeypatch):
+    pages = mss.labelled_pages(40, seed=8)
+    before = [mss.extract(p) for p in pages]
+    monkeypatch.setattr(mss, "best_region", lambda scores: (0, 1))
+    assert all(mss.extract(p) != t for p, t in zip(pages, before))
+
+
+def test_several_articles_and_none():
+    words = "some words of an article that goes on for a while and then ends here".split()
+    text, links = " ".join(words), "".join(f"<p><a href=x>link number {k}</a></p>" for k in range(100))
+    two = f"<article><p>{text}</p></article><div>{links}</div><article><p>{text} {' '.join(words * 20)}</p></article>"
+    assert "link" not in mss.extract(two) and mss.extract(two).endswith("ends here")
+    assert mss.extract(f"<div>{links}</div><div><h1>{text}</h1><p>{text} <a href=x>with a link</a></p></div><div>{links}</div>") == f"{text}\n{text} with a link"
+
+
+def test_deep_and_unclosed_nesting_takes_linear_time():
+    began = time.perf_counter()
+    n = 40_000
+    for page in ("<div>" * n + "</span>" * n, "<p><table>" + "<b>" * n + "<p></p>" * n, "<li><b>" * n, "<a href='" * n):
+        mss.tokens(page)
+    assert time.perf_counter() - began < 20
+
+
 def test_main_text_of_odd_rows(odd_pages):
     rows = mss.main_text(odd_pages).collect()
     assert len(rows) == odd_pages.count() and max(r["n_chars"] for r in rows) > 1_900_000
