@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import html
 import re
@@ -174,21 +175,65 @@ def test_every_transform_round_trips():
             assert (webp.decode(webp.encode(image, ("palette", "predictor"), 3, True)) == image).all()
 
 
-def test_bulk_path_agrees_with_the_general_one(monkeypatch):
-    payload = webp.padded(("déjà vu " * 300).encode())
-    media = webp.store(payload)
-    fast = [webp.decode(f) for f in webp.split_files(media)]
-    assert b"".join(np.ascontiguousarray(a[..., :3]).tobytes() for a in fast) == payload
-
-    def slow(bits, codes, n):
-        out = []
-        for _ in range(n):
-            g, r, b, a = (c.read(bits) for c in codes[:4])
-            out.append(a << 24 | r << 16 | g << 8 | b)
-        return np.array(out, np.uint32)
-
-    monkeypatch.setattr(webp, "_flat", slow)
-    assert all((webp.decode(f) == a).all() for f, a in zip(webp.split_files(media), fast))
+def _random_texts(n=60):
+    r = np.random.default_rng(4)
+    words = ["".join(r.choice(list("etaoinsrhldcumf"), r.integers(1, 9))) for _ in range(300)]
+    texts = [" ".join(r.choice(words, r.integers(0, 3000))) for _ in range(n)]
+    line = "\n".join(["a line of 191 characters".ljust(191, ".")] * 40)
+    table = "\n".join(" ".join(f"{k + 7 * x:03d}" for x in range(143)) for k in range(40))
+    pairs = [a + b + " " for a in "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" for b in "aeiouyAEIOUY0123456789"]
+    coloured = "".join(pairs[k % 20 * 50] if r.random() < 0.85 else pairs[k] for k in r.integers(0, len(pairs), 3000))
+    return [*texts, coloured, "", "x", "ab" * 5000, line, table, "\u00e9\u4e2d\U0001f389" * 900, "abc" * 3000]
+
+
+def test_files_are_the_same_alone_and_together_and_for_both_decoders():
+    payloads = [webp.padded(t.encode()) for t in _random_texts()]
+    media = webp.store_all(payloads)
+    assert media == [webp.store(p) for p in payloads]
+    files = [f for m in media for f in webp.split_files(m)]
+    together = webp.decode_all(files)
+    assert all((webp.decode(f) == a).all() for f, a in zip(files, together))
+    assert b"".join(np.ascontiguousarray(a[..., :3]).tobytes() for a in together) == b"".join(payloads)
+    assert sum(map(len, media)) < 0.75 * sum(map(len, payloads))
+
+
+def test_stored_files_have_the_features_of_the_format(monkeypatch):
+    seen = defaultdict(int)
+    read, plain = webp._length_or_distance, webp._decoded
+
+    def counted(*a):
+        seen["reference"] += 1
+        return read(*a)
+
+    def decoded(bits, width, n, codes, which, shift, across, cache_bits):
+        seen["cache"] += cache_bits > 0
+        seen["codes of several widths"] += len({e & 15 for e in codes[0][0]}) > 2
+        return plain(bits, width, n, codes, which, shift, across, cache_bits)
+
+    monkeypatch.setattr(webp, "_length_or_distance", counted)
+    monkeypatch.setattr(webp, "_decoded", decoded)
+    for text in _random_texts():
+        payload = webp.padded(text.encode())
+        for f in webp.split_files(webp.store(payload)):
+            bits, *_ = webp._opened(f)
+            if bits.read(1):
+                seen[("predictor", "cross", "green", "palette")[bits.read(2)]] += 1
+            webp.decode(f)
+    assert {"reference", "cache", "codes of several widths", "predictor", "palette"} <= {k for k, n in seen.items() if n}
+    r = np.random.default_rng(1)
+    green = r.integers(0, 256, (16, 192), dtype=np.uint8)
+    for share, name in ((2, {"green", "cross"}), (1, {"cross"})):
+        image = np.stack([(green.view(np.int8).astype(int) * share // 2 + r.integers(0, 3, green.shape)) & 255, green, green], -1).astype(np.uint8)
+        ((transforms, _),) = webp.Images([image.ravel()]).choose()
+        assert set(transforms) <= name and transforms
+        assert webp.decode(webp.store(image.tobytes()))[..., :3].tobytes() == image.tobytes()
+
+
+@pytest.mark.parametrize(("file", "pixel"), [("UklGRh4AAABXRUJQVlA4TBEAAAAvAAAAAAfQ//73v/+BiOh/AAA=", [255] * 4), ("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==", [0] * 4)])
+def test_files_of_another_encoder(file, pixel):
+    """The one-pixel images that web pages use to find out what a browser can show."""
+    data = base64.b64decode(file)
+    assert webp.decode(data).tolist() == [[pixel]] and webp.decode_all([data, data])[1].tolist() == [[pixel]]
 
 
 def test_plane_distances_and_bad_files():
@@ -197,6 +242,16 @@ def test_plane_distances_and_bad_files():
     for bad in (b"", b"RIFF", good[:30], good.replace(b"VP8L", b"VP8X")):
         with pytest.raises(ValueError):
             webp.decode(bad)
+        with pytest.raises(ValueError):
+            webp.decode_all([good, bad])
+    long = webp.store(webp.padded(b"some text of several words " * 30))
+    for k in range(20, len(long)):
+        cut = long[:16] + (k - 20).to_bytes(4, "little") + long[20:k]
+        for read in (webp.decode, lambda x: webp.decode_all([x])[0]):
+            try:
+                assert read(cut).shape == (2, 192, 4)
+            except ValueError:
+                continue
 
 
 def test_media_of_odd_rows(odd, empty):
