@@ -3,7 +3,8 @@
 Every language has a codeword; for each bit a binary n-gram classifier (log ratios of the mean n-gram
 frequencies of the languages with and without that bit, hashed n-grams of lower-cased UTF-8) says how
 far a text leans to one side. Decoding adds up, bit by bit, a logistic loss weighted by how reliable
-that bit was for that language on a bounded sample of the labelled rows, and takes the nearest codeword.
+that bit was for that language on a bounded sample of the labelled rows (whole texts, drawn by a hash of the
+id from each language), and takes the nearest codeword.
 Where the runner-up is nearly as near, the prediction is flagged as ambiguous.
 
 The n-gram counts come from all labelled rows: each task adds up its own, then one sum by n-gram.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import arrow_map, bucket, claim
 
 TABLE, SMOOTH = 1 << 16, 0.5
-#: Labelled rows that measure how reliable each bit is for each language: at most so many.
-SAMPLE_ROWS = 4000
+#: Labelled rows of each language that measure how reliable each bit is for it: so many are expected, where there are more.
+SAMPLE_ROWS = 2000
 #: A text's n-grams aren't independent: its evidence counts as that of so many at most.
 EVIDENCE = 12.0
 #: Ambiguous: the best codeword's share of the decoded weight is below this.
@@ -100,17 +101,14 @@ class Model:
             total += self.weights[g[k : k + (1 << 16)]].sum(axis=0, dtype=np.float64)
         return total * min(len(g), EVIDENCE) / len(g)
 
-    def learn_reliability(self, rows: list[tuple[str, str]]) -> None:
+    def judged(self, text: str, lang: str) -> np.ndarray:
+        """Which bits put a text on its language's side."""
+        return self.lean(text) * self.book[self.languages.index(lang)] > 0
+
+    def learn_reliability(self, right: dict[str, np.ndarray], seen: dict[str, int]) -> None:
         """Share of each language's sampled texts that each bit puts on the right side; rows of it sum to one."""
-        right, seen = np.ones_like(self.book), np.full(len(self.languages), 2.0)
-        where = {x: i for i, x in enumerate(self.languages)}
-        for text, lang in rows:
-            if lang in where and text and _letter(text):
-                i = where[lang]
-                right[i] += self.lean(text) * self.book[i] > 0
-                seen[i] += 1
-        right /= seen[:, None]
-        self.reliable = right / right.sum(axis=1, keepdims=True) * right.shape[1]
+        share = np.stack([(right.get(x, 0) + np.ones(self.book.shape[1])) / (seen.get(x, 0) + 2.0) for x in self.languages])
+        self.reliable = share / share.sum(axis=1, keepdims=True) * share.shape[1]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score (the nearest codeword's share of the weight), and whether it is ambiguous."""
@@ -123,22 +121,54 @@ class Model:
 
 
 def fit(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learns from all labelled rows (text, lang); reliabilities from at most sample_rows of them."""
-    rows = count_grams(labelled).collect()  # at most languages * TABLE
-    languages = sorted({r["lang"] for r in rows})
-    counts, where = np.zeros((len(languages), TABLE)), {x: i for i, x in enumerate(languages)}
-    for r in rows:
-        counts[where[r["lang"]], r["gram"]] = r["n"]
+    """Learns from all labelled rows (text, lang, and doc_id to draw by); reliabilities from about sample_rows of each language."""
+    table = count_grams(labelled).toArrow()  # at most languages * TABLE rows, as columns
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    found = coded.dictionary.to_pylist()
+    languages = sorted(found)
+    counts = np.zeros((len(languages), TABLE))
+    at = np.array([languages.index(x) for x in found], np.int64)[coded.indices.to_numpy()]
+    counts[at, table.column("gram").to_numpy()] = table.column("n").to_numpy()
     model = Model(languages, counts)
     if len(languages) > 1:
-        model.learn_reliability([(r["text"], r["lang"]) for r in labelled.select(F.substring("text", 1, 2000).alias("text"), "lang").limit(sample_rows).collect()])
+        model.learn_reliability(*_reliability(labelled, model, sample_rows))
     return model
 
 
+def _reliability(labelled: DataFrame, model: Model, sample_rows: int) -> tuple[dict[str, np.ndarray], dict[str, int]]:
+    """For each language, over a sample of its rows: how often each bit is right, and the rows; counted where the rows are."""
+    sizes = {r["lang"]: r["n"] for r in labelled.where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row a language
+    draw, parts = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 32)), {x: min(1 << 32, (sample_rows << 32) // n) for x, n in sizes.items()}
+    least = F.element_at(F.create_map(*(F.lit(v) for x in parts.items() for v in x)), F.col("lang"))
+    spread = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ecoc", int)
+        right: dict[str, np.ndarray] = {}
+        seen: dict[str, int] = {}
+        for batch in batches:
+            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text and lang in spread.value.languages and _letter(text):
+                    right[lang] = right.get(lang, 0) + spread.value.judged(text, lang).astype(np.int64)
+                    seen[lang] = seen.get(lang, 0) + 1
+        for lang, n in right.items():
+            k = len(n) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * k, pa.string()), pa.array(np.arange(-1, k - 1, dtype=np.int32)), pa.array(np.concatenate([[seen[lang]], n]))], ["lang", "bit", "n"])
+
+    sums = labelled.where(draw < least).select("text", "lang").mapInArrow(run, "lang string, bit int, n long").groupBy("lang", "bit").agg(F.sum("n").alias("n")).collect()  # languages * bits
+    right, seen = {x: np.zeros(model.book.shape[1]) for x in sizes}, {}
+    for lang, bit, n in sums:
+        if bit < 0:
+            seen[lang] = n
+        else:
+            right[lang][bit] = n
+    return right, seen
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """Rows that may be learnt from: crc32(doc_id as text) mod 3 is not 1, text and lang are there."""
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(3)) == 1
-    return docs.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", "lang")
+    return docs.where(~held & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
