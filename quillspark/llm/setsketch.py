@@ -7,9 +7,10 @@ and two sketches agree in a register with nearly the probability of the sets' Ja
 1. One scan makes set sizes, set digests and sketches. Equal sets fall into one class, represented by
    its smallest doc_id; only representatives go on.
 2. Bands of registers are bucketed; each bucket links its members to its smallest one (a star, never
-   all pairs). A pair at similarity 0.85 misses all bands once in 50 million.
+   all pairs). A pair at similarity 0.85 misses all bands once in 50 million, one at 0.8 once in 300,000.
 3. Pairs pass a likelihood test on their registers and known set sizes (a true link fails it about once
-   in a million), then the whole sets of the survivors are compared.
+   in a million), then the whole sets of the survivors are compared: the members' texts go to their star's
+   centre, those of a centre with many in groups of GROUP, so each text moves once a pair and no set is repeated.
 4. Where a bucket still holds several components, its other pairs across components are compared too,
    in blocks of BLOCK x BLOCK sketches, and survivors confirmed on whole sets. So no link is lost to the stars.
 5. Components come from alternating large-star and small-star rounds, each written to the shared folder.
@@ -22,6 +23,7 @@ share its component; columns other than doc_id and text don't matter; an empty t
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ REGISTERS, BAND, BASE, TOP = 96, 4, 1.001, 65534
 BANDS = REGISTERS // BAND
 #: Log-likelihood that a pair may lose against its best estimate and still be confirmed on whole sets.
 SLACK = 12.0
-BLOCK = 256
+BLOCK, GROUP = 256, 256
 #: Ids that are broadcast at most (long hash relation of some 64 MB); beyond, their join shuffles.
 BROADCAST_IDS = 4_000_000
 
@@ -153,33 +155,47 @@ def buckets(reps: DataFrame) -> DataFrame:
     return arrow_map(reps.select("doc_id", "registers"), rows, "bucket long, doc_id long")
 
 
-def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose registers pass the likelihood test."""
 
     def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
         ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in (4, 5))
-        ok = plausible(ra, rb, batch.column(2).to_numpy(), batch.column(3).to_numpy())
+        ok = plausible(ra, rb, batch.column(2).to_numpy(), batch.column(3).to_numpy(), percent / 100)
         return batch.select(["a", "b"]).filter(pa.array(ok))
 
     side = lambda x: reps.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("registers").alias(f"r{x}"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {PERCENT} * greatest(na, nb)")
+    joined = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     return arrow_map(joined.select("a", "b", "na", "nb", "ra", "rb"), rows, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b), distinct, that link by their whole sets."""
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b), distinct, that link by their whole sets. Of rows that repeat an id, any that links counts."""
 
-    def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingles(t).view(np.int64) for t in batch.column(1).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "elements"])
-
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    n = ids.count()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_semi")
-    sets, _ = stage(arrow_map(texts, rows, "doc_id long, elements array<long>").dropDuplicates(["doc_id"]), "sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("elements").alias("eb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("elements").alias("ea")), "a")
-    common = F.size(F.array_intersect("ea", "eb"))
-    return both.select("a", "b", common.alias("c"), (F.size("ea") + F.size("eb")).alias("n")).where(f"100 * c >= {PERCENT} * (n - c)").select("a", "b")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin()
+        now, centre = None, None
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for a, group, b, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if (a, group) != now:  # a group's centre comes first
+                    now, centre = (a, group), shingles(text)
+                elif b != a:
+                    own = shingles(text)
+                    common = len(np.intersect1d(centre, own, assume_unique=True))
+                    if 100 * common >= percent * (len(centre) + len(own) - common):
+                        out.append((a, b))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    grouped = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("group"), "b")
+    centres = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("a").alias("b"))
+    wanted, _ = stage(grouped.unionByName(centres).withColumn("first", F.col("a") == F.col("b")), "wanted")
+    n = wanted.count()
+    texts = docs.select(F.col("doc_id").cast("long").alias("b"), "text").where("b is not null")
+    moved = texts.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "b").select("a", "group", "b", "text", "first")
+    ordered = moved.repartition("a", "group").sortWithinPartitions("a", "group", F.desc("first"), "b").select("a", "group", "b", "text")
+    return ordered.mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -202,7 +218,7 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
-def _block_pairs(members: DataFrame) -> DataFrame:
+def _block_pairs(members: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs across components inside a bucket whose sketches are plausible, block by block.
 
     members: bucket, n (the bucket's size), doc_id, component, n_shingles, registers.
@@ -215,9 +231,9 @@ def _block_pairs(members: DataFrame) -> DataFrame:
         first, second = np.flatnonzero(left), np.flatnonzero(~left if (~left).any() else left)
         out = []
         for i in first:
-            j = second[(comp[second] != comp[i]) & (100 * np.minimum(size[second], size[i]) >= PERCENT * np.maximum(size[second], size[i]))]
+            j = second[(comp[second] != comp[i]) & (100 * np.minimum(size[second], size[i]) >= percent * np.maximum(size[second], size[i]))]
             if len(j):
-                ok = j[plausible(np.broadcast_to(sketch[i], (len(j), REGISTERS)), sketch[j], np.full(len(j), size[i]), size[j])]
+                ok = j[plausible(np.broadcast_to(sketch[i], (len(j), REGISTERS)), sketch[j], np.full(len(j), size[i]), size[j], percent / 100)]
                 out.append(np.stack([np.minimum(ids[ok], ids[i]), np.maximum(ids[ok], ids[i])], 1))
         pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -229,8 +245,10 @@ def _block_pairs(members: DataFrame) -> DataFrame:
     return keyed.groupBy("bucket", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; links from a similarity of percent hundredths on (80 at least)."""
+    if not 80 <= percent <= 100:
+        raise ValueError("the bands are made for similarities of 0.8 to 1")
     made, _ = stage(sketches(docs), "sketches")
     classes = made.where("n_shingles > 0 and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
     rep = F.when(F.col("n_shingles") > 0, F.coalesce(F.col("rep"), F.col("doc_id"))).otherwise(F.col("doc_id"))
@@ -242,17 +260,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("n")).where("a <> z")
     full, _ = stage(rows.join(shared, "bucket").select("bucket", "a", "n", "doc_id"), "buckets")  # buckets of one document end here
     stars = full.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    stars, _ = stage(_likely(stars, reps), "stars")
-    links, _ = stage(_confirmed(stars, docs), "links")
+    stars, _ = stage(_likely(stars, reps, percent), "stars")
+    links, _ = stage(_confirmed(stars, docs, percent), "links")
     found, _ = stage(components(links), "components")
 
     label = found.select(F.col("node").alias("doc_id"), "component")
     inside = full.where("n > 2").join(label, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
     members = inside.join(mixed, "bucket", "left_semi").where("doc_id <> a").join(reps, "doc_id").select("bucket", "n", "doc_id", "component", "n_shingles", "registers")
-    rest, _ = stage(_block_pairs(members), "rest")
+    rest, _ = stage(_block_pairs(members, percent), "rest")
     if not rest.isEmpty():
-        more, _ = stage(_confirmed(rest, docs), "links")
+        more, _ = stage(_confirmed(rest, docs, percent), "links")
         if not more.isEmpty():
             found, _ = stage(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)), "components")
     final = named.select("doc_id", "n_shingles", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left")
@@ -265,9 +283,9 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti")
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each group of near-duplicates: that with the smallest doc_id, once. Rows with a null doc_id stay."""
-    found, _ = stage(near_duplicates(docs).select("doc_id", "kept"), "near-duplicates")
+    found, _ = stage(near_duplicates(docs, percent).select("doc_id", "kept"), "near-duplicates")
     left = without(docs, found.where(~F.col("kept")).select("doc_id").distinct())
     again = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select("doc_id")
     again, _ = stage(again, "repeated")
