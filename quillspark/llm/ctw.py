@@ -480,7 +480,7 @@ class Answers:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every document, and the code length in bits per byte of its stream."""
     spark = docs.sparkSession
     counts, _ = stage(word_counts(docs), "words")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -506,7 +506,9 @@ def score(docs: DataFrame) -> DataFrame:
         keep = real[codes]
         doc, codes = doc[keep], codes[keep]
         tokens = np.bincount(doc, minlength=n) + 1
-        scores = _sums(batch.column(1).to_pylist(), answers.look_up)
+        texts = batch.column(1).to_pylist()
+        scores = _sums(texts, answers.look_up)
+        lengths = np.diff(_streams(texts)[1]) - DEPTH
         base = np.bincount(doc, np.log10(known + 1.0)[codes], n) + np.log10(ends + 1.0)
         seen = np.bincount(doc, (known > 0)[codes], n).astype(np.int64) + (ends > 0)
         rare = at[codes] == len(hot_words)
@@ -515,8 +517,8 @@ def score(docs: DataFrame) -> DataFrame:
         items = pa.StructArray.from_arrays([own.take(pa.array(pair % max(1, len(own)))), pa.array(times.astype(np.int64))], ["word", "n"])
         held = [bucket(i, 7) == 2 for i in batch.column(0).to_pylist()]
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(held), pa.array(tokens), pa.array(seen), pa.array(base), pa.array(scores), pa.ListArray.from_arrays(pa.array(where), items)],
-            ["doc_id", "held_out", "n_tokens", "seen", "base", "score", "rare"],
+            [batch.column(0), pa.array(held), pa.array(tokens), pa.array(seen), pa.array(base), pa.array(scores), pa.array(-scores / np.log10(2.0) / lengths), pa.ListArray.from_arrays(pa.array(where), items)],
+            ["doc_id", "held_out", "n_tokens", "seen", "base", "score", "code_length_per_byte", "rare"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -539,9 +541,9 @@ def score(docs: DataFrame) -> DataFrame:
     texts = blocks.where("part < 0").selectExpr("block", "2147483647 as part", "cast(null as binary) as keys", "cast(null as binary) as value", "doc_id", "text")
     both = _answers(blocks, nodes).selectExpr("block", "part", "keys", "value", "cast(null as long) as doc_id", "cast(null as string) as text").union(texts)
     both = both.repartition("block").sortWithinPartitions("block", "part").select("block", "keys", "value", "doc_id", "text")
-    parts = both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, rare array<struct<word string, n long>>")
+    parts = both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, seen long, base double, score double, code_length_per_byte double, rare array<struct<word string, n long>>")
     parts, _ = stage(parts.withColumn("row", F.monotonically_increasing_id()), "scores")
     cold = parts.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts.where(F.col("c") < least), "word")
     cold = cold.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("add"))
     base = F.col("base") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * F.lit(low)
-    return parts.drop("rare").join(cold, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return parts.drop("rare").join(cold, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("seen") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "code_length_per_byte")
