@@ -56,5 +56,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bpe, op2_pii, op3_language_model, op4_near_duplicates, op5_warc, op6_language, op7_packing, op8_main_text, op9_webp, op10_nearest)}
 
 
+#: Sets of distinct five-word shingles (fewer words: the whole sequence), pairs that share one, and the smallest id reachable.
+_NEAR_DUPLICATES = """
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+elements AS (SELECT doc_id, unnest(s) AS e FROM sets),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM elements a JOIN elements b ON a.e = b.e AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y WHERE 100 * c >= 85 * (len(p.s) + len(q.s) - c)),
+edges AS (SELECT x, y FROM links UNION SELECT y, x FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, e.y FROM reach r JOIN edges e ON r.y = e.x)
+SELECT s.doc_id, len(s.s)::bigint AS n_shingles, m.c AS component_id, s.doc_id = m.c AS kept FROM sets s JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) m ON m.x = s.doc_id
+"""
+
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS n, sha1(h) AS digest FROM p),
+r AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS top FROM d)
+SELECT page_id, n::bigint AS payload_bytes, digest AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM r
+"""
+
+_NEAREST = """
+WITH v AS (SELECT vec_id, embedding::double[] AS e FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS l FROM v),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / (q.l * c.l) AS score FROM n q JOIN n c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e))
+SELECT query_id, rank::int AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Classifiers, models, codecs, packing and extraction have no SQL form; tests hold them against brute force."""
+    return {"op4_near_duplicates": _NEAR_DUPLICATES, "op5_warc": _WARC, "op10_nearest": _NEAREST}

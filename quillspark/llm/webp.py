@@ -116,6 +116,8 @@ def _read_lengths(bits: Bits, size: int) -> list[int]:
     if kind & 1:
         symbol = bits.read(8 if kind & 4 else 1)
         other = bits.read(8) if kind & 2 else symbol
+        if max(symbol, other) >= size:
+            raise ValueError("no such symbol")
         out = [0] * (max(symbol, other) + 1)
         out[symbol] = out[other] = 1
         return out
@@ -132,6 +134,8 @@ def _read_lengths(bits: Bits, size: int) -> list[int]:
     out, last = [], 8
     while len(out) < size and most > 0:
         most -= 1
+        if at > bits.end:
+            raise ValueError("image data ends early")
         e = table[window[at] >> shift]
         at += e & 15
         s = e >> 4

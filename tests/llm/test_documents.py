@@ -305,6 +305,40 @@ def test_language_of_held_out_documents(spark, sf, odd, empty):
     assert {r["lang_pred"] for r in ecoc.identify(odd, nothing).collect()} == {"und"} and ecoc.identify(empty, model).count() == 0
 
 
+def test_decoding_takes_the_codeword_of_least_weighted_loss():
+    """Against a plain loop over languages, bits and n-grams."""
+    r = np.random.default_rng(3)
+    counts = r.integers(0, 50, (7, ecoc.TABLE)).astype(float)
+    model = ecoc.Model([f"l{k}" for k in range(7)], counts)
+    model.learn_reliability({"l1": np.arange(model.book.shape[1]) % 9}, {"l1": 9})
+    share = (counts + ecoc.SMOOTH) / (counts.sum(axis=1, keepdims=True) + ecoc.SMOOTH * ecoc.TABLE)
+    for text in ("some words here", "x", "déjà vu " * 40, "日本"):
+        g = ecoc.grams(text)
+        losses = []
+        for code, reliable in zip(model.book, model.reliable):
+            loss = 0.0
+            for k in range(model.book.shape[1]):
+                yes, no = share[model.book[:, k] > 0].mean(axis=0), share[model.book[:, k] < 0].mean(axis=0)
+                lean = sum(np.log(yes[x]) - np.log(no[x]) for x in g) * min(len(g), ecoc.EVIDENCE) / len(g)
+                loss += reliable[k] * np.log1p(np.exp(-code[k] * lean))
+            losses.append(loss)
+        lang, score, unsure = model.predict(text)
+        assert lang == model.languages[int(np.argmin(losses))]
+        assert score == pytest.approx(1 / np.exp(min(losses) - np.array(losses)).sum(), rel=1e-3) and unsure == (score < ecoc.SURE)
+
+
+def test_reliability_counts_whole_texts(spark):
+    english, german = "the cat and the dog of the house ", "der hund und die katze aus dem haus "
+    rows = [(k, english * 20, "en") for k in range(30)] + [(30 + k, german * 20, "de") for k in range(30)]
+    # starts like English for over 2000 characters, but is German as a whole
+    rows += [(100 + k, english * 70 + german * 400, "de") for k in range(30)]
+    model = ecoc.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.predict(rows[-1][1])[0] == "de" and model.predict(english)[0] == "en"
+    right = np.mean([model.judged(t, x) for _, t, x in rows if x == "de"])
+    share = {x: (1 + sum(int(model.judged(t, x)[0]) for _, t, y in rows if y == x)) / (2 + sum(y == x for *_, y in rows)) for x in ("de", "en")}
+    assert right == 1.0 and model.reliable.shape == model.book.shape and all(0 < v < 1 for v in share.values())
+
+
 def test_codewords_are_far_apart():
     for n in (2, 3, 4, 5, 8, 30):
         book = ecoc.codebook(n)

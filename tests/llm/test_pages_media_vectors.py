@@ -311,6 +311,20 @@ def test_odd_vectors(spark):
     assert anisoq.nearest(df.limit(0)).count() == 0
 
 
+def test_every_dimension_is_searched_and_tiny_vectors_count(spark):
+    r = np.random.default_rng(6)
+    rows = [(k, r.normal(size=5 if k % 3 else 3).tolist()) for k in range(120)]
+    rows += [(200 + k, (1e-200 * r.normal(size=5)).tolist()) for k in range(5)] + [(250, (1e200 * r.normal(size=3)).tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for row in sorted(anisoq.nearest(df).collect(), key=lambda row: row["rank"]):
+        got[row["query_id"]].append((row["vec_id"], row["score"]))
+    units = {i: np.array(v) / np.abs(v).max() for i, v in rows}
+    for q in (0, 50, 100, 200, 250):
+        near = sorted(((-float(units[q] @ x) / np.sqrt(units[q] @ units[q]) / np.sqrt(x @ x), i) for i, x in units.items() if i != q and len(x) == len(units[q])))[:5]
+        assert [i for i, _ in got[q]] == [i for _, i in near] and [c for _, c in got[q]] == pytest.approx([-c for c, _ in near])
+
+
 def test_nearest_among_many_copies_have_the_smallest_ids(spark):
     """A third of a block are copies of one vector and a third near copies: more than are reranked first."""
     r = np.random.default_rng(4)
