@@ -1,7 +1,7 @@
 """The corpus pipeline: stages over documents, each written as Parquet and reread by the next.
 
 1. Language: documents whose language isn't recognised go.
-2. Near-duplicates: one document of each group stays.
+2. Near-duplicates (five words, a similarity of 0.8 or more): one document of each group stays.
 3. Personal data: every span found is replaced by its kind; all documents stay.
 4. Packing: pieces of token sequences of what is left.
 """
@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tuned(spark)
-    return setsketch.deduplicated(docs)
+    return setsketch.deduplicated(docs, 80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
