@@ -39,8 +39,8 @@ BANDS = REGISTERS // BAND
 #: Log-likelihood that a pair may lose against its best estimate and still be confirmed on whole sets.
 SLACK = 12.0
 BLOCK, GROUP = 256, 256
-#: Ids that are broadcast at most (long hash relation of some 64 MB); beyond, their join shuffles.
-BROADCAST_IDS = 4_000_000
+#: Ids, and pairs, that are broadcast at most (some 64 MB each); beyond, their join shuffles.
+BROADCAST_IDS, BROADCAST_PAIRS = 4_000_000, 1_000_000
 
 _random = np.random.default_rng(20)
 _multiply = _random.integers(1, 1 << 63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,7 +193,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     wanted, _ = stage(grouped.unionByName(centres).withColumn("first", F.col("a") == F.col("b")), "wanted")
     n = wanted.count()
     texts = docs.select(F.col("doc_id").cast("long").alias("b"), "text").where("b is not null")
-    moved = texts.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "b").select("a", "group", "b", "text", "first")
+    moved = texts.join(F.broadcast(wanted) if n <= BROADCAST_PAIRS else wanted, "b").select("a", "group", "b", "text", "first")
     ordered = moved.repartition("a", "group").sortWithinPartitions("a", "group", F.desc("first"), "b").select("a", "group", "b", "text")
     return ordered.mapInArrow(compare, "a long, b long").distinct()
 
