@@ -326,9 +326,9 @@ def _run(df: DataFrame, request: dict, parents: list[str], exact: bool, matcher:
         inner, _, _ = _split(df, {k: v for k, v in sub.items() if next(x for x in v if x not in ("aggs", "aggregations")) in METRICS}, exact)
         rows = bucketed(df, kind, spec, key, matcher)
         if kind == "terms":
-            grouped = terms_frame(df, spec, inner, parents, key).orderBy("rank").collect()
+            grouped = terms_frame(df, spec, inner, parents, key).orderBy("rank").limit(BUCKETS + 1).collect()
         else:
-            grouped = level(rows, [*parents, key], inner).collect()
+            grouped = level(rows, [*parents, key], inner).limit(BUCKETS + 1).collect()
         if len(grouped) > BUCKETS:
             raise AggregationError(f"more than {BUCKETS} buckets")
         deeper = {k: v for k, v in sub.items() if k not in inner}

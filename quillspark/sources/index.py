@@ -1,8 +1,10 @@
-"""A versioned index: Parquet segments, tombstones, postings and a manifest that changes atomically.
+"""A versioned index: Parquet segments, tombstones, postings and numbered manifests.
 
 Every operation has a stamp; a delete affects documents of smaller stamps only. A commit writes the
-buffered rows as one segment (partitioned by shard), the buffered deletes as tombstones, and then a new
-manifest; readers keep the version they opened. `merge` rewrites the live documents as one segment.
+buffered rows as one segment (partitioned by shard), the buffered deletes as tombstones, and then creates
+the next manifest, which fails if another writer has: the highest manifest is the current version, and
+nothing that exists is ever overwritten. Readers keep the version they opened. `merge` rewrites the live
+documents as one segment; what is buffered stays buffered.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import hashlib
 import io
 import json
 import math
+import re
 import uuid
 import zipfile
 from collections.abc import Iterable
@@ -18,17 +21,20 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from quillspark.functions import text
 from quillspark.functions.bm25 import Stats
-from quillspark.operators.search import Searcher
+from quillspark.operators import approximate
+from quillspark.operators.search import Searcher, literals
 from quillspark.plans import ir
 from quillspark.sources.schema import ID, SchemaConfig
 from quillspark.sources.storage import Storage
 
 #: Token buckets of the postings: a term reads one of them.
 TOKEN_BUCKETS = 64
+#: Regexes that match letters and digits alone, so that no match leaves a token.
+_IN_TOKEN = re.compile(r"(?:[a-z0-9]|\[[a-z0-9-]+\]|\{[0-9,]+\}|[*+?]|\\d)+")
 
 
 def length_column(field: str) -> str:
@@ -55,24 +61,22 @@ class Index:
     @staticmethod
     def create(spark: SparkSession, path: str, config: dict | SchemaConfig) -> Index:
         config, store = SchemaConfig.of(config), Storage(spark, path)
-        if store.exists("CURRENT"):
-            raise ValueError(f"there is an index at {path}")
         manifest = {"version": 0, "stamp": 0, "config": config.to_json(), "segments": [], "tombstones": [], "batches": {}}
-        store.write(json.dumps(manifest), "manifests", "0.json")
-        store.write("0", "CURRENT")
+        if _latest(store) is not None or not store.write_new(json.dumps(manifest), "manifests", "0.json"):
+            raise ValueError(f"there is an index at {path}")
         return Index(spark, path, manifest)
 
     @staticmethod
     def open(spark: SparkSession, path: str, version: int | None = None) -> Index:
         store = Storage(spark, path)
-        if not store.exists("CURRENT"):
+        manifest = _latest(store) if version is None else json.loads(store.read("manifests", f"{version}.json"))
+        if manifest is None:
             raise ValueError(f"no index at {path}")
-        number = store.read("CURRENT").strip() if version is None else str(version)
-        return Index(spark, path, json.loads(store.read("manifests", f"{number}.json")))
+        return Index(spark, path, manifest)
 
     def reload(self) -> None:
         """The newest version; what isn't committed stays buffered."""
-        self.manifest = json.loads(self.store.read("manifests", f"{self.store.read('CURRENT').strip()}.json"))
+        self.manifest, self._prepared = _latest(self.store), None
         self._stamp = max(self._stamp, self.manifest["stamp"])
 
     def close(self) -> None:
@@ -92,6 +96,8 @@ class Index:
     # ---- writing ----
 
     def _next(self) -> int:
+        if self._prepared is not None:
+            raise ValueError("a commit is prepared: commit or roll back first")
         self._stamp += 1
         return self._stamp
 
@@ -162,11 +168,11 @@ class Index:
         new = json.loads(json.dumps(self.manifest)) | {"version": self.manifest["version"] + 1, "stamp": self._stamp}
         rows = self._rows()
         if rows is not None:
-            name = uuid.uuid4().hex
+            name = f"seg={uuid.uuid4().hex}"
             self._analyzed(rows).write.partitionBy("shard").parquet(self.store.at("segments", name))
             if self.config.postings and self.config.text_fields():
                 self._write_postings(name)
-            new["segments"].append({"name": name})
+            new["segments"].append({"name": name, **self._counted(name)})
         taken = self.spark.createDataFrame(self._deletes, "_stop long, _node_id long") if self._deletes else None
         for stamp, query in self._queries:  # what the query finds among older documents
             hits = Searcher(self._docs(new), ID, self.config.analyzers()).run(query, need_score=False).select(F.lit(stamp).cast("long").alias("_stop"), ID)
@@ -177,8 +183,17 @@ class Index:
             new["tombstones"].append({"name": name})
         self._prepared = new
 
+    def _segment(self, name: str) -> DataFrame:
+        return self.spark.read.schema(self._full_schema()).parquet(self.store.at("segments", name))
+
+    def _counted(self, segment: str) -> dict[str, Any]:
+        """Documents and tokens of a segment, for its entry in the manifest."""
+        fields = self.config.text_fields()
+        row = self._segment(segment).agg(F.count("*").alias("n"), *(F.sum(length_column(f)).alias(f"t{k}") for k, f in enumerate(fields))).first()
+        return {"rows": row["n"], "tokens": {f: int(row[f"t{k}"] or 0) for k, f in enumerate(fields)}}
+
     def _write_postings(self, segment: str) -> None:
-        docs = self.spark.read.parquet(self.store.at("segments", segment))
+        docs = self._segment(segment)
         out = None
         for f in self.config.text_fields():
             tokens = text.ANALYZERS[self.config.analyzers()[f]].tokens(F.col(f))
@@ -198,27 +213,36 @@ class Index:
         new = self._prepared
         if batch:
             new["batches"][batch[0]] = batch[1]
-        self.store.write(json.dumps(new), "manifests", f"{new['version']}.json")
-        self.store.write(str(new["version"]), "CURRENT")
-        self._load(new)
+        self._publish(new)
         self.rollback()
         return self.version
 
+    def _publish(self, new: dict[str, Any]) -> None:
+        if not self.store.write_new(json.dumps(new), "manifests", f"{new['version']}.json"):
+            self._prepared = None
+            raise ValueError(f"another writer has published version {new['version']}: reload, then commit again")
+        self.manifest = new
+        self._stamp = max(self._stamp, new["stamp"])
+
     def merge(self, names: Iterable[str] | None = None, partitions: int | None = None) -> int:
-        """Compacts the named segments, or all: live documents become one segment. Tombstones go when all were merged."""
+        """Compacts the named segments, or all: live documents become one segment. Tombstones go when all were merged.
+
+        Buffered operations stay buffered; a prepared commit has to be published or rolled back before."""
+        if self._prepared is not None:
+            raise ValueError("a commit is prepared: commit or roll back first")
         every = [s["name"] for s in self.manifest["segments"]]
         chosen = every if names is None else [n for n in every if n in set(names)]
         if not chosen:
             return self.version
         docs = self._docs(self.manifest | {"segments": [{"name": n} for n in chosen]})
-        name = uuid.uuid4().hex
+        name = f"seg={uuid.uuid4().hex}"
         rows = docs.repartition(partitions or max(1, self.config.shards), "shard") if partitions or self.config.shards > 1 else docs
         rows.write.partitionBy("shard").parquet(self.store.at("segments", name))
         if self.config.postings and self.config.text_fields():
             self._write_postings(name)
         kept = [s for s in self.manifest["segments"] if s["name"] not in chosen]
-        self._prepared = self.manifest | {"version": self.manifest["version"] + 1, "segments": [*kept, {"name": name}], "tombstones": self.manifest["tombstones"] if kept else []}
-        return self.commit()
+        self._publish(self.manifest | {"version": self.manifest["version"] + 1, "segments": [*kept, {"name": name, **self._counted(name)}], "tombstones": self.manifest["tombstones"] if kept else []})
+        return self.version
 
     def merge_candidates(self, least: int = 8, level: float = 0.75, layer: int = 10_000, most: int = 10_000_000) -> list[list[str]]:
         """Groups of at least `least` segments of like size (in documents, by logarithmic levels), as a merge policy."""
@@ -262,17 +286,15 @@ class Index:
         return self.documents().count()
 
     def _full_schema(self) -> StructType:
-        lengths = [StructField(length_column(f), LongType()) for f in self.config.text_fields()]
-        return StructType([*self.schema.fields, StructField("_op", LongType()), *lengths, StructField("shard", LongType())])
+        lengths = [StructField(length_column(f), IntegerType()) for f in self.config.text_fields()]
+        return StructType([*self.schema.fields, StructField("_op", LongType()), *lengths, StructField("shard", IntegerType())])
 
     def _docs(self, manifest: dict[str, Any]) -> DataFrame:
         paths = [self.store.at("segments", s["name"]) for s in manifest["segments"]]
         if not paths:
             return self.spark.createDataFrame([], self._full_schema())
-        parts = [self.spark.read.parquet(p) for p in paths]
-        docs = parts[0]
-        for p in parts[1:]:
-            docs = docs.unionByName(p)
+        schema = StructType([*self._full_schema().fields, StructField("seg", StringType())])
+        docs = self.spark.read.schema(schema).option("basePath", self.store.at("segments")).parquet(*paths).drop("seg")  # one scan, however many commits
         if manifest["tombstones"]:
             stops = self.spark.read.parquet(*(self.store.at("tombstones", t["name"]) for t in manifest["tombstones"]))
             stops = stops.groupBy(F.col(ID).alias("_dead")).agg(F.max("_stop").alias("_stop"))
@@ -287,14 +309,12 @@ class Index:
     def postings(self, field: str | None = None, token: str | None = None) -> DataFrame:
         """field, token, id, tf, dl, positions of live documents; a token reads one bucket only."""
         names = [s["name"] for s in self.manifest["segments"]]
-        out = None
-        for n in names:
-            rows = self.spark.read.parquet(self.store.at("postings", n))
-            if token is not None:
-                rows = rows.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(token)), F.lit(TOKEN_BUCKETS)).cast("int")) & (F.col("token") == token))
-            out = rows if out is None else out.unionByName(rows)
-        if out is None:
-            return self.spark.createDataFrame([], "field string, token string, _node_id long, _op long, dl long, tf int, positions array<int>, bucket int")
+        schema = "field string, token string, _node_id long, _op long, dl int, tf int, positions array<int>, seg string, bucket int"
+        if not names:
+            return self.spark.createDataFrame([], schema)
+        out = self.spark.read.schema(schema).option("basePath", self.store.at("postings")).parquet(*(self.store.at("postings", n) for n in names))
+        if token is not None:
+            out = out.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(token)), F.lit(TOKEN_BUCKETS)).cast("int")) & (F.col("token") == token))
         if field is not None:
             out = out.where(F.col("field") == field)
         if self.manifest["tombstones"]:
@@ -345,8 +365,7 @@ class Index:
         target = Storage(self.spark, path)
         for name in self._files(self.manifest):
             target.copy_in(self.store.at(name), name)
-        target.write(json.dumps(self.manifest), "manifests", f"{self.version}.json")
-        target.write(str(self.version), "CURRENT")
+        target.write_new(json.dumps(self.manifest), "manifests", f"{self.version}.json")
         return path
 
     @staticmethod
@@ -362,11 +381,11 @@ class Index:
         """The current version as one zip, for indexes that fit the driver; else export_snapshot_to."""
         return self._zip(list(self._files(self.manifest)), [])
 
-    def _zip(self, names: list[str], removed: list[str]) -> bytes:
+    def _zip(self, names: list[str], removed: list[str], base: str | None = None) -> bytes:
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
             z.writestr("manifest.json", json.dumps(self.manifest))
-            z.writestr("removed.json", json.dumps(removed))
+            z.writestr("removed.json", json.dumps({"removed": removed, "base": base}))
             for n in names:
                 for path, data in self._read_all(n):
                     z.writestr(path, data)
@@ -381,8 +400,8 @@ class Index:
                     stream = store.fs.create(store._path(store.at(name)), True)
                     stream.write(bytearray(z.read(name)))
                     stream.close()
-        store.write(json.dumps(manifest), "manifests", f"{manifest['version']}.json")
-        store.write(str(manifest["version"]), "CURRENT")
+        if not store.write_new(json.dumps(manifest), "manifests", f"{manifest['version']}.json"):
+            raise ValueError(f"there is a version {manifest['version']} already")
         return manifest
 
     @staticmethod
@@ -390,10 +409,13 @@ class Index:
         return Index(spark, path, Index._unzip(Storage(spark, path), data))
 
     def version_hash(self) -> str:
-        return hashlib.sha256(json.dumps([self.manifest[k] for k in ("segments", "tombstones", "config")], sort_keys=True).encode()).hexdigest()[:16]
+        return _hash(self.manifest)
 
     def shard_versions(self) -> list[str]:
-        return [self.version_hash()] * self.num_shards
+        """A hash of each shard's files and of the tombstones, which may concern any shard."""
+        fixed = [self.manifest["tombstones"], self.manifest["config"]]
+        files = lambda shard: [[s["name"], self.store.list("segments", s["name"], f"shard={shard}")] for s in self.manifest["segments"]]
+        return [hashlib.sha256(json.dumps([*fixed, [x for x in files(k) if x[1]]], sort_keys=True).encode()).hexdigest()[:16] for k in range(self.num_shards)]
 
     def history(self) -> list[int]:
         return sorted(int(n.removesuffix(".json")) for n in self.store.list("manifests") if n.endswith(".json"))
@@ -402,15 +424,17 @@ class Index:
         """What changed since a version that is still in the history; else ask for a snapshot."""
         if since not in self.history():
             raise ValueError(f"version {since} isn't known: take a snapshot")
-        old = self._files(json.loads(self.store.read("manifests", f"{since}.json")))
-        new = self._files(self.manifest)
-        return self._zip([n for n in new if n not in old], [n for n in old if n not in new])
+        before = json.loads(self.store.read("manifests", f"{since}.json"))
+        old, new = self._files(before), self._files(self.manifest)
+        return self._zip([n for n in new if n not in old], [n for n in old if n not in new], _hash(before))
 
     def apply_sharded_delta(self, delta: bytes) -> None:
         with zipfile.ZipFile(io.BytesIO(delta)) as z:
-            removed = json.loads(z.read("removed.json"))
+            about = json.loads(z.read("removed.json"))
+        if about["base"] != self.version_hash():
+            raise ValueError("the delta was made from another version than this index has: take a snapshot")
         self._load(Index._unzip(self.store, delta))
-        for n in removed:
+        for n in about["removed"]:
             self.store.delete(n)
 
     # ---- diagnostics ----
@@ -419,7 +443,7 @@ class Index:
         return self.postings(field, token).select(ID, "tf", "dl", "positions")
 
     def inspect_segments(self) -> list[dict[str, Any]]:
-        return [{"name": s["name"], "rows": self.spark.read.parquet(self.store.at("segments", s["name"])).count(), "bytes": self.store.size("segments", s["name"]), "postings_bytes": self.store.size("postings", s["name"])} for s in self.manifest["segments"]]
+        return [{"name": s["name"], "rows": s["rows"], "bytes": self.store.size("segments", s["name"]), "postings_bytes": self.store.size("postings", s["name"])} for s in self.manifest["segments"]]
 
     def space_usage(self) -> dict[str, int]:
         return {k: sum(self.store.size(n) for n, folder in self._files(self.manifest).items() if folder == k) for k in ("segments", "postings", "tombstones")}
@@ -436,11 +460,104 @@ class Index:
         return plan._jdf.queryExecution().toString()
 
 
+def _hash(manifest: dict[str, Any]) -> str:
+    return hashlib.sha256(json.dumps([manifest[k] for k in ("segments", "tombstones", "config")], sort_keys=True).encode()).hexdigest()[:16]
+
+
+def _latest(store: Storage) -> dict[str, Any] | None:
+    """The highest manifest that was written to its end."""
+    for n in sorted((int(x.removesuffix(".json")) for x in store.list("manifests") if x.endswith(".json")), reverse=True):
+        try:
+            return json.loads(store.read("manifests", f"{n}.json"))
+        except ValueError:  # its writer hasn't ended yet, or never will
+            continue
+    return None
+
+
 class IndexSearcher(Searcher):
-    """Terms and phrases read the postings (one token bucket each) in place of the texts; the rest scans documents."""
+    """Terms and phrases read the postings (one token bucket each) in place of the texts. Substrings, prefixes, regexes
+    of letters and digits, and typo-tolerant substrings lie inside tokens, so they scan the postings' tokens; other
+    regexes read the texts of those documents only whose tokens hold the regex's literals. The rest scans documents."""
 
     index: Index | None = None
 
+    def corpus(self, *fields: str) -> tuple[int, dict[str, int]]:
+        """From the manifest, where nothing was deleted."""
+        if self.index is not None and self.stats is None and not self.quantize and not self.index.manifest["tombstones"]:
+            segments = self.index.manifest["segments"]
+            known = self.index.config.text_fields()
+            if all(f in known for f in fields):
+                self._corpus = {f: (sum(s["rows"] for s in segments), sum(s["tokens"][f] for s in segments)) for f in known} or self._corpus
+        return super().corpus(*fields)
+
+    def _whole_tokens(self, q: ir.Query) -> bool:
+        """Whether the postings hold every run of letters and digits of the query's field."""
+        field = getattr(q, "field", None)
+        return self.index is not None and not self.quantize and self.stats is None and field in self.index.config.text_fields() and self.index.config.analyzers()[field] == "simple"
+
+    def _inside(self, q: ir.Query) -> DataFrame | None:
+        """id, _op, dl, tf of a query whose matches lie inside tokens or are runs of neighbouring tokens."""
+        if not self._whole_tokens(q):
+            return None
+        rows, token = self.index.postings(q.field), F.col("token")
+        if isinstance(q, ir.RegexContains):
+            if not _IN_TOKEN.fullmatch(q.pattern):
+                return None
+            count = F.regexp_count(token, F.lit(q.pattern))
+            return self._summed(rows.where(token.rlike(q.pattern)), count)
+        if not isinstance(q, (ir.Contains, ir.PhrasePrefix)) or getattr(q, "strict", False):
+            return None
+        words = [t.lower() for t in q.terms] if isinstance(q, ir.PhrasePrefix) else text.query_tokens(q.value)[0]
+        if not words:
+            return None
+        first = isinstance(q, ir.PhrasePrefix) or q.anchor
+        last = isinstance(q, ir.Contains) and q.exact
+        if len(words) == 1:
+            w = words[0]
+            if first or last:
+                test = token == w if first and last else token.startswith(w) if first else token.endswith(w)
+                return self._summed(rows.where(test), F.lit(1))
+            if any(w[:k] == w[-k:] for k in range(1, len(w))):  # matches may overlap
+                return self._summed(rows.where(token.contains(w)), F.regexp_count(token, F.lit(f"(?={re.escape(w)})")))
+            return self._summed(rows.where(token.contains(w)), ((F.octet_length(token) - F.octet_length(F.replace(token, F.lit(w), F.lit("")))) / len(w.encode())).cast("int"))
+        hits = None
+        for k, w in enumerate(words):
+            if k == 0 and not first:
+                some = rows.where(token.endswith(w))
+            elif k == len(words) - 1 and not last:
+                some = rows.where(token.startswith(w))
+            else:
+                some = self.index.postings(q.field, w)
+            places = some.groupBy(F.col(ID).alias("id"), "_op").agg(F.first("dl").alias("dl"), F.flatten(F.collect_list("positions")).alias(f"p{k}"))
+            hits = places if hits is None else hits.join(places.drop("dl"), ["id", "_op"])
+
+        def starts(p: Column) -> Column:
+            out = F.array_contains("p1", p + 1)
+            for k in range(2, len(words)):
+                out = out & F.array_contains(f"p{k}", p + k)
+            return out
+
+        return hits.select("id", "_op", "dl", F.size(F.filter("p0", starts)).cast("long").alias("tf")).where("tf > 0")
+
+    def _summed(self, rows: DataFrame, times: Column) -> DataFrame:
+        return rows.groupBy(F.col(ID).alias("id"), "_op").agg(F.first("dl").alias("dl"), F.sum(F.col("tf") * times).alias("tf"))
+
+    def _fuzzy(self, q: ir.Fuzzy) -> DataFrame | None:
+        """id, score: the n-grams' places come from the tokens that hold them; windows of them are looked for in Python."""
+        plan = approximate.FuzzyPlan(q.value, q.distance)
+        if not plan.grams or not self._whole_tokens(q):
+            return None
+        grams, token = list(enumerate(plan.grams)), F.col("token")
+        some = token.contains(plan.grams[0])
+        for g in plan.grams[1:]:
+            some = some | token.contains(g)
+        held = F.array_compact(F.array(*(F.when(token.contains(g), F.lit(k)) for k, g in grams)))
+        rows = self.index.postings(q.field).where(some).select(F.col(ID).alias("id"), "_op", "dl", held.alias("g"), "positions")
+        rows = rows.groupBy("id", "_op").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("positions", "g")).alias("hits"), F.size(F.array_distinct(F.flatten(F.collect_list("g")))).alias("n")).where(F.col("n") >= plan.threshold)
+        found = approximate.fuzzy_windows_udf(q.value, q.distance)
+        hits = rows.select("id", "dl", found(F.transform("hits", lambda h: h["positions"]), F.transform("hits", lambda h: h["g"])).alias("f")).select("id", "dl", "f.tf", "f.misses")
+        return self._scored(q.field, hits, -1000.0 * F.col("misses"))
+
     def _tokens(self, field: str, keep) -> DataFrame:
         if self.index is None:
             return super()._tokens(field, keep)
@@ -460,18 +577,23 @@ class IndexSearcher(Searcher):
         return None
 
     def leaf(self, q: ir.Query):
-        return None if self._indexed(q) and self.stats is None else super().leaf(q)
+        if self.stats is None and (self._indexed(q) or self._inside(q) is not None or isinstance(q, ir.Fuzzy)):
+            return None
+        return super().leaf(q)
 
     def table(self, q: ir.Query) -> DataFrame | None:
         tokens = self._indexed(q)
         if not tokens or self.stats is not None:
-            return super().table(q)
-        lists = [self.index.postings(q.field, t).select(F.col(ID).alias("id"), "dl", F.col("tf").cast("long").alias("tf"), F.col("positions").alias(f"p{k}")) for k, t in enumerate(tokens)]
+            inside = self._inside(q) if self.stats is None else None
+            if inside is not None:
+                return self._scored(q.field, inside)
+            return (self._fuzzy(q) if isinstance(q, ir.Fuzzy) else None) or super().table(q)
+        lists = [self.index.postings(q.field, t).select(F.col(ID).alias("id"), "_op", "dl", F.col("tf").cast("long").alias("tf"), F.col("positions").alias(f"p{k}")) for k, t in enumerate(tokens)]
         if len(lists) == 1:
             return self._scored(q.field, lists[0].select("id", "dl", "tf"))
         hits = lists[0]
         for k, other in enumerate(lists[1:], 1):
-            hits = hits.join(other.select("id", f"p{k}"), "id")
+            hits = hits.join(other.select("id", "_op", f"p{k}"), ["id", "_op"])  # rows that repeat an id are rows of their own
 
         def starts(p: Column) -> Column:
             """Whether the phrase starts at position p of its first token."""
@@ -484,9 +606,25 @@ class IndexSearcher(Searcher):
         dfs = None if isinstance(q, ir.Contains) else [x.count() for x in lists]
         return self._scored(q.field, hits, dfs=dfs)
 
+    def _holding(self, field: str, words: list[str]) -> DataFrame:
+        """Ids of the documents whose tokens hold every word."""
+        token = F.col("token")
+        some = token.contains(words[0])
+        for w in words[1:]:
+            some = some | token.contains(w)
+        held = F.array_compact(F.array(*(F.when(token.contains(w), F.lit(k)) for k, w in enumerate(words))))
+        rows = self.index.postings(field).where(some).select(ID, "_op", held.alias("w"))
+        return rows.groupBy(ID, "_op").agg(F.size(F.array_distinct(F.flatten(F.collect_list("w")))).alias("n")).where(F.col("n") == len(words)).select(ID).distinct()
+
     def run(self, query, need_score: bool = True) -> DataFrame:
         """Unions of terms, as of more-like-this, add up in one aggregation without a join."""
         q = ir.simplify(self.parsed(query))
+        if isinstance(q, ir.RegexContains) and self._whole_tokens(q) and not _IN_TOKEN.fullmatch(q.pattern) and (words := literals(q.pattern)):
+            n, tokens = self.corpus(q.field)
+            few = Searcher(self.docs.join(self._holding(q.field, words), ID, "left_semi"), self.id, self.analyzers, None, self.lengths)
+            match, ((_, tf, _),) = few.leaf(q)
+            hits = few.docs.where(match).select(F.col(self.id).alias("id"), tf.alias("tf"), few.length(q.field).alias("dl"))
+            return self._scored(q.field, hits).withColumnRenamed("id", self.id)
         if isinstance(q, ir.Bool) and q.should and not q.must and not q.must_not and q.needed() == 1 and self.stats is None:
             terms = [(c.query, c.factor) if isinstance(c, ir.Boost) else (c, 1.0) for c in q.should]
             if all(self._indexed(c) for c, _ in terms):

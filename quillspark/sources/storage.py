@@ -26,15 +26,18 @@ class Storage:
         finally:
             stream.close()
 
-    def write(self, text: str, *parts: str) -> None:
-        """Atomic: a temporary file takes the name."""
-        target, held = self._path(self.at(*parts)), self._path(self.at(*parts) + ".tmp")
-        stream = self.fs.create(held, True)
+    def write_new(self, text: str, *parts: str) -> bool:
+        """Writes a small file that isn't there yet; false, and nothing is written, if it is: of several writers one succeeds."""
+        target = self._path(self.at(*parts))
+        try:
+            stream = self.fs.create(target, False)
+        except Exception:
+            if self.fs.exists(target):
+                return False
+            raise
         stream.write(bytearray(text.encode()))
         stream.close()
-        self.fs.delete(target, False)
-        if not self.fs.rename(held, target):
-            raise OSError(f"can't write {target}")
+        return True
 
     def list(self, *parts: str) -> list[str]:
         if not self.exists(*parts):

@@ -141,3 +141,85 @@ def test_event_windows(spark):
     rows = spark.createDataFrame([("2024-01-01 00:01:00", "a"), ("2024-01-01 00:02:00", "a"), ("2024-01-01 00:20:00", "b")], "ts string, k string").withColumn("ts", F.to_timestamp("ts"))
     assert sorted(r["n"] for r in ingest.window_counts(rows, "ts", ["k"], "10 minutes").collect()) == [1, 2]
     assert sorted(r["n"] for r in ingest.session_counts(rows, "ts", ["k"], "5 minutes").collect()) == [1, 2]
+
+
+def test_merge_leaves_what_is_buffered(spark, index):
+    index.add(5, body="python five")
+    index.delete(1)
+    index.merge()
+    assert ids(index.search("python")) == [1, 4]
+    index.commit()
+    assert ids(index.search("python")) == [4, 5] and ids(Index.open(spark, index.path).search("python")) == [4, 5]
+
+
+def test_nothing_is_added_between_prepare_and_commit(index):
+    index.add(5, body="python five")
+    index.prepare_commit()
+    for call in (lambda: index.add(6, body="python six"), lambda: index.delete(1), index.merge):
+        with pytest.raises(ValueError):
+            call()
+    index.commit()
+    index.add(6, body="python six")
+    index.commit()
+    assert ids(index.search("python")) == [1, 4, 5, 6]
+
+
+def test_rows_that_repeat_an_id_match_once_each(spark, tmp_path):
+    index = Index.create(spark, f"{tmp_path}/idx", CONFIG | dict(tokenizer="simple"))
+    index.add_many([dict(_node_id=7, body="of the house"), dict(_node_id=7, body="out of the way"), dict(_node_id=8, body="the house of")])
+    index.commit()
+    for query in (ir.Phrase("body", ("of", "the")), ir.Term("body", "of"), ir.Contains("body", "f th"), ir.Contains("body", "th")):
+        assert ids(index.search(query)) == sorted(r[0] for r in index.documents().collect() if index_matches(query, r))
+
+
+def index_matches(query, row):
+    text = row["body"]
+    return "of the" in text if isinstance(query, ir.Phrase) or getattr(query, "value", "") == "f th" else str(query.value) in text
+
+
+def test_of_two_writers_one_succeeds(spark, index):
+    other = Index.open(spark, index.path)
+    index.add(5, body="python five")
+    other.add(6, body="python six")
+    index.commit()
+    with pytest.raises(ValueError, match="another writer"):
+        other.commit()
+    other.reload()
+    other.commit()
+    assert ids(Index.open(spark, index.path).search("python")) == [1, 4, 5, 6]
+    index.store.write_new('{"version": 99, "cut o', "manifests", "99.json")  # a writer that didn't end
+    assert Index.open(spark, index.path).version == other.version
+
+
+def test_delta_needs_its_base_and_shards_have_versions(spark, index, tmp_path):
+    copy = Index.import_snapshot(spark, index.export_snapshot(), f"{tmp_path}/copy")
+    before = index.shard_versions()
+    since = index.version
+    index.add(5, body="python five")
+    index.commit()
+    changed = [a != b for a, b in zip(before, index.shard_versions())]
+    assert sum(changed) == 1 and len(changed) == 2
+    delta = index.export_sharded_delta(since)
+    copy.apply_sharded_delta(delta)
+    assert ids(copy.search("python")) == [1, 4, 5]
+    with pytest.raises(ValueError, match="another version"):
+        copy.apply_sharded_delta(delta)
+
+
+TEXTS = ["the nation of nations", "station, Tion! tion", "mail.example and mail-exemple", "kmalloc(sizeof(x)) then kmalloc", "aaaa aa", "", None, "xtion end of_the-line", "token = 'abc' and Token"]
+
+
+@pytest.mark.parametrize("query", [
+    ir.Contains("body", "tion"), ir.Contains("body", "aa"), ir.Contains("body", "of the"), ir.Contains("body", "n of n"), ir.Contains("body", "tion", anchor=True), ir.Contains("body", "of th", anchor=True),
+    ir.Contains("body", "the", anchor=True, exact=True), ir.PhrasePrefix("body", ("of", "th")), ir.RegexContains("body", "ti[a-z]+"), ir.RegexContains("body", "kmalloc.*sizeof"), ir.RegexContains("body", "token = .[a-z]+"),
+    ir.Fuzzy("body", "mail example", 1), ir.Fuzzy("body", "stazion", 1), ir.Bool(must=(ir.Contains("body", "tion"),), must_not=(ir.Contains("body", "station"),)),
+], ids=repr)
+def test_tokens_give_what_texts_give(spark, tmp_path, query):
+    from quillspark.operators.search import Searcher
+
+    index = Index.create(spark, f"{tmp_path}/idx", CONFIG | dict(tokenizer="simple"))
+    index.add_many([dict(_node_id=k, body=t) for k, t in enumerate(TEXTS)])
+    index.commit()
+    got = {r[0]: r[1] for r in index.searcher().run(query).collect()}
+    want = {r[0]: r[1] for r in Searcher(index.documents(), analyzers=index.config.analyzers()).run(query).collect()}
+    assert got == pytest.approx(want) and want
