@@ -68,6 +68,9 @@ def _tf(leaf: tuple) -> str:
     if kind == "phrase_prefix":
         a, b = value
         return f"len(list_filter(range(1, len(ts)), lambda i: ts[i] = '{a}' AND starts_with(ts[i + 1], '{b}')))"
+    if kind == "between":
+        a, b = value
+        return f"len(list_filter(ts, lambda x: x >= '{a}' AND x < '{b}' AND strlen(x) < 40))"
     if kind == "regex":
         return f"len(regexp_extract_all(t, '{value}', 0, 's'))"
     raise ValueError(kind)
@@ -128,6 +131,12 @@ _sql["regex_phrase"] = _scored_sql([("phrase", ("th", "of"))], "m0", "s0").repla
 _PHRASE_IDF = _scored_sql([("phrase", ("of", "the")), ("term", "of"), ("term", "the")], "m0", _bm25("f0", f"({_idf('d1')} + {_idf('d2')})"))
 _text_query("phrase_query", ir.Phrase("body", ("of", "the")))
 _sql["phrase_query"] = _PHRASE_IDF.replace("l.*,", "l.*, n, a, d1, d2,")
+#: Up to two words between, or one swapped; words of 40 bytes or more aren't indexed.
+_sql["phrase_slop"] = _BASE + f""", u AS (SELECT _node_id, unnest(us) AS token, generate_subscripts(us, 1) AS i FROM (SELECT _node_id, list_filter(ts, lambda x: strlen(x) < 40) AS us FROM s)),
+w AS (SELECT _node_id, token, [lag(token) OVER o, lead(token) OVER o, lead(token, 2) OVER o, lead(token, 3) OVER o] AS near FROM u WINDOW o AS (PARTITION BY _node_id ORDER BY i)),
+f AS (SELECT _node_id, count(*) FILTER (token = 'of' AND list_contains(near, 'the')) AS f0, count(*) FILTER (token = 'of') AS f1, count(*) FILTER (token = 'the') AS f2 FROM w GROUP BY _node_id),
+d AS (SELECT count(*) FILTER (f1 > 0) AS d1, count(*) FILTER (f2 > 0) AS d2 FROM f)
+SELECT _node_id, round({_bm25('f0', f"({_idf('d1')} + {_idf('d2')})")}, 6) AS score FROM f JOIN s USING (_node_id), st, d WHERE f0 > 0"""
 _sql["contains_phrase"] = _scored_sql([("phrase", ("of", "the"))], "m0", "s0").replace("ts[i] = 'of'", "ends_with(ts[i], 'of')").replace("ts[i + 1] = 'the'", "starts_with(ts[i + 1], 'the')")
 
 
@@ -147,6 +156,29 @@ _text_query("fuzzy_term_prefix", ir.FuzzyTerm("body", "token", 1, False, True))
 _sql["fuzzy_term_prefix"] = _expanded_sql("least(levenshtein(token[:4], 'token'), levenshtein(token[:5], 'token'), levenshtein(token[:6], 'token')) <= 1")
 
 
+#: Terms of the text that occur twice in it and in two documents, each weighing its frequency in the text times its idf, against the heaviest.
+_sql["more_like_this"] = _BASE + f""", q(token, c) AS (VALUES ('the', 2), ('tion', 2), ('of', 2), ('schach', 2)),
+h AS (SELECT _node_id, len(any_value(ts)) AS dl, token, count(*) AS tf FROM (SELECT _node_id, ts, unnest(ts) AS token FROM s) JOIN q USING (token) GROUP BY _node_id, token),
+df AS (SELECT token, any_value(c) AS c, count(*) AS df FROM h JOIN q USING (token) GROUP BY token HAVING count(*) >= 2),
+w AS (SELECT token, {_idf('df')} AS idf, c * {_idf('df')} AS weight FROM df, st),
+m AS (SELECT token, idf, weight / max(weight) OVER () AS boost FROM w)
+SELECT _node_id, round(sum(boost * idf * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 6) AS score FROM h JOIN m USING (token), st GROUP BY _node_id"""
+_text_query("phrase_prefix", dict(type="phrase_prefix", field="body", value="of the"))
+_sql["phrase_prefix"] = _sql["contains_phrase"]
+_text_query("parse", dict(type="parse", field="body", value="tion"), [("contains", "tion")])
+_text_query("boolean_query_string", dict(type="query_string", value="the AND NOT und", fields=["body"]), [("term", "the"), ("term", "und")], "m0 AND NOT m1", "s0")
+_text_query("range_terms", ir.Range("body", "ma", "mf", True, False), [("between", ("ma", "mf"))], "m0", "1.0::double")
+_text_query("filter_contains_only", dict(type="boolean", must=[_C("tion")], should=[dict(type="term", field="body", value="the")], filters=[dict(field="source", op="in", value=["src1", "src2"])]), [("contains", "tion"), ("term", "the")], "m0 AND source IN ('src1', 'src2')", "s0 + s1")
+_text_query("boost_nested", ir.Boost(ir.DisMax((ir.Term("body", "the"), ir.Boost(ir.Term("body", "und"), 3.0)), 0.0), 2.0), [("term", "the"), ("term", "und")], "m0 OR m1", "2 * greatest(s0, 3 * s1)")
+_text_query("must_not_all", ir.Bool(must=(ir.Term("body", "the"),), must_not=(ir.All(),)), [("term", "the")], "false", "s0")
+_text_query("should_with_all", ir.Bool(should=(ir.All(), ir.Term("body", "the"))), [("term", "the")], "true", "1 + s0")
+
+
+@_add("empty_query", "SELECT doc_id AS _node_id, 0.0::double AS score FROM documents WHERE false")
+def _empty(spark, sf_dir):
+    return _rounded(documents(spark, sf_dir).run(ir.Empty()))
+
+
 @_add("all_query", "SELECT doc_id AS _node_id, 1.0::double AS score FROM documents")
 def _all(spark, sf_dir):
     return _rounded(documents(spark, sf_dir).run(ir.All()))
@@ -176,7 +208,22 @@ _parsed("query_string_range", "+the +n_chars:[500 TO 2000]", [("term", "the")],
 _parsed("query_string_set", "+und +lang: IN [de fr]", [("term", "und")], "m0 AND lang IN ('de', 'fr')", "s0 + 1")
 
 
-@_add("query_string_lenient")
+_parsed("query_string_phrase", '"of the"', [("phrase", ("of", "the")), ("term", "of"), ("term", "the")], "m0", _bm25("f0", f"({_idf('d1')} + {_idf('d2')})"))
+_sql["query_string_phrase"] = _sql["query_string_phrase"].replace("l.*,", "l.*, n, a, d1, d2,")
+_parsed("query_string_slop", '"of the"~2', [("term", "the")], "m0", "s0")
+_sql["query_string_slop"] = _sql["phrase_slop"]
+_parsed("query_string_prefix", '"of th"*', [("phrase_prefix", ("of", "th"))], "m0", "s0")
+_parsed("query_string_exists", "+the +lang:*", [("term", "the")], "m0 AND lang IS NOT NULL", "s0 + 1")
+_parsed("query_string_all", "*", [("term", "the")], "true", "1.0::double")
+_parsed("query_string_group", "lang:(en de) AND the", [("term", "the")], "m0 AND lang IN ('en', 'de')", "s0 + 1")
+_parsed("query_string_open_range", "+the +n_chars:>5000", [("term", "the")], "m0 AND n_chars > 5000", "s0 + 1")
+_parsed("query_string_escape", r"of\-the", [("term", "the")], "m0", "s0")
+_sql["query_string_escape"] = _sql["query_string_phrase"]
+_parsed("query_string_regex", "body:/sch[a-z]+/", [("term", "the")], "m0", "s0")
+_sql["query_string_regex"] = _sql["regex_term"]
+
+
+@_add("query_string_lenient", _scored_sql([("term", "the"), ("term", "und")], "m0 AND m1", "s0 + s1"))
 def _lenient(spark, sf_dir):
     s = documents(spark, sf_dir)
     query, _ = querystring.parse_lenient("the AND (und nosuch:x [a", s.docs.schema, ["body"])
@@ -219,6 +266,48 @@ def _count(spark, sf_dir):
     return documents(spark, sf_dir).run(_C("tion"), need_score=False).agg(F.count("*").alias("n"))
 
 
+@_add("sort_keys_none_last", "SELECT doc_id AS _node_id FROM documents ORDER BY lang ASC NULLS LAST, n_chars DESC NULLS FIRST, doc_id LIMIT 100")
+def _sorted_other(spark, sf_dir):
+    return collectors.order_by(documents(spark, sf_dir).docs, [("lang", "reverse_none_lower"), ("n_chars", "natural_none_higher")], 100).select("_node_id")
+
+
+@_add("doc_set", "SELECT doc_id AS _node_id FROM documents WHERE contains(lower(text), 'tion')")
+def _doc_set(spark, sf_dir):
+    return collectors.doc_set(documents(spark, sf_dir).run(_C("tion"), need_score=False))
+
+
+@_add("filter_collector", _scored_sql([("contains", "tion")], "m0 AND s0 > 0.3", "s0"))
+def _filter_collector(spark, sf_dir):
+    return _rounded(collectors.filtered(documents(spark, sf_dir).run(_C("tion")), F.col("score") > 0.3))
+
+
+@_add("multi_collector", _scored_sql([("contains", "tion")], "m0", "s0", "ORDER BY s0 DESC, _node_id LIMIT 5").replace("AS score FROM p", "AS score, (SELECT count(*) FROM p WHERE m0)::bigint AS n FROM p"))
+def _multi(spark, sf_dir):
+    got = collectors.multi(documents(spark, sf_dir).run(_C("tion")), dict(n=collectors.count, top=lambda df: [tuple(r) for r in top_k(df, 5).collect()]))
+    rows = [(i, round(score, 6), got["n"]) for i, score in got["top"]]
+    return spark.createDataFrame(rows, "_node_id long, score double, n long")
+
+
+@_add("top_facets", "SELECT '/' AS root, '/' || p_brand AS facet, count(*) AS count FROM part GROUP BY ALL ORDER BY count(*) DESC, facet LIMIT 5")
+def _top_facets(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("_node_id"), F.concat(F.lit("/"), "p_brand", F.lit("/"), "p_type").alias("path"))
+    return collectors.top_facets(collectors.facets(rows, "path", ["/"]), "/", 5)
+
+
+@_add("stored_fields", _scored_sql([("contains", "tion")], "m0", "s0", "ORDER BY s0 DESC, _node_id LIMIT 20").replace("AS score FROM p", "AS score, lang, n_chars FROM p"))
+def _stored(spark, sf_dir):
+    return documents(spark, sf_dir).search(_C("tion"), limit=20, fields=["lang", "n_chars"]).withColumn("score", F.round("score", 6))
+
+
+@_add("search_global_stats", _scored_sql([("contains", "tion")], "m0 AND _node_id % 2 = 0", "s0"))
+def _global(spark, sf_dir):
+    """One half's matches, scored with the statistics of both."""
+    s = documents(spark, sf_dir)
+    halves = [s.docs.where(F.pmod("_node_id", F.lit(2)) == k) for k in (0, 1)]
+    stats = [Searcher(h, analyzers=s.analyzers).export_stats(_C("tion")) for h in halves]
+    return _rounded(Searcher(halves[0], analyzers=s.analyzers, stats=stats[0].merge(stats[1])).run(_C("tion")))
+
+
 @_add("facets", "SELECT '/' AS root, '/' || p_brand AS facet, count(*) AS count FROM part GROUP BY ALL UNION ALL SELECT '/' || p_brand, '/' || p_brand || '/' || p_type, count(*) FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) GROUP BY ALL")
 def _facets(spark, sf_dir):
     part = table(spark, sf_dir, "part")
@@ -232,7 +321,7 @@ def _collected(spark, sf_dir):
     return collectors.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", 0, 5, 10)
 
 
-@_add("highlights")
+@_add("highlights", _scored_sql([("contains", "tion")], "m0", "s0", "ORDER BY s0 DESC, _node_id LIMIT 50").replace("round(s0, 6) AS score", "f0::int AS marks"))
 def _highlights(spark, sf_dir):
     found = documents(spark, sf_dir).search(_C("tion"), limit=50, highlights=True)
     return found.select("_node_id", F.size(F.col("highlights")["body"]).alias("marks"))
@@ -333,6 +422,30 @@ def _folded(spark, sf_dir):
     return _tokens(spark, sf_dir).select(text.fold(F.col("token")).alias("token")).distinct()
 
 
+@_add("tokenizer_raw", "SELECT doc_id, 1::bigint AS n, coalesce(text, '') AS token FROM documents")
+def _raw(spark, sf_dir):
+    tokens = text.raw_token(F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(tokens).cast("long").alias("n"), tokens[0].alias("token"))
+
+
+@_add("tokenizer_empty", "SELECT doc_id, 0::bigint AS n FROM documents")
+def _no_tokens(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.empty_tokens("text")).cast("long").alias("n"))
+
+
+@_add("compound_words", "SELECT p_partkey, CASE WHEN regexp_full_match(w, '(?:eco|nomy|stan|dard|dium|me|art)+') THEN regexp_extract_all(w, 'nomy|stan|dard|dium|eco|art|me') ELSE [w] END AS parts FROM (SELECT p_partkey, unnest(string_split(lower(p_type), ' ')) AS w FROM part)")
+def _compound(spark, sf_dir):
+    words = F.split(F.lower("p_type"), " ")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(words).alias("w"))
+    return rows.select("p_partkey", text.compound_words(["eco", "nomy", "stan", "dard", "dium", "me", "art"])(F.array("w")).alias("parts"))
+
+
+@_add("wildcard", "SELECT p_partkey FROM part WHERE regexp_full_match(lower(p_type), 's.*a.*')")
+def _wildcard(spark, sf_dir):
+    pattern = text.wildcard_to_regex("s*a*")
+    return table(spark, sf_dir, "part").where(F.lower("p_type").rlike(f"^(?:{pattern})$")).select("p_partkey")
+
+
 @_add("camel_split")
 def _camel(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(text.ANALYZERS["raw_code"].tokens("text")).alias("n"))
@@ -456,13 +569,44 @@ def _nested(spark, sf_dir):
     return out.select("k0", "k1", "doc_count", F.round(F.col("q_s") / F.col("q_n"), 6).alias("quantity"))
 
 
-@_add("agg_tree")
-def _tree(spark, sf_dir):
-    """The whole response of a nested request, as JSON."""
-    import json
+@_add("agg_terms_multivalued", "SELECT key, count(*) AS doc_count FROM (SELECT l_orderkey, unnest(list_distinct(list(l_returnflag))) AS key FROM lineitem GROUP BY l_orderkey) GROUP BY key")
+def _multivalued(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("flags"))
+    return aggs.terms_frame(rows, dict(field="flags")).select("key", "doc_count")
+
 
+@_add("agg_terms_bool", "SELECT l_quantity > 25 AS key, count(*) AS doc_count FROM lineitem GROUP BY 1")
+def _bools(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select((F.col("l_quantity") > 25).alias("many"))
+    return aggs.terms_frame(rows, dict(field="many")).select("key", "doc_count")
+
+
+@_add("agg_cardinality_text", "SELECT count(DISTINCT o_orderpriority) AS n FROM orders")
+def _cardinality_text(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    return _plain(aggs.level(orders, [], dict(n=aggs.metric(orders, "n", "cardinality", dict(field="o_orderpriority"), True)))).select("n")
+
+
+@_add("agg_default_sketches", "SELECT true AS cardinality_close, true AS median_close")
+def _sketches(spark, sf_dir):
+    """The default, approximate forms against the exact ones: distinct values within 5 %, the median's rank within 1 %."""
+    got = aggs.aggregate(table(spark, sf_dir, "orders"), dict(n=dict(cardinality=dict(field="o_totalprice")), p=dict(percentiles=dict(field="o_totalprice", percents=[50]))))
+    distinct, median = got["n"]["value"], next(iter(got["p"]["values"].values()))
+    orders = table(spark, sf_dir, "orders")
+    row = orders.agg(F.countDistinct("o_totalprice").alias("d"), F.avg((F.col("o_totalprice") <= float(median)).cast("double")).alias("r"))
+    return row.select((F.abs(F.col("d") - float(distinct)) <= 0.05 * F.col("d")).alias("cardinality_close"), (F.abs(F.col("r") - 0.5) <= 0.01).alias("median_close"))
+
+
+_TREE = "SELECT l_returnflag AS flag, count(*) AS doc_count, round(avg(l_quantity), 6) AS quantity, p.price, p.n FROM lineitem l JOIN (SELECT l_returnflag AS f, floor(l_extendedprice / 20000.0) * 20000.0 AS price, count(*) AS n FROM lineitem GROUP BY ALL) p ON p.f = l.l_returnflag GROUP BY ALL"
+
+
+@_add("agg_tree", _TREE)
+def _tree(spark, sf_dir):
+    """The whole response of a nested request, a row for each inner bucket that holds something."""
     request = dict(flags=dict(terms=dict(field="l_returnflag"), aggs=dict(quantity=dict(stats=dict(field="l_quantity")), price=dict(histogram=dict(field="l_extendedprice", interval=20000)))))
-    return spark.createDataFrame([(json.dumps(aggs.aggregate(table(spark, sf_dir, "lineitem"), request), default=str),)], "response string")
+    found = aggs.aggregate(table(spark, sf_dir, "lineitem"), request)["flags"]["buckets"]
+    rows = [(f["key"], f["doc_count"], round(f["quantity"]["avg"], 6), float(p["key"]), p["doc_count"]) for f in found for p in f["price"]["buckets"] if p["doc_count"]]
+    return spark.createDataFrame(rows, "flag string, doc_count long, quantity double, price double, n long")
 
 
 # ---- streams ----
@@ -499,12 +643,180 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def _built(spark: SparkSession, sf_dir: str) -> Index:
-    """An index of the documents: two commits, deletes by id and by query, compacted."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-index-")
+def _path(spark: SparkSession) -> str:
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="quillspark-index-")
     path = f"{root.rstrip('/')}/index-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
-    index = Index.create(spark, path, dict(fields=[dict(name="body", type="text"), dict(name="lang", type="string"), dict(name="n_chars", type="i64")], tokenizer="simple", shards=4))
+    return path
+
+
+def _new(spark: SparkSession, shards: int = 4) -> Index:
+    return Index.create(spark, _path(spark), dict(fields=[dict(name="body", type="text"), dict(name="lang", type="string"), dict(name="n_chars", type="i64")], tokenizer="simple", shards=shards))
+
+
+_plain_indexes: dict[tuple[str, str], Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of all documents, built once in an application for the queries that only read it."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _plain_indexes:
+        index = _new(spark)
+        index.add_many(documents(spark, sf_dir).docs)
+        index.commit()
+        _plain_indexes[key] = index
+    return _plain_indexes[key]
+
+
+def _index_query(name: str, query, sql: str | None) -> None:
+    @_add(name, sql)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        index = index_of(spark, sf_dir)
+        return _rounded(index.searcher().run(querystring.parse(query[0], index.schema, ["body"]) if isinstance(query, tuple) else query))
+
+
+_index_query("index_contains", _C("tion"), _sql["contains"])
+_index_query("index_starts_with", dict(type="startsWith", field="body", value="ver"), _sql["starts_with"])
+_index_query("index_contains_split", dict(type="contains_split", field="body", value="tion heit"), _sql["contains_split"])
+_index_query("index_contains_phrase", dict(type="phrase", field="body", value="of the"), _sql["contains_phrase"])
+_index_query("index_whole_term", dict(type="term", field="body", value="the"), _sql["term"])
+_index_query("index_term_query", ir.Term("body", "und"), _sql["term_query"])
+_index_query("index_phrase_query", ir.Phrase("body", ("of", "the")), _sql["phrase_query"])
+_index_query("index_phrase_prefix", ir.PhrasePrefix("body", ("of", "th")), _sql["phrase_prefix_query"])
+_index_query("index_regex", dict(type="regex", field="body", value="token = .[0-9a-f]+"), _sql["regex_contains"])
+_index_query("index_regex_gap", dict(type="contains", field="body", value="tion[a-z]*ing", regex=True), _sql["regex_gap"])
+_index_query("index_regex_term", ir.RegexTerm("body", "sch[a-z]+"), _sql["regex_term"])
+_index_query("index_fuzzy_term", ir.FuzzyTerm("body", "their", 1, False), _sql["fuzzy_term"])
+_index_query("index_more_like_this", dict(type="more_like_this", fields=["body"], value="the tion of the tion and of schach schach", min_doc_frequency=2), _sql["more_like_this"])
+_index_query("index_query_string", ("the AND in -und",), _sql["query_string_and_not"])
+_index_query("index_dis_max", dict(type="disjunction_max", queries=[_C("tion"), _C("heit")], tie_breaker=0.3), _sql["dis_max"])
+_index_query("index_filters", dict(**_C("tion"), filters=[dict(field="n_chars", op="between", value=[500, 5000]), dict(field="lang", op="in", value=["en", "fr"])]), _scored_sql([("contains", "tion")], "m0 AND n_chars BETWEEN 500 AND 5000 AND lang IN ('en', 'fr')", "s0"))
+
+
+@_add("index_fuzzy", "SELECT true AS same, true AS found")
+def _index_fuzzy(spark, sf_dir):
+    """Typo-tolerant substrings from the tokens against those from the texts: the same documents and scores."""
+    query = dict(type="fuzzy", field="body", value="thet", distance=1)
+    a, b = _rounded(index_of(spark, sf_dir).searcher().run(query)), _rounded(documents(spark, sf_dir).run(query))
+    only = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n"))
+    return only.crossJoin(a.agg(F.count("*").alias("m"))).select((F.col("n") == 0).alias("same"), (F.col("m") > 0).alias("found"))  # two rows of one count each
+
+
+@_add("index_fuzzy_contains")
+def _index_fuzzy_contains(spark, sf_dir):
+    return _rounded(index_of(spark, sf_dir).searcher().run(dict(type="fuzzy", field="body", value="mail example", distance=1)))
+
+
+def _few(spark: SparkSession, sf_dir: str) -> tuple[Index, DataFrame]:
+    return _new(spark, 2), documents(spark, sf_dir).docs.select("_node_id", "body", "lang", "n_chars")
+
+
+@_add("index_merge_pending", "SELECT doc_id AS _node_id, lang FROM documents WHERE doc_id % 3 <> 2 AND doc_id <> 3")
+def _merge_pending(spark, sf_dir):
+    """What is buffered when segments are merged is committed after."""
+    index, docs = _few(spark, sf_dir)
+    index.add_many(docs.where("_node_id % 3 = 0"))
+    index.commit()
+    index.add_many(docs.where("_node_id % 3 = 1"))
+    index.delete(3)
+    index.merge()
+    index.commit()
+    return index.documents().select("_node_id", "lang")
+
+
+@_add("index_duplicate_ids", _PHRASE_IDF.replace("l.*,", "l.*, n, a, d1, d2,").replace("FROM documents)", "FROM (SELECT * REPLACE (doc_id // 2 AS doc_id) FROM documents))", 1))
+def _duplicate_ids(spark, sf_dir):
+    """Rows that share an id match and score each by itself."""
+    index, docs = _few(spark, sf_dir)
+    index.add_many(docs.withColumn("_node_id", F.expr("_node_id div 2")))
+    index.commit()
+    return _rounded(index.searcher().run(ir.Phrase("body", ("of", "the"))))
+
+
+@_add("index_update", "SELECT doc_id AS _node_id, CASE WHEN doc_id = 5 THEN 'xx' ELSE lang END AS lang FROM documents WHERE doc_id <> 6")
+def _index_update(spark, sf_dir):
+    index, docs = _few(spark, sf_dir)
+    index.add_many(docs)
+    index.commit()
+    index.update(5, body="new", lang="xx", n_chars=3)
+    index.run([("delete", 6), ("add", dict(_node_id=-1, body="gone again")), ("delete", -1)])
+    index.commit()
+    return index.documents().select("_node_id", "lang")
+
+
+@_add("index_delete_term", "SELECT doc_id AS _node_id FROM documents WHERE lang IS DISTINCT FROM 'de'")
+def _index_delete_term(spark, sf_dir):
+    index, docs = _few(spark, sf_dir)
+    index.add_many(docs)
+    index.commit()
+    index.delete_term("lang", "de")
+    index.commit()
+    return index.documents().select("_node_id")
+
+
+@_add("index_rollback", "SELECT doc_id AS _node_id FROM documents WHERE doc_id % 2 = 0")
+def _index_rollback(spark, sf_dir):
+    index, docs = _few(spark, sf_dir)
+    index.add_many(docs.where("_node_id % 2 = 0"))
+    index.commit()
+    index.add_many(docs.where("_node_id % 2 = 1"))
+    index.delete_all()
+    index.prepare_commit()
+    index.rollback()
+    index.commit()
+    return Index.open(spark, index.path).documents().select("_node_id")
+
+
+@_add("index_snapshot", "SELECT doc_id AS _node_id, n_chars FROM documents")
+def _index_snapshot(spark, sf_dir):
+    """A copy by snapshot, brought up to date by a delta."""
+    index, docs = _few(spark, sf_dir)
+    index.add_many(docs.where("_node_id % 2 = 0"))
+    index.commit()
+    copy, since = Index.import_snapshot_from(spark, index.path, _path(spark)), index.version
+    index.add_many(docs.where("_node_id % 2 = 1"))
+    index.commit()
+    copy.apply_sharded_delta(index.export_sharded_delta(since))
+    return copy.documents().select("_node_id", "n_chars")
+
+
+@_add("index_versions", "SELECT doc_id AS _node_id FROM documents WHERE doc_id % 2 = 0")
+def _index_versions(spark, sf_dir):
+    """A reader keeps the version that it opened."""
+    index, docs = _few(spark, sf_dir)
+    index.add_many(docs.where("_node_id % 2 = 0"))
+    index.commit()
+    reader = Index.open(spark, index.path)
+    index.add_many(docs.where("_node_id % 2 = 1"))
+    index.commit()
+    return reader.documents().select("_node_id")
+
+
+@_add("index_search", _scored_sql([("contains", "tion")], "m0", "s0", "ORDER BY s0 DESC, _node_id LIMIT 10").replace("AS score FROM p", "AS score, lang, f0::int AS marks FROM p"))
+def _index_search(spark, sf_dir):
+    """The ten best with stored fields and highlights."""
+    top = index_of(spark, sf_dir).search(_C("tion"), fields=True, highlights=True)
+    return top.select("_node_id", F.round("score", 6).alias("score"), "lang", F.size(F.col("highlights")["body"]).alias("marks"))
+
+
+@_add("index_counts", "SELECT count(*) AS docs, 4::int AS shards, 1::bigint AS version FROM documents")
+def _index_counts(spark, sf_dir):
+    index = index_of(spark, sf_dir)
+    return spark.createDataFrame([(index.num_docs, index.num_shards, index.version)], "docs long, shards int, version long")
+
+
+@_add("index_inspect_term", _BASE + " SELECT _node_id, len(list_filter(ts, lambda x: x = 'und'))::int AS tf, len(ts)::int AS dl FROM s WHERE list_contains(ts, 'und')")
+def _inspect_term(spark, sf_dir):
+    return index_of(spark, sf_dir).inspect_term("body", "und").select("_node_id", "tf", "dl")
+
+
+def _built(spark: SparkSession, sf_dir: str) -> Index:
+    """An index of the documents: two commits, deletes by id and by query, compacted."""
+    index = _new(spark)
     docs = documents(spark, sf_dir).docs
     for half in (0, 1):
         index.add_many(docs.where(F.pmod("_node_id", F.lit(2)) == half))

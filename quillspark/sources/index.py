@@ -197,8 +197,9 @@ class Index:
         out = None
         for f in self.config.text_fields():
             tokens = text.ANALYZERS[self.config.analyzers()[f]].tokens(F.col(f))
-            rows = docs.where(F.col(f).isNotNull()).select(F.lit(f).alias("field"), F.col(ID), "_op", F.col(length_column(f)).alias("dl"), F.posexplode(tokens).alias("pos", "token"))
-            rows = rows.groupBy("field", "token", ID, "_op", "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+            rows = docs.where(F.col(f).isNotNull()).withColumn("_row", F.monotonically_increasing_id())  # an id may repeat, even in one operation
+            rows = rows.select(F.lit(f).alias("field"), F.col(ID), "_op", "_row", F.col(length_column(f)).alias("dl"), F.posexplode(tokens).alias("pos", "token"))
+            rows = rows.groupBy("field", "token", ID, "_op", "_row", "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
             out = rows if out is None else out.unionByName(rows)
         bucket = F.pmod(F.xxhash64("token"), F.lit(TOKEN_BUCKETS)).cast("int")
         out.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("field", "token").write.partitionBy("bucket").parquet(self.store.at("postings", segment))
@@ -309,7 +310,7 @@ class Index:
     def postings(self, field: str | None = None, token: str | None = None) -> DataFrame:
         """field, token, id, tf, dl, positions of live documents; a token reads one bucket only."""
         names = [s["name"] for s in self.manifest["segments"]]
-        schema = "field string, token string, _node_id long, _op long, dl int, tf int, positions array<int>, seg string, bucket int"
+        schema = "field string, token string, _node_id long, _op long, _row long, dl int, tf int, positions array<int>, seg string, bucket int"
         if not names:
             return self.spark.createDataFrame([], schema)
         out = self.spark.read.schema(schema).option("basePath", self.store.at("postings")).parquet(*(self.store.at("postings", n) for n in names))
@@ -496,7 +497,7 @@ class IndexSearcher(Searcher):
         return self.index is not None and not self.quantize and self.stats is None and field in self.index.config.text_fields() and self.index.config.analyzers()[field] == "simple"
 
     def _inside(self, q: ir.Query) -> DataFrame | None:
-        """id, _op, dl, tf of a query whose matches lie inside tokens or are runs of neighbouring tokens."""
+        """id, seg, _row, dl, tf of a query whose matches lie inside tokens or are runs of neighbouring tokens."""
         if not self._whole_tokens(q):
             return None
         rows, token = self.index.postings(q.field), F.col("token")
@@ -528,8 +529,8 @@ class IndexSearcher(Searcher):
                 some = rows.where(token.startswith(w))
             else:
                 some = self.index.postings(q.field, w)
-            places = some.groupBy(F.col(ID).alias("id"), "_op").agg(F.first("dl").alias("dl"), F.flatten(F.collect_list("positions")).alias(f"p{k}"))
-            hits = places if hits is None else hits.join(places.drop("dl"), ["id", "_op"])
+            places = some.groupBy(F.col(ID).alias("id"), "seg", "_row").agg(F.first("dl").alias("dl"), F.flatten(F.collect_list("positions")).alias(f"p{k}"))
+            hits = places if hits is None else hits.join(places.drop("dl"), ["id", "seg", "_row"])
 
         def starts(p: Column) -> Column:
             out = F.array_contains("p1", p + 1)
@@ -537,10 +538,10 @@ class IndexSearcher(Searcher):
                 out = out & F.array_contains(f"p{k}", p + k)
             return out
 
-        return hits.select("id", "_op", "dl", F.size(F.filter("p0", starts)).cast("long").alias("tf")).where("tf > 0")
+        return hits.select("id", "seg", "_row", "dl", F.size(F.filter("p0", starts)).cast("long").alias("tf")).where("tf > 0")
 
     def _summed(self, rows: DataFrame, times: Column) -> DataFrame:
-        return rows.groupBy(F.col(ID).alias("id"), "_op").agg(F.first("dl").alias("dl"), F.sum(F.col("tf") * times).alias("tf"))
+        return rows.groupBy(F.col(ID).alias("id"), "seg", "_row").agg(F.first("dl").alias("dl"), F.sum(F.col("tf") * times).alias("tf"))
 
     def _fuzzy(self, q: ir.Fuzzy) -> DataFrame | None:
         """id, score: the n-grams' places come from the tokens that hold them; windows of them are looked for in Python."""
@@ -552,8 +553,8 @@ class IndexSearcher(Searcher):
         for g in plan.grams[1:]:
             some = some | token.contains(g)
         held = F.array_compact(F.array(*(F.when(token.contains(g), F.lit(k)) for k, g in grams)))
-        rows = self.index.postings(q.field).where(some).select(F.col(ID).alias("id"), "_op", "dl", held.alias("g"), "positions")
-        rows = rows.groupBy("id", "_op").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("positions", "g")).alias("hits"), F.size(F.array_distinct(F.flatten(F.collect_list("g")))).alias("n")).where(F.col("n") >= plan.threshold)
+        rows = self.index.postings(q.field).where(some).select(F.col(ID).alias("id"), "seg", "_row", "dl", held.alias("g"), "positions")
+        rows = rows.groupBy("id", "seg", "_row").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("positions", "g")).alias("hits"), F.size(F.array_distinct(F.flatten(F.collect_list("g")))).alias("n")).where(F.col("n") >= plan.threshold)
         found = approximate.fuzzy_windows_udf(q.value, q.distance)
         hits = rows.select("id", "dl", found(F.transform("hits", lambda h: h["positions"]), F.transform("hits", lambda h: h["g"])).alias("f")).select("id", "dl", "f.tf", "f.misses")
         return self._scored(q.field, hits, -1000.0 * F.col("misses"))
@@ -588,12 +589,12 @@ class IndexSearcher(Searcher):
             if inside is not None:
                 return self._scored(q.field, inside)
             return (self._fuzzy(q) if isinstance(q, ir.Fuzzy) else None) or super().table(q)
-        lists = [self.index.postings(q.field, t).select(F.col(ID).alias("id"), "_op", "dl", F.col("tf").cast("long").alias("tf"), F.col("positions").alias(f"p{k}")) for k, t in enumerate(tokens)]
+        lists = [self.index.postings(q.field, t).select(F.col(ID).alias("id"), "seg", "_row", "dl", F.col("tf").cast("long").alias("tf"), F.col("positions").alias(f"p{k}")) for k, t in enumerate(tokens)]
         if len(lists) == 1:
             return self._scored(q.field, lists[0].select("id", "dl", "tf"))
         hits = lists[0]
         for k, other in enumerate(lists[1:], 1):
-            hits = hits.join(other.select("id", "_op", f"p{k}"), ["id", "_op"])  # rows that repeat an id are rows of their own
+            hits = hits.join(other.select("id", "seg", "_row", f"p{k}"), ["id", "seg", "_row"])  # rows that repeat an id are rows of their own
 
         def starts(p: Column) -> Column:
             """Whether the phrase starts at position p of its first token."""
@@ -613,8 +614,8 @@ class IndexSearcher(Searcher):
         for w in words[1:]:
             some = some | token.contains(w)
         held = F.array_compact(F.array(*(F.when(token.contains(w), F.lit(k)) for k, w in enumerate(words))))
-        rows = self.index.postings(field).where(some).select(ID, "_op", held.alias("w"))
-        return rows.groupBy(ID, "_op").agg(F.size(F.array_distinct(F.flatten(F.collect_list("w")))).alias("n")).where(F.col("n") == len(words)).select(ID).distinct()
+        rows = self.index.postings(field).where(some).select(ID, "seg", "_row", held.alias("w"))
+        return rows.groupBy(ID, "seg", "_row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("w")))).alias("n")).where(F.col("n") == len(words)).select(ID).distinct()
 
     def run(self, query, need_score: bool = True) -> DataFrame:
         """Unions of terms, as of more-like-this, add up in one aggregation without a join."""

@@ -30,7 +30,7 @@ def test_query(spark, duck, name):
     rows = comparable([[r[c] for c in columns] for r in df.collect()])
     sql = registry.oracle_sql().get(name)
     if sql is None:
-        assert rows or name == "fuzzy_contains"
+        assert rows or "fuzzy_contains" in name
         return
     got = duck.execute(sql)
     names = [d[0] for d in got.description]
