@@ -51,6 +51,7 @@ class Index:
         self._deletes: list[tuple[int, int | None]] = []
         self._queries: list[tuple[int, ir.Query]] = []
         self._prepared: dict[str, Any] | None = None
+        self._listed: tuple[list[str], DataFrame] | None = None
 
     def _load(self, manifest: dict[str, Any]) -> None:
         self.manifest = manifest
@@ -313,7 +314,9 @@ class Index:
         schema = "field string, token string, _node_id long, _op long, _row long, dl int, tf int, positions array<int>, seg string, bucket int"
         if not names:
             return self.spark.createDataFrame([], schema)
-        out = self.spark.read.schema(schema).option("basePath", self.store.at("postings")).parquet(*(self.store.at("postings", n) for n in names))
+        if self._listed is None or self._listed[0] != names:  # the files of a segment never change: they are listed once
+            self._listed = names, self.spark.read.schema(schema).option("basePath", self.store.at("postings")).parquet(*(self.store.at("postings", n) for n in names))
+        out = self._listed[1]
         if token is not None:
             out = out.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(token)), F.lit(TOKEN_BUCKETS)).cast("int")) & (F.col("token") == token))
         if field is not None:
