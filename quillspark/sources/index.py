@@ -16,9 +16,11 @@ import math
 import re
 import uuid
 import zipfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -33,6 +35,16 @@ from quillspark.sources.storage import Storage
 
 #: Token buckets of the postings: a term reads one of them.
 TOKEN_BUCKETS = 64
+#: A task that writes postings takes so many bytes of a segment at least, and where there is work for all tasks the second
+#: number: every task writes a file of each bucket, and small commits and merges shouldn't scatter.
+TASK_BYTES, FULL_BYTES = 4 << 20, 32 << 20
+#: A file of a merged segment has about so many bytes.
+MERGED_BYTES = 64 << 20
+#: Tokens that a worker groups at once.
+BLOCK_TOKENS = 1 << 21
+#: A block of postings: a token with the rows of a batch of documents that hold it, an entry each in every array.
+BLOCK = f"token string, {ID} array<long>, _op array<long>, _row array<long>, dl array<int>, tf array<int>, positions array<array<int>>"
+PARTS = (ID, "_op", "_row", "dl", "tf", "positions")
 #: Regexes that match letters and digits alone, so that no match leaves a token.
 _IN_TOKEN = re.compile(r"(?:[a-z0-9]|\[[a-z0-9-]+\]|\{[0-9,]+\}|[*+?]|\\d)+")
 
@@ -41,6 +53,38 @@ def length_column(field: str) -> str:
     return f"_len_{field}"
 
 
+def blocks_of(most: int = BLOCK_TOKENS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Documents (id, _op, _row, dl, tokens) to blocks: as many rows as a batch, or a part of it of about so many tokens, has different tokens."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = batch.column(4).offsets.to_numpy()[1:] // most
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if (found := grouped(*batch.slice(a, b - a).columns)) is not None:
+                    yield found
+
+    def grouped(ids: pa.Array, ops: pa.Array, rows: pa.Array, lengths: pa.Array, tokens: pa.Array) -> pa.RecordBatch | None:
+        flat, sizes = tokens.flatten(), np.diff(tokens.offsets.to_numpy())
+        if not len(flat):
+            return None
+        coded = flat.dictionary_encode()
+        codes = coded.indices.to_numpy()
+        order = np.argsort(codes, kind="stable")  # by token, document, position
+        codes, owner = codes[order], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        place = (np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)[order]
+        first = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (owner[1:] != owner[:-1])])  # of each posting
+        codes, owner = codes[first], owner[first]
+        head = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])  # of each block
+        listed = lambda starts, values: pa.ListArray.from_arrays(pa.array(np.r_[starts, len(values)].astype(np.int32)), values)
+        taken = [listed(head, c.take(pa.array(owner))) for c in (ids, ops, rows, lengths)]
+        tf = pa.array(np.diff(np.r_[first, len(place)]).astype(np.int32))
+        columns = [coded.dictionary.take(pa.array(codes[head])), *taken, listed(head, tf), listed(head, listed(first, pa.array(place)))]
+        return pa.RecordBatch.from_arrays(columns, names=["token", *PARTS])
+
+    return blocks  # a function inside another travels whole: workers needn't have the package
+
+
 class Index:
     def __init__(self, spark: SparkSession, path: str, manifest: dict[str, Any]):
         self.spark, self.path, self.store = spark, path, Storage(spark, path)
@@ -191,19 +235,21 @@ class Index:
         """Documents and tokens of a segment, for its entry in the manifest."""
         fields = self.config.text_fields()
         row = self._segment(segment).agg(F.count("*").alias("n"), *(F.sum(length_column(f)).alias(f"t{k}") for k, f in enumerate(fields))).first()
-        return {"rows": row["n"], "tokens": {f: int(row[f"t{k}"] or 0) for k, f in enumerate(fields)}}
+        return {"blocks": True, "rows": row["n"], "tokens": {f: int(row[f"t{k}"] or 0) for k, f in enumerate(fields)}}
 
     def _write_postings(self, segment: str) -> None:
+        """Blocks of postings. Tokens are grouped where their documents are, and each task writes its part of every bucket: nothing is shuffled."""
         docs = self._segment(segment)
+        size = self.store.size("segments", segment)
+        tasks = max(1, min(size // TASK_BYTES, max(2 * self.spark.sparkContext.defaultParallelism, size // FULL_BYTES)))
         out = None
         for f in self.config.text_fields():
             tokens = text.ANALYZERS[self.config.analyzers()[f]].tokens(F.col(f))
-            rows = docs.where(F.col(f).isNotNull()).withColumn("_row", F.monotonically_increasing_id())  # an id may repeat, even in one operation
-            rows = rows.select(F.lit(f).alias("field"), F.col(ID), "_op", "_row", F.col(length_column(f)).alias("dl"), F.posexplode(tokens).alias("pos", "token"))
-            rows = rows.groupBy("field", "token", ID, "_op", "_row", "dl").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
+            rows = docs.where(F.col(f).isNotNull()).coalesce(tasks).withColumn("_row", F.monotonically_increasing_id())  # an id may repeat, even in one operation
+            rows = rows.select(ID, "_op", "_row", F.col(length_column(f)).alias("dl"), tokens.alias("tokens")).mapInArrow(blocks_of(), BLOCK).select(F.lit(f).alias("field"), "*")
             out = rows if out is None else out.unionByName(rows)
         bucket = F.pmod(F.xxhash64("token"), F.lit(TOKEN_BUCKETS)).cast("int")
-        out.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("field", "token").write.partitionBy("bucket").parquet(self.store.at("postings", segment))
+        out.withColumn("bucket", bucket).sortWithinPartitions("bucket", "field", "token").write.partitionBy("bucket").parquet(self.store.at("postings", segment))
 
     def commit(self, batch: tuple[str, int] | None = None) -> int:
         """Publishes the buffered operations; batch (stream name, number) makes a repeated call harmless."""
@@ -238,8 +284,12 @@ class Index:
             return self.version
         docs = self._docs(self.manifest | {"segments": [{"name": n} for n in chosen]})
         name = f"seg={uuid.uuid4().hex}"
-        rows = docs.repartition(partitions or max(1, self.config.shards), "shard") if partitions or self.config.shards > 1 else docs
-        rows.write.partitionBy("shard").parquet(self.store.at("segments", name))
+        files = -(-sum(self.store.size("segments", n) for n in chosen) // (MERGED_BYTES * self.config.shards))  # of a shard: as many tasks write it
+        if partitions:
+            docs = docs.repartition(partitions, "shard")
+        elif self.config.shards > 1:
+            docs = docs.repartition(max(1, files) * self.config.shards, "shard", F.pmod(F.xxhash64(ID, "_op"), F.lit(max(1, files))))
+        docs.write.partitionBy("shard").parquet(self.store.at("segments", name))
         if self.config.postings and self.config.text_fields():
             self._write_postings(name)
         kept = [s for s in self.manifest["segments"] if s["name"] not in chosen]
@@ -308,27 +358,46 @@ class Index:
         docs = self._docs(self.manifest)
         return docs if internal else docs.select(*self.schema.names)
 
-    def postings(self, field: str | None = None, token: str | None = None) -> DataFrame:
-        """field, token, id, tf, dl, positions of live documents; a token reads one bucket only."""
+    def blocks(self, field: str | None = None, token: str | None = None) -> DataFrame:
+        """Blocks of postings with field, seg and bucket, deleted documents among them; a token reads one bucket only."""
         names = [s["name"] for s in self.manifest["segments"]]
-        schema = "field string, token string, _node_id long, _op long, _row long, dl int, tf int, positions array<int>, seg string, bucket int"
+        schema = f"field string, {BLOCK}, seg string, bucket int"
         if not names:
             return self.spark.createDataFrame([], schema)
         if self._listed is None or self._listed[0] != names:  # the files of a segment never change: they are listed once
-            self._listed = names, self.spark.read.schema(schema).option("basePath", self.store.at("postings")).parquet(*(self.store.at("postings", n) for n in names))
+            read = lambda schema, some: self.spark.read.schema(schema).option("basePath", self.store.at("postings")).parquet(*(self.store.at("postings", n) for n in some))
+            single = [s["name"] for s in self.manifest["segments"] if not s.get("blocks")]  # of a former layout: a row for each posting
+            parts = [read(schema, some)] if (some := [n for n in names if n not in single]) else []
+            if single:
+                rows = read(f"field string, token string, {ID} long, _op long, _row long, dl int, tf int, positions array<int>, seg string, bucket int", single)
+                parts.append(rows.select("field", "token", *(F.array(p).alias(p) for p in PARTS), "seg", "bucket"))
+            self._listed = names, parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         out = self._listed[1]
         if token is not None:
             out = out.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(token)), F.lit(TOKEN_BUCKETS)).cast("int")) & (F.col("token") == token))
-        if field is not None:
-            out = out.where(F.col("field") == field)
-        if self.manifest["tombstones"]:
+        return out if field is None else out.where(F.col("field") == field)
+
+    def spread(self, blocks: DataFrame, *parts: str) -> DataFrame:
+        """The postings of live documents in blocks: a row for each, with the parts named (the others aren't read) in place of the arrays."""
+        stopped = bool(self.manifest["tombstones"])
+        wanted = [p for p in PARTS if p in parts or stopped and p in (ID, "_op")]
+        out = blocks.select(*(c for c in blocks.columns if c not in PARTS), F.inline(F.arrays_zip(*wanted)))
+        if stopped:
             stops = self.spark.read.parquet(*(self.store.at("tombstones", t["name"]) for t in self.manifest["tombstones"])).groupBy(F.col(ID).alias("_dead")).agg(F.max("_stop").alias("_stop"))
             out = out.join(stops, (out[ID] == stops["_dead"]) & (out["_op"] < stops["_stop"]), "left_anti")
-        return out
+        return out.drop(*(p for p in wanted if p not in parts))
+
+    def postings(self, field: str | None = None, token: str | None = None) -> DataFrame:
+        """field, token, id, tf, dl, positions of live documents; a token reads one bucket only."""
+        return self.spread(self.blocks(field, token), *PARTS)
 
     def term_dictionary(self, field: str) -> DataFrame:
         """token, df (documents), cf (occurrences)."""
-        return self.postings(field).groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        blocks = self.blocks(field)
+        if self.manifest["tombstones"]:
+            return self.spread(blocks, "tf").groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+        cf = F.aggregate("tf", F.lit(0).cast("long"), lambda a, n: a + n)
+        return blocks.groupBy("token").agg(F.sum(F.size("tf")).alias("df"), F.sum(cf).alias("cf"))
 
     def searcher(self, stats: Stats | None = None, quantize_norm: bool = False) -> Searcher:
         docs = self.documents(internal=True).drop("_op", "shard")
@@ -444,7 +513,7 @@ class Index:
     # ---- diagnostics ----
 
     def inspect_term(self, field: str, token: str) -> DataFrame:
-        return self.postings(field, token).select(ID, "tf", "dl", "positions")
+        return self.spread(self.blocks(field, token), ID, "tf", "dl", "positions").select(ID, "tf", "dl", "positions")
 
     def inspect_segments(self) -> list[dict[str, Any]]:
         return [{"name": s["name"], "rows": s["rows"], "bytes": self.store.size("segments", s["name"]), "postings_bytes": self.store.size("postings", s["name"])} for s in self.manifest["segments"]]
@@ -503,7 +572,7 @@ class IndexSearcher(Searcher):
         """id, seg, _row, dl, tf of a query whose matches lie inside tokens or are runs of neighbouring tokens."""
         if not self._whole_tokens(q):
             return None
-        rows, token = self.index.postings(q.field), F.col("token")
+        rows, token = self.index.blocks(q.field), F.col("token")
         if isinstance(q, ir.RegexContains):
             if not _IN_TOKEN.fullmatch(q.pattern):
                 return None
@@ -531,8 +600,8 @@ class IndexSearcher(Searcher):
             elif k == len(words) - 1 and not last:
                 some = rows.where(token.startswith(w))
             else:
-                some = self.index.postings(q.field, w)
-            places = some.groupBy(F.col(ID).alias("id"), "seg", "_row").agg(F.first("dl").alias("dl"), F.flatten(F.collect_list("positions")).alias(f"p{k}"))
+                some = self.index.blocks(q.field, w)
+            places = self.index.spread(some, ID, "_row", "dl", "positions").groupBy(F.col(ID).alias("id"), "seg", "_row").agg(F.first("dl").alias("dl"), F.flatten(F.collect_list("positions")).alias(f"p{k}"))
             hits = places if hits is None else hits.join(places.drop("dl"), ["id", "seg", "_row"])
 
         def starts(p: Column) -> Column:
@@ -544,7 +613,9 @@ class IndexSearcher(Searcher):
         return hits.select("id", "seg", "_row", "dl", F.size(F.filter("p0", starts)).cast("long").alias("tf")).where("tf > 0")
 
     def _summed(self, rows: DataFrame, times: Column) -> DataFrame:
-        return rows.groupBy(F.col(ID).alias("id"), "seg", "_row").agg(F.first("dl").alias("dl"), F.sum(F.col("tf") * times).alias("tf"))
+        """Blocks' postings added up by document; times a token's tf counts."""
+        rows = self.index.spread(rows.withColumn("_times", times), ID, "_row", "dl", "tf")
+        return rows.groupBy(F.col(ID).alias("id"), "seg", "_row").agg(F.first("dl").alias("dl"), F.sum(F.col("tf") * F.col("_times")).alias("tf"))
 
     def _fuzzy(self, q: ir.Fuzzy) -> DataFrame | None:
         """id, score: the n-grams' places come from the tokens that hold them; windows of them are looked for in Python."""
@@ -556,7 +627,7 @@ class IndexSearcher(Searcher):
         for g in plan.grams[1:]:
             some = some | token.contains(g)
         held = F.array_compact(F.array(*(F.when(token.contains(g), F.lit(k)) for k, g in grams)))
-        rows = self.index.postings(q.field).where(some).select(F.col(ID).alias("id"), "seg", "_row", "dl", held.alias("g"), "positions")
+        rows = self.index.spread(self.index.blocks(q.field).where(some).withColumn("g", held), ID, "_row", "dl", "positions").select(F.col(ID).alias("id"), "seg", "_row", "dl", "g", "positions")
         rows = rows.groupBy("id", "seg", "_row").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("positions", "g")).alias("hits"), F.size(F.array_distinct(F.flatten(F.collect_list("g")))).alias("n")).where(F.col("n") >= plan.threshold)
         found = approximate.fuzzy_windows_udf(q.value, q.distance)
         hits = rows.select("id", "dl", found(F.transform("hits", lambda h: h["positions"]), F.transform("hits", lambda h: h["g"])).alias("f")).select("id", "dl", "f.tf", "f.misses")
@@ -565,7 +636,7 @@ class IndexSearcher(Searcher):
     def _tokens(self, field: str, keep) -> DataFrame:
         if self.index is None:
             return super()._tokens(field, keep)
-        return self.index.postings(field).where(keep(F.col("token"))).select(F.col(ID).alias("id"), "token", F.col("tf").cast("long").alias("tf"), "dl")
+        return self.index.spread(self.index.blocks(field).where(keep(F.col("token"))), ID, "dl", "tf").select(F.col(ID).alias("id"), "token", F.col("tf").cast("long").alias("tf"), "dl")
 
     def _indexed(self, q: ir.Query) -> tuple[str, ...] | None:
         """The tokens that a query looks for in the postings, if those answer it."""
@@ -592,7 +663,8 @@ class IndexSearcher(Searcher):
             if inside is not None:
                 return self._scored(q.field, inside)
             return (self._fuzzy(q) if isinstance(q, ir.Fuzzy) else None) or super().table(q)
-        lists = [self.index.postings(q.field, t).select(F.col(ID).alias("id"), "seg", "_row", "dl", F.col("tf").cast("long").alias("tf"), F.col("positions").alias(f"p{k}")) for k, t in enumerate(tokens)]
+        parts = ID, "_row", "dl", "tf", *(["positions"] if len(tokens) > 1 else [])
+        lists = [self.index.spread(self.index.blocks(q.field, t), *parts).select(F.col(ID).alias("id"), "seg", "_row", "dl", F.col("tf").cast("long").alias("tf"), *([F.col("positions").alias(f"p{k}")] if len(tokens) > 1 else [])) for k, t in enumerate(tokens)]
         if len(lists) == 1:
             return self._scored(q.field, lists[0].select("id", "dl", "tf"))
         hits = lists[0]
@@ -617,7 +689,7 @@ class IndexSearcher(Searcher):
         for w in words[1:]:
             some = some | token.contains(w)
         held = F.array_compact(F.array(*(F.when(token.contains(w), F.lit(k)) for k, w in enumerate(words))))
-        rows = self.index.postings(field).where(some).select(ID, "seg", "_row", held.alias("w"))
+        rows = self.index.spread(self.index.blocks(field).where(some).withColumn("w", held), ID, "_row").select(ID, "seg", "_row", "w")
         return rows.groupBy(ID, "seg", "_row").agg(F.size(F.array_distinct(F.flatten(F.collect_list("w")))).alias("n")).where(F.col("n") == len(words)).select(ID).distinct()
 
     def run(self, query, need_score: bool = True) -> DataFrame:

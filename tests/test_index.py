@@ -223,3 +223,49 @@ def test_tokens_give_what_texts_give(spark, tmp_path, query):
     got = {r[0]: r[1] for r in index.searcher().run(query).collect()}
     want = {r[0]: r[1] for r in Searcher(index.documents(), analyzers=index.config.analyzers()).run(query).collect()}
     assert got == pytest.approx(want) and want
+
+
+def moved(spark):
+    """Bytes shuffled so far by all stages of the session."""
+    store, gateway = spark._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_postings_are_written_without_a_shuffle(spark, index):
+    name = index.manifest["segments"][0]["name"]
+    index.store.delete("postings", name)
+    before = moved(spark)
+    index._write_postings(name)
+    assert moved(spark) == before
+    assert ids(Index.open(spark, index.path).search("python")) == [1, 4]
+
+
+def test_blocks_hold_the_postings_of_many_documents(spark, tmp_path):
+    from quillspark.sources.index import BLOCK, blocks_of
+
+    index = Index.create(spark, f"{tmp_path}/idx", CONFIG | dict(tokenizer="simple"))
+    index.add_many(spark.range(500).selectExpr("id AS _node_id", "concat('same of same w', id % 3) AS body").coalesce(1))
+    index.commit()
+    assert index.blocks("body").count() <= 5 * 2 and index.postings("body", "same").count() == 500
+    rows = {r["token"]: (r["tf"], r["dl"], r["positions"]) for r in index.postings("body").where("_node_id = 4").collect()}
+    assert rows == {"same": (2, 4, [0, 2]), "of": (1, 4, [1]), "w1": (1, 4, [3])}
+    assert {r["token"]: (r["df"], r["cf"]) for r in index.term_dictionary("body").collect()}["same"] == (500, 1000)
+    index.delete(4)
+    index.commit()
+    assert {r["token"]: (r["df"], r["cf"]) for r in index.term_dictionary("body").collect()}["same"] == (499, 998)
+    docs = spark.createDataFrame([(k, 1, k, 3, t) for k, t in enumerate([["a", "b", "a"], [], ["b"], ["a", "c"]])], "_node_id long, _op long, _row long, dl int, tokens array<string>").coalesce(1)
+    small = docs.mapInArrow(blocks_of(3), BLOCK).collect()  # parts of about three tokens
+    assert len(small) > 3
+    assert sorted((r["token"], i, p) for r in small for i, ps in zip(r["_node_id"], r["positions"]) for p in ps) == [("a", 0, 0), ("a", 0, 2), ("a", 3, 0), ("b", 0, 1), ("b", 2, 0), ("c", 3, 1)]
+
+
+def test_postings_of_the_former_layout_are_read(spark, index, tmp_path):
+    segment = index.manifest["segments"][0]
+    index.postings().drop("seg").write.partitionBy("bucket").parquet(f"{tmp_path}/old")
+    index.store.delete("postings", segment["name"])
+    index.store.copy_in(f"{tmp_path}/old", "postings", segment["name"])
+    del segment["blocks"]
+    index.add(5, body="python five")
+    index.commit()
+    assert ids(index.search(ir.Term("body", "python"))) == [1, 4, 5] and ids(index.search(ir.RegexTerm("body", "pyt.*"))) == [1, 4, 5]
