@@ -286,10 +286,9 @@ class Searcher:
             plan = approximate.FuzzyPlan(q.value, q.distance)
             if not plan.grams:
                 return self.docs.select(F.col(self.id).alias("id"), F.lit(0.0).alias("score")).limit(0)
-            squeezed = F.regexp_replace(F.lower(F.col(q.field)), rf"[^{text.ALNUM}]+", "")
-            present = sum((squeezed.contains(g).cast("int") for g in dict.fromkeys(plan.grams)), F.lit(0))
-            need = max(1, min(plan.threshold, len(set(plan.grams))))
-            rows = self.docs.where(present >= need).select(F.col(self.id).alias("id"), F.col(q.field).alias("t"), self.length(q.field).alias("dl"))
+            low = F.lower(F.col(q.field))
+            present = sum((low.contains(g).cast("int") for g in plan.grams), F.lit(0))  # each must lie in one token
+            rows = self.docs.where(present >= plan.threshold).select(F.col(self.id).alias("id"), F.col(q.field).alias("t"), self.length(q.field).alias("dl"))
             found = approximate.fuzzy_udf(q.value, q.distance)
             hits = rows.select("id", "dl", found("t").alias("f")).select("id", "dl", "f.tf", "f.misses")
             return self._scored(q.field, hits, -1000.0 * F.col("misses"))

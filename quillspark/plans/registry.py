@@ -702,8 +702,9 @@ def _index_fuzzy(spark, sf_dir):
     """Typo-tolerant substrings from the tokens against those from the texts: the same documents and scores."""
     query = dict(type="fuzzy", field="body", value="thet", distance=1)
     a, b = _rounded(index_of(spark, sf_dir).searcher().run(query)), _rounded(documents(spark, sf_dir).run(query))
-    only = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n"))
-    return only.crossJoin(a.agg(F.count("*").alias("m"))).select((F.col("n") == 0).alias("same"), (F.col("m") > 0).alias("found"))  # two rows of one count each
+    rows = a.withColumn("n", F.lit(1)).unionByName(b.withColumn("n", F.lit(-1)))  # each side runs once: equal rows cancel out
+    rows = rows.groupBy("_node_id", "score").agg(F.sum("n").alias("n"), F.sum((F.col("n") > 0).cast("int")).alias("m"))
+    return rows.agg(F.coalesce(F.sum(F.abs("n")), F.lit(0)).alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).select((F.col("n") == 0).alias("same"), (F.col("m") > 0).alias("found"))
 
 
 @_add("index_fuzzy_contains")

@@ -40,6 +40,8 @@ TOKEN_BUCKETS = 64
 TASK_BYTES, FULL_BYTES = 4 << 20, 32 << 20
 #: A file of a merged segment has about so many bytes.
 MERGED_BYTES = 64 << 20
+#: A row group of a segment before compression: as many tasks can read a file as it has of them.
+ROW_GROUP = 32 << 20
 #: Tokens that a worker groups at once.
 BLOCK_TOKENS = 1 << 21
 #: A block of postings: a token with the rows of a batch of documents that hold it, an entry each in every array.
@@ -214,7 +216,7 @@ class Index:
         rows = self._rows()
         if rows is not None:
             name = f"seg={uuid.uuid4().hex}"
-            self._analyzed(rows).write.partitionBy("shard").parquet(self.store.at("segments", name))
+            self._analyzed(rows).write.option("parquet.block.size", ROW_GROUP).partitionBy("shard").parquet(self.store.at("segments", name))
             if self.config.postings and self.config.text_fields():
                 self._write_postings(name)
             new["segments"].append({"name": name, **self._counted(name)})
@@ -289,7 +291,7 @@ class Index:
             docs = docs.repartition(partitions, "shard")
         elif self.config.shards > 1:
             docs = docs.repartition(max(1, files) * self.config.shards, "shard", F.pmod(F.xxhash64(ID, "_op"), F.lit(max(1, files))))
-        docs.write.partitionBy("shard").parquet(self.store.at("segments", name))
+        docs.write.option("parquet.block.size", ROW_GROUP).partitionBy("shard").parquet(self.store.at("segments", name))
         if self.config.postings and self.config.text_fields():
             self._write_postings(name)
         kept = [s for s in self.manifest["segments"] if s["name"] not in chosen]
@@ -627,10 +629,12 @@ class IndexSearcher(Searcher):
         for g in plan.grams[1:]:
             some = some | token.contains(g)
         held = F.array_compact(F.array(*(F.when(token.contains(g), F.lit(k)) for k, g in grams)))
-        rows = self.index.spread(self.index.blocks(q.field).where(some).withColumn("g", held), ID, "_row", "dl", "positions").select(F.col(ID).alias("id"), "seg", "_row", "dl", "g", "positions")
-        rows = rows.groupBy("id", "seg", "_row").agg(F.first("dl").alias("dl"), F.collect_list(F.struct("positions", "g")).alias("hits"), F.size(F.array_distinct(F.flatten(F.collect_list("g")))).alias("n")).where(F.col("n") >= plan.threshold)
+        rows = self.index.spread(self.index.blocks(q.field).where(some).withColumn("g", held), ID, "_row", "dl", "positions")
+        codes = F.flatten(F.transform("positions", lambda p: F.transform("g", lambda g: p.cast("long") * len(grams) + g)))
+        rows = rows.select(F.col(ID).alias("id"), "seg", "_row", "dl", codes.alias("codes"))
+        rows = rows.groupBy("id", "seg", "_row").agg(F.first("dl").alias("dl"), F.sort_array(F.flatten(F.collect_list("codes"))).alias("codes"))
         found = approximate.fuzzy_windows_udf(q.value, q.distance)
-        hits = rows.select("id", "dl", found(F.transform("hits", lambda h: h["positions"]), F.transform("hits", lambda h: h["g"])).alias("f")).select("id", "dl", "f.tf", "f.misses")
+        hits = rows.select("id", "dl", found("codes").alias("f")).select("id", "dl", "f.tf", "f.misses")
         return self._scored(q.field, hits, -1000.0 * F.col("misses"))
 
     def _tokens(self, field: str, keep) -> DataFrame:

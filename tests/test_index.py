@@ -269,3 +269,22 @@ def test_postings_of_the_former_layout_are_read(spark, index, tmp_path):
     index.add(5, body="python five")
     index.commit()
     assert ids(index.search(ir.Term("body", "python"))) == [1, 4, 5] and ids(index.search(ir.RegexTerm("body", "pyt.*"))) == [1, 4, 5]
+
+
+def test_typos_of_a_value_that_repeats_itself(spark, tmp_path):
+    from quillspark.operators.search import Searcher
+
+    index = Index.create(spark, f"{tmp_path}/idx", CONFIG | dict(tokenizer="simple"))
+    index.add_many([dict(_node_id=k, body=t) for k, t in enumerate(["xaby", "xaxby", "aba", "b a"])])
+    index.commit()
+    query = ir.Fuzzy("body", "abab", 1)  # its second n-gram lies between two equal ones
+    got = [{r[0]: r[1] for r in s.run(query).collect()} for s in (index.searcher(), Searcher(index.documents(), analyzers=index.config.analyzers()))]
+    assert got[0] == pytest.approx(got[1]) and sorted(got[1]) == [0, 2]
+
+
+def test_typo_search_compares_each_side_once(spark):
+    from quillspark.plans import registry
+
+    found = registry.queries()["index_fuzzy"](spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 2 and found.first() == (True, True)
