@@ -781,7 +781,7 @@ def _index_snapshot(spark, sf_dir):
     copy, since = Index.import_snapshot_from(spark, index.path, _path(spark)), index.version
     index.add_many(docs.where("_node_id % 2 = 1"))
     index.commit()
-    copy.apply_sharded_delta(index.export_sharded_delta(since))
+    copy.apply_sharded_delta_from(index.export_sharded_delta_to(since, _path(spark)))
     return copy.documents().select("_node_id", "n_chars")
 
 

@@ -495,23 +495,55 @@ class Index:
     def history(self) -> list[int]:
         return sorted(int(n.removesuffix(".json")) for n in self.store.list("manifests") if n.endswith(".json"))
 
-    def export_sharded_delta(self, since: int) -> bytes:
-        """What changed since a version that is still in the history; else ask for a snapshot."""
+    def _since(self, since: int) -> tuple[list[str], dict[str, Any]]:
+        """Folders that came after a version that is still in the history; those that went, and the version's hash."""
         if since not in self.history():
             raise ValueError(f"version {since} isn't known: take a snapshot")
         before = json.loads(self.store.read("manifests", f"{since}.json"))
         old, new = self._files(before), self._files(self.manifest)
-        return self._zip([n for n in new if n not in old], [n for n in old if n not in new], _hash(before))
+        return [n for n in new if n not in old], {"removed": [n for n in old if n not in new], "base": _hash(before)}
+
+    def _fits(self, about: dict[str, Any]) -> None:
+        if about["base"] != self.version_hash():
+            raise ValueError("the delta was made from another version than this index has: take a snapshot")
+
+    def export_sharded_delta(self, since: int) -> bytes:
+        """What changed since a version that is still in the history, for changes that fit the driver; else export_sharded_delta_to."""
+        added, about = self._since(since)
+        return self._zip(added, about["removed"], about["base"])
 
     def apply_sharded_delta(self, delta: bytes) -> None:
         with zipfile.ZipFile(io.BytesIO(delta)) as z:
             about = json.loads(z.read("removed.json"))
-        if about["base"] != self.version_hash():
-            raise ValueError("the delta was made from another version than this index has: take a snapshot")
+        self._fits(about)
         self._load(Index._unzip(self.store, delta))
         for n in about["removed"]:
             self.store.delete(n)
 
+    def export_sharded_delta_to(self, since: int, path: str) -> str:
+        """The same as files under another path: they are copied as streams, whatever their size."""
+        added, about = self._since(since)
+        target = Storage(self.spark, path)
+        for name in added:
+            target.copy_in(self.store.at(name), name)
+        if not target.write_new(json.dumps(about | {"added": added, "manifest": self.manifest}), "delta.json"):
+            raise ValueError(f"there is a delta at {path}")
+        return path
+
+    def apply_sharded_delta_from(self, path: str) -> None:
+        source = Storage(self.spark, path)
+        about = json.loads(source.read("delta.json"))
+        self._fits(about)
+        for name in about["added"]:
+            if self.store.exists(name):  # of an attempt that was cut off: no version here uses it
+                self.store.delete(name)
+            self.store.copy_in(source.at(name), name)
+        if not self.store.write_new(json.dumps(about["manifest"]), "manifests", f"{about['manifest']['version']}.json"):
+            raise ValueError(f"there is a version {about['manifest']['version']} already")
+        self._load(about["manifest"])
+        for n in about["removed"]:
+            self.store.delete(n)
+
     # ---- diagnostics ----
 
     def inspect_term(self, field: str, token: str) -> DataFrame:

@@ -288,3 +288,25 @@ def test_typo_search_compares_each_side_once(spark):
     found = registry.queries()["index_fuzzy"](spark, "/root/testdata/sf0.001")
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 2 and found.first() == (True, True)
+
+
+def test_deltas_between_paths_do_not_pass_the_driver(spark, index, tmp_path, monkeypatch):
+    copy, other = (Index.import_snapshot_from(spark, index.path, f"{tmp_path}/{n}") for n in ("copy", "other"))
+    since = index.version
+    index.add(5, body="python five")
+    index.delete(1)
+    index.merge()
+    index.commit()
+    monkeypatch.setattr(Index, "_read_all", None)  # what brings files to the driver
+    delta = index.export_sharded_delta_to(since, f"{tmp_path}/delta")
+    copy.store.copy_in(f"{tmp_path}/delta/segments", "segments")  # an attempt that was cut off
+    for one in (copy, other):
+        one.apply_sharded_delta_from(delta)
+        assert ids(one.search("python")) == [4, 5] and one.version_hash() == index.version_hash() and one.validate()
+    with pytest.raises(ValueError, match="another version"):
+        copy.apply_sharded_delta_from(delta)
+    with pytest.raises(ValueError):
+        index.export_sharded_delta_to(99, f"{tmp_path}/none")
+    from quillspark.plans import registry
+
+    assert registry.queries()["index_snapshot"](spark, "/root/testdata/sf0.001").count() == 200
